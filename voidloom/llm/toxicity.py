@@ -50,8 +50,8 @@ class Settings:
     max_rows: int = 20_000
     max_terms: int = 2_000
     min_toxic_docs: int = 2
-    min_log_odds: float = 1.5
-    strong_log_odds: float = 3.0
+    min_sure: float = 1.5
+    strong: float = 2.8
     near: int = 5
     trees: int = 30
     depth: int = 4
@@ -93,8 +93,8 @@ class TokenTable(dict):
         letters = "".join(words)
         symbols = sum(not c.isalnum() and c not in ".,;:!?'\"-()" for c in token)
         self.rows[at] = (
-            weight >= self.settings.strong_log_odds,
-            0 < weight < self.settings.strong_log_odds,
+            weight >= self.settings.strong,
+            0 < weight < self.settings.strong,
             weight,
             any(w in SEED for w in words),
             any(w in SECOND_PERSON for w in words),
@@ -169,7 +169,8 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[
 
 
 def learn_lexicon(rows: DataFrame, settings: Settings, text: str = "text", label: str = "toxic") -> dict[str, float]:
-    """Words and their beginnings (``abcd*``) with the highest log odds of toxic against other documents."""
+    """Words and their beginnings (``abcd*``) with their log odds of toxic against other
+    documents in standard errors; the highest are kept."""
     words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))
     starts = [F.transform("words", lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in BEGINNINGS]
     tokens = F.array_distinct(F.concat("words", *starts))
@@ -188,8 +189,8 @@ def learn_lexicon(rows: DataFrame, settings: Settings, text: str = "text", label
     c1, c0 = F.col("c1"), F.col("c") - F.col("c1")
     odds = F.log((c1 + 0.5) / (n1 + 1)) - F.log((c0 + 0.5) / (n0 + 1))
     sure = odds / F.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
-    best = counted.select("term", odds.alias("odds"), sure.alias("sure")).where(F.col("odds") >= settings.min_log_odds)
-    return {r["term"]: r["odds"] for r in best.orderBy(F.desc("sure"), "term").limit(settings.max_terms).collect()}
+    best = counted.select("term", sure.alias("sure")).where(F.col("sure") >= settings.min_sure)
+    return {r["term"]: r["sure"] for r in best.orderBy(F.desc("sure"), "term").limit(settings.max_terms).collect()}
 
 
 @dataclass
