@@ -40,7 +40,7 @@ OBFUSCATED = re.compile(r"[^\W\d_][@$*!|0-9]+[^\W\d_]|(?:[^\W\d_][.\-_*]){2,}[^\
 BEGINNINGS = (4, 5, 6, 7)
 #: Columns of the matrix of tokens, and of the features made from them.
 TOKEN_FEATURES = ("strong", "medium", "weight", "seed", "second", "capitals", "marks", "symbols", "obfuscated", "chars")
-FEATURES = (*TOKEN_FEATURES[:-1], "chars_per_token", "peak", "near_second", "log_tokens")
+FEATURES = (*TOKEN_FEATURES[:-1], "chars_per_token", "peak", "hits", "mass", "seeds", "near_second", "log_tokens")
 
 
 @dataclass(frozen=True)
@@ -50,8 +50,8 @@ class Settings:
     max_rows: int = 20_000
     max_terms: int = 2_000
     min_toxic_docs: int = 2
-    min_sure: float = 1.5
-    strong: float = 2.8
+    min_log_odds: float = 1.5
+    strong_log_odds: float = 3.0
     near: int = 5
     trees: int = 30
     depth: int = 4
@@ -93,8 +93,8 @@ class TokenTable(dict):
         letters = "".join(words)
         symbols = sum(not c.isalnum() and c not in ".,;:!?'\"-()" for c in token)
         self.rows[at] = (
-            weight >= self.settings.strong,
-            0 < weight < self.settings.strong,
+            weight >= self.settings.strong_log_odds,
+            0 < weight < self.settings.strong_log_odds,
             weight,
             any(w in SEED for w in words),
             any(w in SECOND_PERSON for w in words),
@@ -120,7 +120,8 @@ def features(texts: list[str], tokens: TokenTable) -> np.ndarray:
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     rows = tokens.rows[ids]
     n = np.maximum(sizes - 1, 1)
-    shares = np.add.reduceat(rows, starts, axis=0) / n[:, None]
+    sums = np.add.reduceat(rows, starts, axis=0)
+    shares = sums / n[:, None]
     peak = np.maximum.reduceat(rows[:, 2], starts)
     hits = np.flatnonzero(rows[:, 0] + rows[:, 3])
     second = np.flatnonzero(rows[:, 4])
@@ -132,7 +133,7 @@ def features(texts: list[str], tokens: TokenTable) -> np.ndarray:
             same = np.searchsorted(starts, at, "right") - 1 == owner
             close |= same & (np.abs(at - hits) <= tokens.settings.near)
     near = np.bincount(owner, close, len(texts)) / np.maximum(np.bincount(owner, minlength=len(texts)), 1)
-    return np.column_stack([shares[:, :-1], shares[:, -1], peak, near, np.log1p(sizes - 1)])
+    return np.column_stack([shares[:, :-1], shares[:, -1], peak, sums[:, 0], sums[:, 2], sums[:, 3], near, np.log1p(sizes - 1)])
 
 
 def with_features(df: DataFrame, lexicon: dict[str, float], settings: Settings, text: str = "text") -> DataFrame:
@@ -170,7 +171,7 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[
 
 def learn_lexicon(rows: DataFrame, settings: Settings, text: str = "text", label: str = "toxic") -> dict[str, float]:
     """Words and their beginnings (``abcd*``) with their log odds of toxic against other
-    documents in standard errors; the highest are kept."""
+    documents; those that are surest (odds by standard error) are kept."""
     words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))
     starts = [F.transform("words", lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in BEGINNINGS]
     tokens = F.array_distinct(F.concat("words", *starts))
@@ -189,8 +190,8 @@ def learn_lexicon(rows: DataFrame, settings: Settings, text: str = "text", label
     c1, c0 = F.col("c1"), F.col("c") - F.col("c1")
     odds = F.log((c1 + 0.5) / (n1 + 1)) - F.log((c0 + 0.5) / (n0 + 1))
     sure = odds / F.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
-    best = counted.select("term", sure.alias("sure")).where(F.col("sure") >= settings.min_sure)
-    return {r["term"]: r["sure"] for r in best.orderBy(F.desc("sure"), "term").limit(settings.max_terms).collect()}
+    best = counted.select("term", odds.alias("odds"), sure.alias("sure")).where(F.col("odds") >= settings.min_log_odds)
+    return {r["term"]: r["odds"] for r in best.orderBy(F.desc("sure"), "term").limit(settings.max_terms).collect()}
 
 
 @dataclass
