@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, licenses, toxicity, url_filter
+from . import decontamination, html_text, licenses, line_dedup, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,78 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+ORACLE_SQL["op3_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls,
+         list_transform(string_split(text, chr(10)), lambda l: ('0x' || substr(md5(l), 1, 8))::BIGINT) AS hs
+  FROM documents),
+rolled AS (
+  SELECT *, list_transform(range(0, len(ls)), lambda i: CASE WHEN i = 0 THEN 1099511627776
+                                                        ELSE (hs[i] * 31 + hs[i + 1]) % 4294967296 END) AS r
+  FROM lines),
+cuts AS (
+  SELECT *, list_filter(range(0, len(ls)), lambda i: i = 0
+      OR (r[i + 1] < r[i] AND r[i + 1] <= coalesce(r[i + 2], 1099511627776))
+      OR length(ls[i + 1]) >= 200 OR length(ls[i]) >= 200) AS starts
+  FROM rolled),
+flat AS (
+  SELECT doc_id, text, ls, unnest(starts) AS a,
+         unnest(list_append(starts[2:], len(ls))) AS b
+  FROM cuts WHERE text IS NOT NULL),
+chunks AS (
+  SELECT doc_id, text, a, b - a AS n, array_to_string(ls[a + 1 : b], chr(10)) AS chunk FROM flat),
+marked AS (
+  SELECT *, (n > 1 OR length(chunk) >= 200) AND length(chunk) >= 30
+      AND row_number() OVER (PARTITION BY chunk, (n > 1 OR length(chunk) >= 200) ORDER BY doc_id, a) > 1 AS gone
+  FROM chunks),
+merged AS (
+  SELECT doc_id, sum(n) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS n_removed,
+         coalesce(string_agg(chunk, chr(10) ORDER BY a) FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(length(CASE WHEN d.text IS NULL THEN NULL ELSE kept END) AS BIGINT) AS n_chars,
+       md5(CASE WHEN d.text IS NULL THEN NULL ELSE kept END) AS text_md5
+FROM documents d LEFT JOIN merged m USING (doc_id)
+"""
+
+
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
+
+
+ORACLE_SQL["op8_decontamination"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+tests AS (
+  SELECT DISTINCT item, unnest(CASE WHEN len(w) < 10 THEN [w] ELSE list_transform(range(0, len(w) - 9), lambda i: w[i + 1 : i + 10]) END) AS win
+  FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(win) AS n FROM tests),
+seen AS (SELECT rid, n, w, unnest(range(0, len(w) - n + 1)) AS p FROM d CROSS JOIN sizes),
+hits AS (
+  SELECT rid, p, n, item
+  FROM (SELECT rid, p, n, array_to_string(w[p + 1 : p + n], ' ') AS k FROM seen) JOIN (SELECT item, array_to_string(win, ' ') AS k FROM tests) USING (k)),
+covered AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + n)) AS q FROM hits) GROUP BY rid),
+listed AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM hits WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN listed USING (rid)
+"""

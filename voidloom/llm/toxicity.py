@@ -173,8 +173,11 @@ def learn_lexicon(rows: DataFrame, settings: Settings, text: str = "text", label
     """Words and their beginnings (``abcd*``) with their log odds of toxic against other
     documents; those that are surest (odds by standard error) are kept."""
     words = F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}]+"))
-    starts = [F.transform("words", lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in BEGINNINGS]
-    tokens = F.array_distinct(F.concat("words", *starts))
+
+    def starts(k: int) -> Column:
+        return F.transform("words", lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
+
+    tokens = F.array_distinct(F.concat("words", *[starts(k) for k in BEGINNINGS]))
     n = rows.agg(F.sum(label).alias("toxic"), F.count("*").alias("n")).first()
     n1, n0 = int(n["toxic"] or 0), int(n["n"]) - int(n["toxic"] or 0)
     if not n1 or not n0:
