@@ -1,30 +1,68 @@
-"""A corpus cleaned in stages: toxicity, line dedup, near-dedup, benchmark decontamination, tokens."""
+"""A corpus cleaned in stages: toxicity, line dedup, near-dedup, benchmark decontamination, piece ids.
+
+Each stage takes all that the one before kept. ``run`` writes every stage's result as Parquet to the shared folder and
+reads it again, so a lost executor costs one stage's tasks at most.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voidloom.llm import toxicity
+from voidloom.llm import decontamination, line_dedup, near_dedup, pieces, toxicity
 from voidloom.llm.common import ensure_checkpoint_dir, table
+from voidloom.llm.queries import vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose calibrated toxicity is below the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return model.score(docs.withColumn("__whole", F.col("text"))).where("predicted = 0").withColumnRenamed("__whole", "text").select(*docs.columns)
+    return model.score(docs).where("predicted = 0").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines leave their later places; documents of which nothing is left go."""
+    kept = line_dedup.dedup_lines(docs).where("n_removed = 0 or length(trim(text)) > 0")
+    size = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return kept.select(*[size.alias(c) if c == "n_chars" else c for c in docs.columns])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of five-word shingle sets that links of similarity 0.8 or more join."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of ten words of a benchmark item."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text, and whether they decode to it."""
+    model = vocabulary("piece_bpe_32k.model")
+    back = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), model), model)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
-STAGES = [("toxicity", drop_toxic)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("SentencePiece ids", encode_pieces),
+]
+#: No SQL: the classifier and the pieces have none; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result is written to the shared folder and read again by the next."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{number}-{name.replace(' ', '-')}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
+        stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
     return docs

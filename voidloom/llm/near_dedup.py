@@ -278,14 +278,27 @@ def _classes(drawn: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id (smallest doc_id that is reachable) and kept, a row for each document."""
+    """doc_id, text_key, n_shingles, component_id (smallest doc_id that is reachable), kept (it is this one) and stays
+    (so is its text), a row for each document."""
     docs = docs.select("doc_id", "text")
     drawn = checkpoint(sketches(docs, settings))
     classes = _classes(drawn)
     roots = components(links(classes, docs, settings)).withColumnRenamed("node", "class")
-    named = classes.select("class", "set_key", "first.doc_id").join(roots, "class", "left").select("set_key", "doc_id", F.coalesce("component", "class").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    groups = named.join(least, "root").select("set_key", "component_id")
+    named = classes.select("class", "set_key", "first.doc_id", "first.text_key").join(roots, "class", "left").select("set_key", "doc_id", "text_key", F.coalesce("component", "class").alias("root"))
+    least = named.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    groups = named.join(least, "root").select("set_key", "least")
     out = drawn.select("doc_id", "text_key", "n", "set_key").join(groups, "set_key", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    component = F.coalesce("least.doc_id", "doc_id")
+    stays = F.col("doc_id").eqNullSafe(component) & (F.col("text_key") == F.coalesce("least.text_key", "text_key"))
+    return out.select(
+        "doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), stays.alias("stays")
+    )
+
+
+def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row of each group, with the columns of ``docs``: its smallest (doc_id, text hash). Rows without shingles stay."""
+    stay = near_duplicates(docs, settings).where("stays").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("n_shingles") > 0).alias("__one")).distinct()
+    keyed = docs.withColumn("__text", F.xxhash64("text"))
+    met = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")))
+    once = met.where("__one").dropDuplicates(["doc_id", "__text"])
+    return once.unionByName(met.where("not __one")).select(*docs.columns)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, licenses, line_dedup, near_dedup, token_files, toxicity, url_filter, vector_search
+from . import decontamination, html_text, licenses, line_dedup, near_dedup, pieces, token_files, toxicity, url_filter, vector_search
 from .common import ensure_checkpoint_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), usable=lambda i: ~toxicity.held_out(i))
-    return model.score(docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "text"))
+    scored = model.score(docs.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "text"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 #: The rules of the query's contract.
@@ -212,3 +213,16 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return token_files.read_index(spark, path)
+
+
+@query
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = vocabulary("piece_bpe_32k.model")
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    back = pieces.decode(coded, model)
+    return back.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )

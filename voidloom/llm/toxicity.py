@@ -206,13 +206,13 @@ class Model:
     settings: Settings
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """The other columns of ``df`` with ``score`` and ``predicted``."""
-        keep = [c for c in df.columns if c not in (text, "score", "predicted")]
-        df = df.select(*[F.col(f"`{c}`") for c in [*keep, text]])
+        """``df`` with ``score`` and ``predicted``, added or replaced."""
+        keep = [c for c in df.columns if c not in ("score", "predicted")]
+        df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
         if self.trees is None:
             scored = df.withColumn("score", F.lit(self.prior))
         else:
-            scored = self._raw(with_features(df, self.lexicon, self.settings, text))
+            scored = self._raw(with_features(df, self.lexicon, self.settings, "__text"))
             scored = self.isotonic.setPredictionCol("__score").transform(scored)
             scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score"))))
         predicted = (F.col("score") >= self.settings.threshold).cast("int")
