@@ -5,9 +5,10 @@ Equal sets form a class, of which one document stands for all. Each class gets `
 of an independent hash of all shingles, stored as 6 bits of leading zeros and 10 bits of mantissa. Classes that agree in
 all registers of a band meet in a bucket; with 48 bands of 5 a pair at similarity 0.8 fails to meet with a chance of 5e-9.
 
-Buckets are not expanded into pairs. First every class of a bucket meets the bucket's pivot; links join components.
-Then only classes of another component than their pivot's meet the rest of their bucket, and of those only pairs that
-the triangle inequality of the Jaccard distance and the set sizes leave open. A pair's similarity is first estimated
+Buckets are not expanded into pairs. Turn by turn every bucket draws a pivot, which meets the bucket's classes of other
+components; links join components, and buckets of one component are done. After the last turn the classes outside their
+bucket's largest component meet the rest of it: pair by pair in small buckets, in blocks that only give links in large
+ones. So no link between components is lost, whatever the group's size. A pair's similarity is first estimated
 from the registers, corrected for chance collisions of compressed registers; pairs within six standard errors of the
 limit or above are verified on the full sets of their texts.
 
@@ -21,6 +22,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -35,13 +37,18 @@ MANTISSA = 10
 
 @dataclass(frozen=True)
 class Settings:
-    """``percent``: 100 * intersection >= percent * union links. ``slack``: standard errors below the limit that are verified."""
+    """``percent``: 100 * intersection >= percent * union links. ``slack``: standard errors below the limit that are
+    verified; ``turns``: rounds of pivots; ``small``: pairs of a bucket that are left to Spark, larger buckets are
+    compared in blocks of ``block`` classes."""
 
     k: int = 5
     percent: int = 80
     bands: int = 48
     rows: int = 5
     slack: float = 6.0
+    turns: int = 3
+    small: int = 64
+    block: int = 4096
 
     @property
     def registers(self) -> int:
@@ -158,10 +165,10 @@ def sketches(docs: DataFrame, settings: Settings) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, text_key long, n long, set_key binary, sketch binary")
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+def _estimated(pairs: DataFrame, ready: DataFrame, settings: Settings) -> DataFrame:
     """Pairs (a, b) with the sizes of both sets and ``est``."""
-    left = classes.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
-    right = classes.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
+    left = ready.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
+    right = ready.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +181,19 @@ def _estimated(pairs: DataFrame, classes: DataFrame, settings: Settings) -> Data
     return joined.mapInArrow(run, "a long, b long, n_a long, n_b long, est double")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """a, b and ``jac`` (exact similarity) of pairs, from the whole texts of the classes' first documents."""
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = classes.join(ends, "class").select("class", F.col("first.doc_id").alias("w_id"), F.col("first.text_key").alias("w_key"))
+def _ready(wanted: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """class, n, sketch and text (of the first document) of each wanted class, kept by class in the shared folder."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    firsts = classes.join(wanted, "class").select("class", "n", "sketch", F.col("first.doc_id").alias("w_id"), F.col("first.text_key").alias("w_key"))
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     same = keyed["doc_id"].eqNullSafe(F.col("w_id")) & (keyed["text_key"] == F.col("w_key"))
-    texts = checkpoint(keyed.join(wanted, same).select("class", "text").dropDuplicates(["class"]))
+    found = keyed.join(firsts, same).select("class", "n", "sketch", "text").repartition(parts, "class")
+    return checkpoint(found.dropDuplicates(["class"]))
+
+
+def _verified(pairs: DataFrame, ready: DataFrame, settings: Settings) -> DataFrame:
+    """a, b, jac (exact similarity) and linked of pairs, from the whole texts of the classes' first documents."""
+    texts = ready.select("class", "text")
     joined = (
         pairs.select("a", "b")
         .join(texts.select(F.col("class").alias("a"), F.col("text").alias("t_a")), "a")
@@ -218,12 +231,12 @@ def _pair(x: Column, y: Column) -> tuple[Column, Column]:
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
-def _judge(pairs: DataFrame, classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+def _judge(pairs: DataFrame, ready: DataFrame, settings: Settings) -> DataFrame:
     """a, b, est, jac, linked: exact for the pairs whose estimate leaves the link open, null beyond."""
-    est = checkpoint(_estimated(pairs, classes, settings))
+    est = checkpoint(_estimated(pairs, ready, settings))
     least = settings.percent / 100 - settings.margin
     open_pairs = est.where((F.col("est") >= least) & (100 * F.least("n_a", "n_b") >= settings.percent * F.greatest("n_a", "n_b")))
-    exact = _verified(open_pairs, classes, docs, settings)
+    exact = _verified(open_pairs, ready, settings)
     return checkpoint(est.join(exact, ["a", "b"], "left").select("a", "b", "est", "jac", F.coalesce("linked", F.lit(False)).alias("linked")))
 
 
@@ -234,33 +247,110 @@ def links(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
         lambda band: F.xxhash64(band, F.substring(F.col("sketch"), band * (2 * settings.rows) + 1, F.lit(2 * settings.rows))),
     )
     members = classes.select("class", "n", F.explode(keys).alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.min("class").alias("pivot"), F.max("class").alias("__top")).where("pivot < __top").drop("__top")
-    members = checkpoint(members.join(shared, "bucket"))
-    star = members.where("class <> pivot").select(*_pair(F.col("class"), F.col("pivot"))).distinct()
-    judged = _judge(star, classes, docs, settings)
+    shared = members.groupBy("bucket").agg(F.min("class").alias("__low"), F.max("class").alias("__top")).where("__low < __top").select("bucket")
+    members = checkpoint(members.join(shared, "bucket").withColumn("root", F.col("class")))
+    ready = _ready(members.select("class").distinct(), classes, docs)
+    judged = None
+    for turn in range(settings.turns):
+        # a pivot for each bucket that still holds two components, against its members of other components
+        order = F.struct(F.xxhash64(F.lit(turn), "class"), "class", "root", "n")
+        pivots = members.groupBy("bucket").agg(F.min(order).alias("p"), F.min("root").alias("__low"), F.max("root").alias("__top"))
+        pivots = pivots.where("__low < __top").select("bucket", F.col("p.class").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.n").alias("p_n"))
+        members = checkpoint(members.join(pivots, "bucket"))
+        star = members.where(F.col("root") != F.col("pivot_root")).where(_sizes_fit(F.col("n"), F.col("p_n"), settings))
+        star = star.select(*_pair(F.col("class"), F.col("pivot"))).distinct()
+        members = members.drop("pivot", "pivot_root", "p_n")
+        star = star if judged is None else star.join(judged, ["a", "b"], "left_anti")
+        fresh = _judge(star, ready, settings)
+        judged = fresh if judged is None else judged.union(fresh)
+        members, joined = _merged(members, fresh)
+        if not joined:
+            break
     found = judged.where("linked").select("a", "b")
 
-    # what the pivots left open: classes outside their pivot's component against the rest of their bucket
-    roots = components(found)
-    known = judged.select("a", "b", (1 - F.coalesce("jac", F.greatest(F.col("est") - settings.margin, F.lit(0.0)))).alias("far"), (1 - F.coalesce("jac", F.least(F.col("est") + settings.margin, F.lit(1.0)))).alias("close"))
-    named = members.join(roots.select(F.col("node").alias("class"), F.col("component").alias("root")), "class", "left")
-    named = named.join(roots.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_root")), "pivot", "left")
-    named = named.select("bucket", "class", "n", "pivot", F.coalesce("root", "class").alias("root"), F.coalesce("pivot_root", "pivot").alias("pivot_root"))
-    named = named.where("class <> pivot").withColumns({"a": F.least("class", "pivot"), "b": F.greatest("class", "pivot")}).join(known, ["a", "b"]).drop("a", "b")
-    outside = named.where("root <> pivot_root")
-    busy = outside.select("bucket").distinct()
-    rest = named.join(busy, "bucket").select(*[F.col(c).alias(f"o_{c}") for c in ("bucket", "class", "n", "root", "close", "far")])
-    limit = 1 - settings.percent / 100 + 1e-9
-    open_pairs = outside.join(
-        rest,
-        (F.col("bucket") == F.col("o_bucket"))
-        & (F.col("root") != F.col("o_root"))
-        & (100 * F.least("n", "o_n") >= settings.percent * F.greatest("n", "o_n"))
-        & (F.col("close") - F.col("o_far") <= limit)
-        & (F.col("o_close") - F.col("far") <= limit),
-    )
-    more = open_pairs.select(*_pair(F.col("class"), F.col("o_class"))).distinct().join(judged, ["a", "b"], "left_anti")
-    return found.union(_judge(more, classes, docs, settings).where("linked").select("a", "b"))
+    # what the pivots left open: members outside their bucket's largest component against the rest of the bucket
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("c"), F.count("*").alias("k")).where("k > 1")
+    largest = largest.select("bucket", F.col("m.root").alias("most"), (F.col("c") * (F.col("c") - F.col("m.c")) > settings.small).alias("large"))
+    busy = checkpoint(members.join(largest, "bucket").select("bucket", "class", "n", "root", "most", "large"))
+    rest = busy.where("not large").select(*[F.col(c).alias(f"o_{c}") for c in ("bucket", "class", "n", "root")])
+    few = busy.where("not large and root <> most").join(rest, (F.col("bucket") == F.col("o_bucket")) & (F.col("root") != F.col("o_root")) & _sizes_fit(F.col("n"), F.col("o_n"), settings))
+    more = few.select(*_pair(F.col("class"), F.col("o_class"))).distinct()
+    more = more.union(_block_links(busy.where("large"), ready, settings)).distinct().join(judged, ["a", "b"], "left_anti")
+    return found.union(_judge(more, ready, settings).where("linked").select("a", "b"))
+
+
+def _band_keys(bands: np.ndarray) -> np.ndarray:
+    """One 64-bit value a band of registers: sketches x bands."""
+    out = np.zeros(bands.shape[:2], U)
+    for j in range(bands.shape[2]):
+        out = mix(out + bands[:, :, j].astype(U) + U(1))
+    return out
+
+
+def _block_links(busy: DataFrame, ready: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) among classes of different components that share a large bucket, found block by block.
+
+    Large buckets that share classes form a cluster, whose classes are dealt into blocks of bounded size. Each block of
+    outside classes meets each block of its cluster; two classes are compared on their full sets of hashes if they agree in
+    a band. Only links come out, one at most from a class to a component, however many pairs a block has to rule out.
+    """
+    hubs = busy.groupBy("bucket").agg(F.min("class").alias("hub"))
+    clusters = components(busy.join(hubs, "bucket").select("class", "hub"), "class", "hub")
+    named = busy.groupBy("class", "n", "root").agg(F.bool_or(F.col("root") != F.col("most")).alias("outside"))
+    named = checkpoint(named.join(clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class"))
+    counts = named.groupBy("cluster").agg(F.ceil(F.count("*") / settings.block).cast("int").alias("blocks"))
+    dealt = named.join(counts, "cluster").join(ready.select("class", "sketch", "text"), "class")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "class"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    columns = ["class", "n", "root", "outside", "sketch", "text"]
+    left = dealt.where("outside").select(F.col("cluster").alias("q_cluster"), F.col("block").alias("q_i"), F.explode(every).alias("q_j"), *[F.col(c).alias(f"q_{c}") for c in columns])
+    right = dealt.select("cluster", F.explode(every).alias("i"), F.col("block").alias("j"), *columns)
+
+    def compare(key: tuple, asked: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(asked) and len(met):
+            known = WordHashes()
+            bands = np.frombuffer(b"".join(met["sketch"]), np.uint16).reshape(len(met), settings.bands, settings.rows)
+            sets = [shingle_hashes(words_of(t), settings.k, known) for t in met["text"]]
+            flat, ends = np.concatenate(sets), np.cumsum([len(x) for x in sets])
+            n, root, number, outside = (met[c].to_numpy() for c in ("n", "root", "class", "outside"))
+            bands = _band_keys(bands)
+            for a, m, r, sketch, text in zip(*[asked[f"q_{c}"] for c in ("class", "n", "root", "sketch", "text")], strict=True):
+                fits = (root != r) & (100 * np.minimum(n, m) >= settings.percent * np.maximum(n, m)) & (~outside | (number > a))
+                at = np.flatnonzero(fits)
+                mine = _band_keys(np.frombuffer(sketch, np.uint16).reshape(1, settings.bands, settings.rows))
+                at = at[(bands[at] == mine).any(axis=1)]
+                if not len(at):
+                    continue
+                own = shingle_hashes(words_of(text), settings.k, known)
+                spans = [slice(ends[i] - len(sets[i]), ends[i]) for i in at]
+                values = np.concatenate([flat[s] for s in spans])
+                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n[at])[:-1]]).astype(np.int64), dtype=np.int64)
+                linked = at[100 * both >= settings.percent * (n[at] + len(own) - both)]
+                _, first = np.unique(root[linked], return_index=True)
+                out += [(min(a, int(number[i])), max(a, int(number[i]))) for i in linked[first]]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    keys = ["cluster", "i", "j"]
+    return left.groupBy(*[f"q_{k}" for k in keys]).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
+
+
+def _sizes_fit(n: Column, m: Column, settings: Settings) -> Column:
+    return 100 * F.least(n, m) >= settings.percent * F.greatest(n, m)
+
+
+def _merged(members: DataFrame, judged: DataFrame) -> tuple[DataFrame, bool]:
+    """Members with the roots that new links join, and whether there were any; buckets of one component are done and go."""
+    new = judged.where("linked").select("a", "b")
+    if not new.limit(1).count():
+        return members, False
+    roots = members.select("class", "root").distinct()
+    ends = new.join(roots.select(F.col("class").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("class").alias("b"), F.col("root").alias("rb")), "b")
+    joined = components(ends.select("ra", "rb"), "ra", "rb").select(F.col("node").alias("root"), "component")
+    named = members.join(joined, "root", "left")
+    return checkpoint(named.withColumn("root", F.coalesce("component", "root")).drop("component")), True
 
 
 def _classes(drawn: DataFrame) -> DataFrame:

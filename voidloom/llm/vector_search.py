@@ -153,15 +153,16 @@ def top_k(vectors: DataFrame, is_query: Column, settings: Settings = Settings(),
             tree = KdTree(data["vec_id"].to_numpy(), points, settings.leaf_rows)
             for at in range(0, len(asked), settings.block_rows):
                 part = asked.iloc[at : at + settings.block_rows]
-                q = _matrix(part["blob"])
+                q = _matrix(part["q_blob"])
                 bounds = tree.bounds(q)
-                for i, (query_id, kth) in enumerate(zip(part["vec_id"], part["kth"], strict=True)):
+                for i, (query_id, kth) in enumerate(zip(part["q_vec_id"], part["q_kth"], strict=True)):
                     found = tree.search(int(query_id), q[i], bounds[:, i], settings.k, None if pd.isna(kth) else int(kth))
                     out += [(int(query_id), v, max(-(2**63), min(2**63 - 1, s))) for s, v in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     def visit(asked: DataFrame) -> DataFrame:
-        right = asked.groupBy("shard", "size")
+        # names of their own: both sides come from the same rows
+        right = asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns]).groupBy("q_shard", "q_size")
         return dealt.groupBy("shard", "size").cogroup(right).applyInPandas(search, "query_id long, vec_id long, score long")
 
     home = F.pmod(F.xxhash64(F.lit("home"), "block"), F.lit(shards)).cast("int")
