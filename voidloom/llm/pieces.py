@@ -57,7 +57,7 @@ def _substring_hashes(codes: np.ndarray, longest: int) -> Iterator[tuple[int, np
 class Vocabulary:
     """Pieces, their scores and sorted keys, read from a model file; keeps a bounded memory of encoded words."""
 
-    def __init__(self, path: str, known: int = 400_000):
+    def __init__(self, path: str, known: int = 250_000):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -164,26 +164,34 @@ class Vocabulary:
         self._learn(list(missing))
         return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32) for words in split]
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with ``out ARRAY<INT>``, added or replaced. ``model`` is a file that every executor has."""
-    keep = [c for c in docs.columns if c != out]
+def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", check: str | None = None) -> DataFrame:
+    """``docs`` with ``out ARRAY<INT>``, added or replaced. ``model`` is a file that every executor has.
+
+    ``check`` names a boolean column for whether the ids decode to the text, found in the same pass.
+    """
+    keep = [c for c in docs.columns if c not in (out, check)]
     source = docs.select(*[F.col(f"`{c}`") for c in keep])
     at = keep.index(text)
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields], f"`{out}` array<int>"])
+    made = [f"`{out}` array<int>", *([f"`{check}` boolean"] if check else [])]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields], *made])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(model)
         for batch in batches:
-            for begin, texts in runs(batch.column(at), 4 << 20):
+            for begin, texts in runs(batch.column(at), 2 << 20):
                 part = batch.slice(begin, len(texts))
                 coded = vocabulary.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(coded) if coded else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*keep, out])
+                columns, names = [*part.columns, lists], [*keep, out]
+                if check:
+                    same = [vocabulary.decode(c.tolist()) == t for c, t in zip(coded, texts, strict=True)]
+                    columns, names = [*columns, pa.array(same, pa.bool_())], [*names, check]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return source.mapInArrow(run, schema)
 

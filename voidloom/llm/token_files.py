@@ -12,11 +12,13 @@ Null and empty texts have the end id alone. Rows with equal ids keep one order (
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ HEADER = struct.Struct("<4sQQBBQ")
 MAGIC = b"VLTS"
 SAMPLE = 64
 #: A space before a visible ASCII or Latin character begins a pre-token, so texts may be cut in front of it.
-CUT = re.compile(" (?=[!-~À-ɏ])")
+CUT = re.compile("(?= [!-~À-ɏ])")
 
 
 @dataclass(frozen=True)
@@ -36,8 +38,8 @@ class Settings:
     """``segment_ids``: a segment is closed once it has so many ids (a document is never split)."""
 
     end_id: int = 0
-    segment_ids: int = 1 << 20
-    known_pieces: int = 600_000
+    segment_ids: int = 1 << 18
+    known_pieces: int = 300_000
 
 
 class EliasFano:
@@ -125,10 +127,11 @@ class Segment:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers file. Texts are cut before spaces that surely begin a pre-token; each distinct
+    """Ids of whole texts by a tokenizers file, in one thread. Texts are cut before spaces that surely begin a pre-token; each distinct
     piece is encoded by the library once and remembered, at most ``known`` pieces at a time."""
 
     def __init__(self, path: str, known: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -136,16 +139,23 @@ class Encoder:
         self.known = known
         self.pieces: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, pieces: list[str]) -> None:
+        coded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) * 4
+        flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1]) // 4).tobytes()
+        begin = 0
+        for piece, end in zip(pieces, ends.tolist(), strict=True):
+            self.pieces[piece] = flat[begin:end]
+            begin = end
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        split = [[" " + p if i else p for i, p in enumerate(CUT.split(t))] for t in texts]
+        split = list(map(CUT.split, texts))
         if len(self.pieces) > self.known:
             self.pieces.clear()
-        missing = list({p for parts in split for p in parts} - self.pieces.keys())
-        self.pieces.update(zip(missing, self._encode(missing), strict=True))
+        missing = list(set(chain.from_iterable(split)).difference(self.pieces))
+        if missing:
+            self._learn(missing)
         return [b"".join(map(self.pieces.__getitem__, parts)) for parts in split]
 
 
