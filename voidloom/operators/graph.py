@@ -263,15 +263,16 @@ def random_walks(rows: DataFrame, starts: DataFrame, walks: int, seed: int, stop
     def draw(step: Column) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed), "walk", step), F.lit(1 << 53)).cast("double") / float(1 << 53)
 
+    ends = stop.select("node", F.lit(True).alias("end")).distinct()
     at = spark.range(walks).select(F.col("id").cast("int").alias("walk")).withColumn("i", F.floor(draw(F.lit(0)) * n).cast("int"))
-    at = checkpoint(at.join(first, "i").select("walk", "node", F.array("node").alias("path")))
-    done = at.join(stop.select("node"), "node", "left_semi").select("walk", "path")
-    at = at.join(stop.select("node"), "node", "left_anti")
-    for step in range(1, most):
-        moved = at.withColumn("u", draw(F.lit(step))).join(spans, (F.col("node") == F.col("src")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
-        at = checkpoint(moved.select("walk", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path")))
-        done = checkpoint(done.union(at.join(stop.select("node"), "node", "left_semi").select("walk", "path")))
-        at = checkpoint(at.join(stop.select("node"), "node", "left_anti"))
-        if not at.limit(1).count():
+    at = at.join(first, "i").join(ends, "node", "left").select("walk", "node", F.array("node").alias("path"), F.coalesce("end", F.lit(False)).alias("ended"))
+    for begin in range(1, most, 8):
+        for step in range(begin, min(begin + 8, most)):  # eight steps between checkpoints
+            moved = at.withColumn("u", draw(F.lit(step))).join(spans, ~F.col("ended") & (F.col("node") == F.col("src")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")), "left")
+            path = F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst")))
+            moved = moved.select("walk", F.coalesce("dst", "node").alias("node"), path.alias("path"))
+            at = moved.join(ends, "node", "left").select("walk", "node", "path", F.coalesce("end", F.lit(False)).alias("ended"))
+        at = checkpoint(at)
+        if not at.where("not ended").limit(1).count():
             break
-    return done
+    return at.where("ended").select("walk", "path")

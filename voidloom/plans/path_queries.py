@@ -1 +1,148 @@
-"""Path queries."""
+"""Queries over paths: users' events as walks over cells of ten value units, and walks through the void grid."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import paths as P
+from ..operators import graph as R
+from ..operators import grid as G
+from ..operators import homology as H
+from ..session import checkpoint
+from ..sources.tables import table
+from .grid_queries import GRID, N, _void
+from .registry import query
+
+PATHS_SQL = "paths AS (SELECT user_id AS path_id, list(CAST(floor(value / 10) AS BIGINT) ORDER BY ts, event_id) AS path FROM events GROUP BY user_id)"
+STEPS_SQL = f"""{PATHS_SQL}, cells AS (SELECT user_id AS path_id, CAST(floor(value / 10) AS BIGINT) AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
+hops AS (SELECT path_id, pos, c AS src, lead(c) OVER (PARTITION BY path_id ORDER BY pos) AS dst FROM cells)"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id", F.floor(F.col("value") / 10).cast("long").alias("c")).alias("s"))
+    return e.groupBy(F.col("user_id").alias("path_id")).agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["c"]).alias("path"))
+
+
+def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    c = F.floor(F.col("value") / 10).cast("long")
+    e = table(spark, sf_dir, "events").withColumn("c", c)
+    return e.select(F.col("user_id").alias("path_id"), F.col("c").alias("src"), F.lead("c").over(w).alias("dst")).where("dst is not null")
+
+
+@query(f"WITH {STEPS_SQL}, k AS (SELECT path_id, pos, src, lag(src) OVER (PARTITION BY path_id ORDER BY pos) AS p FROM hops) SELECT path_id, string_agg(src, ',' ORDER BY pos) AS path FROM k WHERE p IS NULL OR p <> src GROUP BY path_id")
+def dedup_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("path_id", F.array_join(P.drop_repeats(F.col("path")), ",").alias("path"))
+
+
+@query(f"""WITH {STEPS_SQL} SELECT path_id, least(src, dst) AS u, greatest(src, dst) AS v FROM hops WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL HAVING count(*) % 2 = 1""")
+def path_edges_mod2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.edge_vectors(_paths(spark, sf_dir)).select("path_id", F.explode("edges").alias("e")).select("path_id", "e.u", "e.v")
+
+
+@query(f"WITH {STEPS_SQL} SELECT path_id, CAST(sum(abs(dst - src)) AS BIGINT) AS length FROM hops WHERE dst IS NOT NULL GROUP BY path_id")
+def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hops(spark, sf_dir).groupBy("path_id").agg(F.sum(F.abs(F.col("dst") - F.col("src"))).alias("length"))
+
+
+@query(f"""WITH {STEPS_SQL}, n AS (SELECT path_id, max(pos) AS n, coalesce(min(pos) FILTER (pos > 1 AND c > 15 * (1 + 1e-5)), max(pos) + 1) AS far FROM cells GROUP BY path_id)
+SELECT path_id, count(*) AS n, CAST(sum(c) AS BIGINT) AS total FROM cells JOIN n USING (path_id) WHERE n < 2 OR pos >= far - 1 GROUP BY path_id""")
+def trim_bottom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = P.trim_below(F.col("path"), F.col("path"), 15.0)
+    return _paths(spark, sf_dir).select("path_id", cut.alias("p")).select("path_id", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"""WITH {STEPS_SQL}, n AS (SELECT path_id, max(pos) AS n, coalesce(max(pos) FILTER (c < 30 * (1 - 1e-6) AND pos < m), 0) AS low FROM (SELECT *, max(pos) OVER (PARTITION BY path_id) AS m FROM cells) GROUP BY path_id)
+SELECT path_id, count(*) AS n, CAST(sum(c) AS BIGINT) AS total FROM cells JOIN n USING (path_id) WHERE n < 2 OR pos <= greatest(low + 1, 1) GROUP BY path_id""")
+def trim_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = P.trim_above(F.col("path"), F.col("path"), 30.0)
+    return _paths(spark, sf_dir).select("path_id", cut.alias("p")).select("path_id", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query(f"WITH {PATHS_SQL} SELECT path_id, list_aggregate(list_concat(list_reverse(path[1:3]), list_concat(path, list_reverse(path[1:2]))), 'string_agg', ',') AS loop FROM paths")
+def close_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("path")
+    return _paths(spark, sf_dir).select("path_id", F.array_join(P.close_loop(F.slice(p, 1, 3), p, F.slice(p, 1, 2)), ",").alias("loop"))
+
+
+@query(f"WITH {PATHS_SQL} SELECT path_id, list_aggregate(list_resize(path[1:80], 80, -1), 'string_agg', ',') AS row FROM paths")
+def padded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("path_id", F.array_join(P.padded(F.col("path"), 80), ",").alias("row"))
+
+
+@query(f"""WITH {STEPS_SQL}, w AS (SELECT src, dst, sum(exp(-0.5 * abs(dst - src) / 2.0 - (0.1 * (dst - src) + 0.05 * abs(dst - src)) / 4.0)) AS w FROM hops WHERE dst IS NOT NULL GROUP BY src, dst)
+SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS p FROM w""")
+def markov_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _markov(spark, sf_dir).select("src", "dst", F.round("p", 6).alias("p"))
+
+
+def _markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = F.col("dst") - F.col("src")
+    weight = R.transition(F.abs(step), step, F.abs(step), 0.5, 0.1, 0.05, 2.0)
+    summed = _hops(spark, sf_dir).groupBy("src", "dst").agg(F.sum(weight).alias("weight"))
+    return R.markov_rows(summed, F.col("weight")).select("src", "dst", "p")
+
+
+@query(f"""WITH {STEPS_SQL}, f AS (SELECT src, dst, count(*) AS n FROM hops WHERE dst IS NOT NULL GROUP BY 1, 2)
+SELECT src, dst, CAST(sum(v) AS BIGINT) AS net FROM (SELECT src, dst, n AS v FROM f UNION ALL SELECT dst, src, -n FROM f) GROUP BY src, dst""")
+def line_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _hops(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("v"))
+    return f.union(f.select("dst", "src", -F.col("v"))).groupBy("src", "dst").agg(F.sum("v").alias("net"))
+
+
+@query(f"""WITH RECURSIVE {STEPS_SQL}, g AS (SELECT DISTINCT src AS u, dst AS v FROM hops WHERE dst IS NOT NULL AND abs(src - dst) BETWEEN 1 AND 3), e AS (SELECT u, v FROM g UNION SELECT v, u FROM g),
+r(node, d) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.v, r.d + abs(e.u - e.v) FROM r JOIN e ON e.u = r.node WHERE r.d < 60)
+SELECT CAST(0 AS BIGINT) AS source, node, CAST(min(d) AS DOUBLE) AS d FROM r GROUP BY node""")
+def geodesic_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ways(spark, sf_dir).select("source", "node", "d")
+
+
+def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _hops(spark, sf_dir).where("abs(src - dst) between 1 and 3")
+    e = h.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    e = e.withColumn("length", (F.col("b") - F.col("a")).cast("double"))
+    return R.geodesics(e, spark.range(1).select(F.col("id").alias("node")))
+
+
+@query()
+def geodesic_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ways = _ways(spark, sf_dir)
+    return R.paths_to(ways, ways.select("source", "node"))
+
+
+@query()
+def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = checkpoint(_markov(spark, sf_dir))
+    starts = rows.select(F.col("src").alias("node")).distinct().where("node < 5")
+    stop = rows.select(F.col("dst").alias("node")).distinct().where("node > 10")
+    return R.random_walks(rows, starts, 50, 7, stop, 33)
+
+
+def _grid_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(void nodes, triangles, straight walks along x through the lowest planes) of the void grid."""
+    v = _void(spark, sf_dir)
+    w = v.where("iz < 3").groupBy("iy", "iz").agg(F.array_sort(F.collect_list(F.struct("ix", "gid"))).alias("p"))
+    walks = w.select((F.col("iy") * N + F.col("iz")).cast("long").alias("path_id"), F.transform("p", lambda x: x["gid"]).alias("path"))
+    return v, checkpoint(G.triangles(GRID, v.where("iz < 3"))), checkpoint(walks)
+
+
+@query()
+def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, triangles, walks = _grid_paths(spark, sf_dir)
+    edges = G.neighbours(GRID, v, "edge").select(F.col("gid").alias("a"), F.col("nid").alias("b"))
+    return H.classes(H.normal_forms(H.edge_vectors(walks, edges), triangles))
+
+
+@query()
+def loop_fillings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, triangles, walks = _grid_paths(spark, sf_dir)
+    edges = G.neighbours(GRID, v, "edge").select(F.col("gid").alias("a"), F.col("nid").alias("b"))
+    return H.normal_forms(H.edge_vectors(walks, edges), triangles).select("path_id", F.size("form").alias("left"), F.size("filling").alias("triangles"))
+
+
+@query()
+def path_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, triangles, walks = _grid_paths(spark, sf_dir)
+    edges = G.neighbours(GRID, v, "edge").select(F.col("gid").alias("a"), F.col("nid").alias("b"))
+    return H.overlap_summary(walks, v.select("gid", (F.col("ix") / 4).cast("int").alias("slab")), triangles, edges)

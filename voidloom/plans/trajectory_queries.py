@@ -56,7 +56,7 @@ def position_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT atom, avg(x) AS m FROM bb GROUP BY atom),
 p AS (SELECT i.atom, i.frame, i.x, least(abs(i.x - b.x), 100.0 - abs(i.x - b.x)) AS d, (b.x - m + 50.0) - 100.0 * floor((b.x - m + 50.0) / 100.0) - 50.0 AS u
   FROM ions i JOIN bb b USING (frame) JOIN m ON m.atom = b.atom),
-s AS (SELECT atom, frame, x, x - sum(exp(-d * d) * u) / sum(exp(-d * d)) AS y FROM p WHERE d <= 6 GROUP BY ALL)
+s AS (SELECT atom, frame, x, x - sum(exp(-d * d) * u) / sum(exp(-d * d)) AS y FROM p WHERE d <= 6 GROUP BY atom, frame, x)
 SELECT atom, CAST(frame AS INTEGER) AS frame, round(y - 100.0 * floor(y / 100.0), 6) AS x FROM s""")
 def ion_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = event_frames(spark, sf_dir)
