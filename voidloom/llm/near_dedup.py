@@ -46,7 +46,7 @@ class Settings:
     bands: int = 48
     rows: int = 5
     slack: float = 6.0
-    turns: int = 3
+    turns: int = 2
     small: int = 64
     block: int = 4096
 
@@ -256,10 +256,8 @@ def links(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
         order = F.struct(F.xxhash64(F.lit(turn), "class"), "class", "root", "n")
         pivots = members.groupBy("bucket").agg(F.min(order).alias("p"), F.min("root").alias("__low"), F.max("root").alias("__top"))
         pivots = pivots.where("__low < __top").select("bucket", F.col("p.class").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.n").alias("p_n"))
-        members = checkpoint(members.join(pivots, "bucket"))
-        star = members.where(F.col("root") != F.col("pivot_root")).where(_sizes_fit(F.col("n"), F.col("p_n"), settings))
+        star = members.join(pivots, "bucket").where(F.col("root") != F.col("pivot_root")).where(_sizes_fit(F.col("n"), F.col("p_n"), settings))
         star = star.select(*_pair(F.col("class"), F.col("pivot"))).distinct()
-        members = members.drop("pivot", "pivot_root", "p_n")
         star = star if judged is None else star.join(judged, ["a", "b"], "left_anti")
         fresh = _judge(star, ready, settings)
         judged = fresh if judged is None else judged.union(fresh)
@@ -276,7 +274,9 @@ def links(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     rest = busy.where("not large").select(*[F.col(c).alias(f"o_{c}") for c in ("bucket", "class", "n", "root")])
     few = busy.where("not large and root <> most").join(rest, (F.col("bucket") == F.col("o_bucket")) & (F.col("root") != F.col("o_root")) & _sizes_fit(F.col("n"), F.col("o_n"), settings))
     more = few.select(*_pair(F.col("class"), F.col("o_class"))).distinct()
-    more = more.union(_block_links(busy.where("large"), ready, settings)).distinct().join(judged, ["a", "b"], "left_anti")
+    if busy.where("large").limit(1).count():
+        more = more.union(_block_links(busy.where("large"), ready, settings)).distinct()
+    more = more.join(judged, ["a", "b"], "left_anti")
     return found.union(_judge(more, ready, settings).where("linked").select("a", "b"))
 
 
