@@ -71,3 +71,19 @@ def test_flow_through_an_empty_channel(spark, tmp_path):
     assert 0 < row["norm_flow"] <= 1.5 and abs(row["flow"] - row["norm_flow"] * row["slice_area"]) < 1e-12
     sinks.write_flow(result, str(tmp_path / "flow"))
     assert spark.read.csv(str(tmp_path / "flow"), header=True).columns == ["Flow", "Slice Area", "Normalized Flow"]
+
+
+def test_command_line_flow(spark, tmp_path):
+    import numpy as np
+
+    from voidloom import __main__ as cli
+
+    rng = np.random.default_rng(0)
+    rows, text = [(i + 1, 1, *map(float, rng.uniform(0, 4, 3))) for i in range(12)] + [(13, 2, 2.0, 2.0, 2.0), (14, 2, 1.0, 3.0, 0.5)], ""
+    for t in range(4):
+        text += f"ITEM: TIMESTEP\n{t}\nITEM: NUMBER OF ATOMS\n14\nITEM: BOX BOUNDS pp pp pp\n0 4\n0 4\n0 4\nITEM: ATOMS id type x y z\n"
+        text += "".join(f"{i} {k} {x + 0.01 * t:.4f} {y:.4f} {z:.4f}\n" for i, k, x, y, z in rows)
+    (tmp_path / "d.lammpstrj").write_text(text)
+    (tmp_path / "f.yaml").write_text(f"trajectory_path: {tmp_path}/d.lammpstrj\natom_type_map: {{1: Si, 2: Na}}\nbackbone_atoms: [Si]\nflow_atoms: [Na]\ngrid_spacing: 0.8\nreeb_stride: 1\ncommon_backbone: false\n")
+    cli.main(["flow", str(tmp_path / "f.yaml"), "--output-csv", str(tmp_path / "o")])
+    assert spark.read.csv(str(tmp_path / "o"), header=True).count() == 1

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES
@@ -31,7 +31,6 @@ def sample_points(spark: SparkSession, path: str, fmt: str, settings: config.Str
         image = (F.col("ia") * settings.repeat[1] + F.col("ib")) * settings.repeat[2] + F.col("ic")
     else:
         image = F.lit(0)
-    from pyspark.sql import Window
 
     order = Window.partitionBy("frame_id").orderBy("image", "atom_id")
     numbered = atoms.withColumn("image", image).withColumn("pid", (F.row_number().over(order) - 1).cast("int"))
@@ -95,3 +94,18 @@ def circular_flow(balls: DataFrame, box: tuple[float, float, float], settings: c
         balls, box = P.rotate_axes(balls), (box[2], box[0], box[1])
     slice_area = box[0] * box[1]
     return checkpoint(out).agg(F.avg("area").alias("flow")).select("flow", F.lit(slice_area).alias("slice_area"), (F.col("flow") / slice_area).alias("norm_flow"))
+
+
+def flow_of_file(spark: SparkSession, settings: config.Flow) -> DataFrame:
+    """``circular_flow`` of the mean backbone of an orthorhombic trajectory file."""
+    structures.register(spark)
+    reader = spark.read.format(settings.file_format)
+    lattice = spark.read.format(settings.file_format).option("frames", "true").load(settings.trajectory_path).where("frame_id = 0").first()["lattice"]
+    atoms = reader.load(settings.trajectory_path)
+    frames = atoms.where(F.col("frame_id") < settings.frame_end) if settings.frame_end is not None else atoms
+    frames = J.every_nth(frames, settings.frame_step, settings.frame_start, frame="frame_id")
+    frames = P.remap_types(frames, settings.atom_type_map) if settings.atom_type_map else frames
+    number = ((F.col("frame_id") - settings.frame_start) / settings.frame_step).cast("int")
+    frames = checkpoint(frames.select(number.alias("frame"), F.col("atom_id").alias("atom"), "species", *AXES))
+    box = (float(lattice[0]), float(lattice[4]), float(lattice[8]))
+    return circular_flow(flow_backbone(frames, settings, box), box, settings)
