@@ -18,14 +18,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     both = checkpoint(pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
     labels = checkpoint(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
     for _ in range(rounds):
-        before = labels.select("node", F.col("component").alias("before"))
-        for _ in range(2):  # two steps between checkpoints
-            seen = labels.select(F.col("node").alias("y"), F.col("component").alias("l")).hint("merge")
-            around = both.join(seen, "y").groupBy(F.col("x").alias("node")).agg(F.min("l").alias("l"))
-            near = labels.join(around.hint("merge"), "node").select("node", F.least("component", "l").alias("component"))
-            jump = near.select(F.col("node").alias("component"), F.col("component").alias("root")).hint("merge")
-            labels = near.join(jump, "component", "left").select("node", F.least("component", "root").alias("component"))
-        labels = checkpoint(labels.join(before.hint("merge"), "node"))
+        seen = labels.select(F.col("node").alias("y"), F.col("component").alias("l"))
+        around = both.join(seen, "y").groupBy(F.col("x").alias("node")).agg(F.min("l").alias("l"))
+        near = labels.join(around, "node").select("node", F.col("component").alias("before"), F.least("component", "l").alias("component"))
+        jump = near.select(F.col("node").alias("component"), F.col("component").alias("root"))
+        labels = checkpoint(near.join(jump, "component", "left").select("node", "before", F.least("component", "root").alias("component")))
         changed = labels.where("component <> before").limit(1).count()
         labels = labels.select("node", "component")
         if not changed:

@@ -240,8 +240,8 @@ def _judge(pairs: DataFrame, ready: DataFrame, settings: Settings) -> DataFrame:
     return checkpoint(est.join(exact, ["a", "b"], "left").select("a", "b", "est", "jac", F.coalesce("linked", F.lit(False)).alias("linked")))
 
 
-def links(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
-    """Verified links (a, b) between classes that connect all classes which any link connects."""
+def linked_classes(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """class, root: one root for all classes that verified links connect; classes without a common bucket are absent."""
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(settings.bands - 1)),
         lambda band: F.xxhash64(band, F.substring(F.col("sketch"), band * (2 * settings.rows) + 1, F.lit(2 * settings.rows))),
@@ -264,7 +264,6 @@ def links(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
         members, joined = _merged(members, fresh)
         if not joined:
             break
-    found = judged.where("linked").select("a", "b")
 
     # what the pivots left open: members outside their bucket's largest component against the rest of the bucket
     sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("c"))
@@ -277,7 +276,7 @@ def links(classes: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     if busy.where("large").limit(1).count():
         more = more.union(_block_links(busy.where("large"), ready, settings)).distinct()
     more = more.join(judged, ["a", "b"], "left_anti")
-    return found.union(_judge(more, ready, settings).where("linked").select("a", "b"))
+    return _merged(members, _judge(more, ready, settings))[0].select("class", "root").distinct()
 
 
 def _band_keys(bands: np.ndarray) -> np.ndarray:
@@ -342,7 +341,7 @@ def _sizes_fit(n: Column, m: Column, settings: Settings) -> Column:
 
 
 def _merged(members: DataFrame, judged: DataFrame) -> tuple[DataFrame, bool]:
-    """Members with the roots that new links join, and whether there were any; buckets of one component are done and go."""
+    """Members with the roots that new links join, and whether there were any."""
     new = judged.where("linked").select("a", "b")
     if not new.limit(1).count():
         return members, False
@@ -373,8 +372,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     docs = docs.select("doc_id", "text")
     drawn = checkpoint(sketches(docs, settings))
     classes = _classes(drawn)
-    roots = components(links(classes, docs, settings)).withColumnRenamed("node", "class")
-    named = classes.select("class", "set_key", "first.doc_id", "first.text_key").join(roots, "class", "left").select("set_key", "doc_id", "text_key", F.coalesce("component", "class").alias("root"))
+    roots = linked_classes(classes, docs, settings)
+    named = classes.select("class", "set_key", "first.doc_id", "first.text_key").join(roots, "class", "left").select("set_key", "doc_id", "text_key", F.coalesce("root", "class").alias("root"))
     least = named.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
     groups = named.join(least, "root").select("set_key", "least")
     out = drawn.select("doc_id", "text_key", "n", "set_key").join(groups, "set_key", "left")
