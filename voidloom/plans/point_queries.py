@@ -112,7 +112,7 @@ def pair_touch_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 RDF_SQL = f"""{POINTS_SQL}, d AS (SELECT sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS d FROM pts a JOIN pts b ON a.pid < b.pid AND a.label = b.label),
-rdf AS (SELECT bin, (bin + 0.5) * 0.01 AS r, CASE WHEN bin = 0 THEN 0.0 ELSE coalesce(n, 0) / ((4.0 / 3.0) * pi() * (power((bin + 1) * 0.01, 3) - power(bin * 0.01, 3)) * (SELECT count(*) FROM d)) END AS g
+rdf AS (SELECT bin, CAST((bin + 0.5) * 0.01 AS DOUBLE) AS r, CASE WHEN bin = 0 THEN 0.0 ELSE coalesce(n, 0) / ((4.0 / 3.0) * pi() * (power((bin + 1) * 0.01, 3) - power(bin * 0.01, 3)) * (SELECT count(*) FROM d)) END AS g
   FROM (SELECT unnest(range(100))::INT AS bin) LEFT JOIN (SELECT least(floor(d / 0.01), 99)::INT AS bin, count(*) AS n FROM d WHERE d <= 1.0 GROUP BY 1) USING (bin))"""
 
 

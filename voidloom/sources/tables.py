@@ -24,7 +24,7 @@ def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same in SQL, as the view ``pts``.
 POINTS_SQL = """pts AS (
   SELECT vec_id AS pid, 's' || label AS species, label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
-         CAST(embedding[3] AS DOUBLE) AS z, 0.05 + 0.01 * label AS radius, (0.05 + 0.01 * label) * (0.05 + 0.01 * label) AS w
+         CAST(embedding[3] AS DOUBLE) AS z, 0.05::DOUBLE + 0.01::DOUBLE * label AS radius, power(0.05::DOUBLE + 0.01::DOUBLE * label, 2) AS w
   FROM embeddings)"""
 
 
