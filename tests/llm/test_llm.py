@@ -110,6 +110,39 @@ def test_chunk_boundaries_resist_shifts(spark):
     assert len(a & b) >= len(a) - 2 and "\n".join(r["text"] for r in found if r["__id"] == 0) == "\n".join(lines)
 
 
+def test_planted_passages_of_short_lines_leave_whole(spark):
+    rng = np.random.default_rng(11)
+    count = iter(range(10**6))
+
+    def lines(n, words):
+        return [" ".join(f"w{next(count)}" for _ in range(words)) for _ in range(n)]
+
+    rows, told = [], {}
+    for trial in range(66):
+        n = 2 + trial % 11
+        passage = lines(n, -(-51 // n) if n < 6 else 20)
+        if trial % 2:
+            passage.insert(1, "")
+        for copy in range(2):
+            head, tail = lines(int(rng.integers(0, 4)), 6), lines(int(rng.integers(0, 4)), 6)
+            key = 2 * trial + copy
+            rows.append((key, "\n".join(head + passage + tail)))
+            told[key] = "\n".join(head + tail if copy else head + passage + tail)
+    run = [" ".join(["verse"] * 10)] * 23  # one text: only its first window stays
+    few = lines(3, 16)  # 48 words are no passage, unless a chunk holds them
+    rows += [(1000, "\n".join(run)), (1001, "\n".join(few[:1])), (1002, "\n".join(["x", *few[:1]])), (None, "\n".join(rows[0][1].split("\n")))]
+    told |= {1000: "\n".join(run[:5]), 1001: few[0], 1002: "x\n" + few[0], None: rows[0][1], 0: ""}
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert {k for k in told if got[k]["text"] != told[k]} <= {0}  # the null id holds the whole of text 0, and stands first
+    assert len(got[0]["text"]) < len(rows[0][1]) and got[3]["n_removed"] == 4 and got[1000]["n_removed"] == 18
+
+
+def test_running_totals_of_an_array(spark):
+    counts = [(list(range(n)),) for n in (1, 255, 256, 257, 600)]
+    got = spark.createDataFrame(counts, "a array<int>").select("a", line_dedup.running(F.col("a")).alias("t")).collect()
+    assert all(r["t"] == [0, *np.cumsum(r["a"])] for r in got)
+
+
 # near duplicates
 
 

@@ -1,21 +1,27 @@
-"""Line dedup by content-defined chunks of lines, with DataFrame functions only.
+"""Line dedup by windows of words and content-defined chunks of lines, with DataFrame functions only.
 
-A rolling hash over each pair of neighbouring line hashes (``31 * before + this``, 32 bits of each line's md5) is a
-text's landscape; a chunk begins at its local minima, so that an insertion moves only the boundaries next to it and two
-boundaries are at least two lines apart. Lines of ``long_line`` characters or more are chunks of their own, as a passage
-of many words often stands on one line. Chunks of two or more lines and long lines count as repeated if another place
-of the corpus, in the order of (doc_id, position), holds the same text before them: the first place keeps it, the others
-lose it after the texts were compared byte by byte. Chunks of fewer than ``min_chars`` characters stay.
+Two kinds of pieces of a text are looked up in the corpus:
 
-Null texts stay null and empty texts empty. Rows that agree in id and text are one document: they lose the same chunks
-and none to each other. Null ids sort first. A text whose chunks were all repeated is left as ``''``.
+- windows: from each line on the fewest lines that hold ``min_words`` words or more, and up to each line the fewest such
+  lines before it. Each line of a repeated passage of ``min_words`` words or more lies in a window that lies in the
+  passage, so passages of short lines go as a whole, edges and blank lines included;
+- chunks: a rolling hash over each pair of neighbouring line hashes (``31 * before + this``, 32 bits of each line's md5)
+  is a text's landscape; a chunk begins at its local minima. Lines of ``long_line`` characters or more are chunks of
+  their own. Chunks of two or more lines and long lines count, unless they have fewer than ``min_chars`` characters.
+
+A piece is repeated if another place of the corpus, in the order of (doc_id, position), holds the same lines before it:
+the first place keeps it, the others lose it after the texts were compared byte by byte. A place that overlaps the first
+one does not count, so a run of equal lines keeps its first window. Each line that goes has an equal one before it.
+
+Null texts stay null and empty texts empty. Rows that agree in id and text are one document: they lose the same lines
+and none to each other. Null ids sort first. A text whose lines were all repeated is left as ``''``.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,6 +29,7 @@ from pyspark.sql import functions as F
 class Settings:
     long_line: int = 200
     min_chars: int = 30
+    min_words: int = 50
 
 
 def line_hash(line: Column) -> Column:
@@ -70,39 +77,102 @@ def removable(chunk: Column, settings: Settings) -> Column:
     return ((chunk["n"] > 1) | (size >= settings.long_line)) & (size >= settings.min_chars)
 
 
-def repeated_chunks(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """__id, __key, __drop ``ARRAY<STRUCT<at, text>>``: for each document the chunks that stand in an earlier place.
+def running(counts: Column, block: int = 256) -> Column:
+    """0 and the running totals of an array of numbers, by blocks, as appending to an array copies it."""
+
+    def prefix(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))
+
+    parts = F.transform(F.sequence(F.lit(1), F.size(counts), F.lit(block)), lambda a: prefix(F.slice(counts, a, F.lit(block))))
+    before = F.transform(F.array(parts), lambda p: F.zip_with(p, F.slice(prefix(F.transform(p, lambda x: F.element_at(x, -1))), 1, F.size(p)), lambda x, n: F.transform(F.slice(x, 2, F.size(x)), lambda y: y + n)))
+    return F.concat(F.array(F.lit(0)), F.flatten(F.flatten(before)))
 
-    Only hashes are grouped; texts travel for the first place of each repeated chunk, to be compared at the others.
+
+def code(at: Column, n: Column) -> Column:
+    """First line and number of lines as one number, since arrays of numbers are made distinct by hashes."""
+    return F.shiftleft(at.cast("long"), 31) + n
+
+
+def windows_of(totals: Column, line_of: Column, settings: Settings) -> Column:
+    """Codes of the windows. ``totals[i]``: words before line i; ``line_of[k]``: line of word k."""
+    last = F.size(totals) - 2
+    numbers = F.sequence(F.lit(0), last)
+    ahead = F.transform(numbers, lambda i: code(i, F.get(line_of, F.get(totals, i) + (settings.min_words - 1)) - i + 1))
+
+    def back(j: Column) -> Column:
+        start = F.get(line_of, F.get(totals, j + 1) - settings.min_words)
+        return code(start, j - start + 1)
+
+    return F.filter(F.array_union(ahead, F.transform(numbers, back)), lambda c: c.isNotNull())
+
+
+def _places(docs: DataFrame, settings: Settings) -> DataFrame:
+    """__id, __key, at, n, h1, h2 of each piece of each document."""
+    chunked = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), F.split("text", "\n").alias("__lines"))
+    chunked = chunked.select("*", F.transform("__lines", line_hash).alias("__hashes"), F.transform("__lines", lambda x: F.xxhash64(x)).alias("__h"), F.transform("__lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("__words"))
+    chunked = chunked.select("__id", "__key", "__h", "__words", chunks_of(F.col("__lines"), F.col("__hashes"), settings).alias("__chunks"))
+    chunked = chunked.withColumn("__codes", F.transform(F.filter("__chunks", lambda c: removable(c, settings)), lambda c: code(c["at"], c["n"])))
+    # texts of too few words have no window and need no totals
+    enough = F.aggregate("__words", F.lit(0), lambda n, x: n + x) >= settings.min_words
+    line_of = F.flatten(F.transform("__words", lambda x, i: F.array_repeat(i, x)))
+    counted = chunked.select("__id", "__key", "__h", "__codes", F.when(enough, running(F.col("__words"))).alias("__totals"), F.when(enough, line_of).alias("__line_of"))
+    windows = F.coalesce(windows_of(F.col("__totals"), F.col("__line_of"), settings), F.array().cast("array<bigint>"))
+    flat = counted.select("__id", "__key", "__h", F.explode(F.array_union("__codes", windows)).alias("c"))
+    at, n = F.shiftright("c", 31).cast("int"), F.col("c").bitwiseAND((1 << 31) - 1).cast("int")
+    found = flat.select("__id", "__key", at.alias("at"), n.alias("n"), F.slice("__h", at + 1, n).alias("s"))
+    return found.select("__id", "__key", "at", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"))
+
+
+def repeated_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """__id, __key, __drop ``ARRAY<STRUCT<at, n, text>>``: for each document the ranges of lines that stand in an earlier
+    place, with the text of that place.
+
+    Only hashes are grouped; repeated pieces that go on in the same earlier document become one range, and the text of
+    each earlier range travels once, to be compared at the others.
     """
-    chunked = _chunked(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), settings)
-    flat = chunked.select("__id", "__key", F.explode(F.filter("__chunks", lambda c: removable(c, settings))).alias("c"))
-    places = flat.select("__id", "__key", F.col("c.at").alias("at"), F.xxhash64("c.text").alias("h1"), F.xxhash64(F.lit(1), "c.text").alias("h2"))
+    places = _places(docs.where(F.col("text").isNotNull()), settings)
     place = F.struct("__id", "at", "__key")
-    ranges = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
-    later = places.join(ranges, ["h1", "h2"]).where(F.struct("__id", "at", "__key") != F.col("first"))
-    # the text of the first places, once each
-    wanted = ranges.select(F.col("first.__id").alias("f_id"), F.col("first.__key").alias("f_key"), F.col("first.at").alias("f_at"), "h1", "h2")
-    texts = flat.select(F.col("__id").alias("f_id"), F.col("__key").alias("f_key"), F.col("c.at").alias("f_at"), F.col("c.text").alias("text"))
-    same = texts["f_id"].eqNullSafe(wanted["f_id"]) & (texts["f_key"] == wanted["f_key"]) & (texts["f_at"] == wanted["f_at"])
-    firsts = wanted.join(texts, same).select("h1", "h2", texts["text"]).dropDuplicates(["h1", "h2"])
-    met = later.join(firsts, ["h1", "h2"])
-    return met.groupBy("__id", "__key").agg(F.collect_set(F.struct("at", "text")).alias("__drop"))
+    firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
+    met = places.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
+    own = F.col("first.__id").eqNullSafe(F.col("__id")) & (F.col("first.__key") == F.col("__key"))
+    met = met.where(~(own & (F.col("at") < F.col("first.at") + F.col("n"))))
+    met = met.select("__id", "__key", "at", (F.col("at") + F.col("n")).alias("end"), F.col("first.__id").alias("f_id"), F.col("first.__key").alias("f_key"), (F.col("at") - F.col("first.at")).alias("shift"))
+    same_source = ["__id", "__key", "f_id", "f_key", "shift"]
+    w = Window.partitionBy(*same_source).orderBy("at", "end")
+    begins = F.col("at") > F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    met = met.withColumn("begins", begins.cast("int"))
+    met = met.withColumn("run", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = met.groupBy(*same_source, "run").agg(F.min("at").alias("at"), F.max("end").alias("end"))
+    ranges = ranges.select("__id", "__key", "f_id", "f_key", "at", (F.col("end") - F.col("at")).alias("n"), (F.col("at") - F.col("shift")).alias("f_at"))
+    # the text of the earlier ranges, once each
+    wanted = ranges.groupBy("f_id", "f_key").agg(F.collect_set(F.struct("f_at", "n")).alias("__wanted"))
+    texts = _keyed(docs)
+    found = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["f_id"]) & (texts["__key"] == wanted["f_key"])).select("f_id", "f_key", "__wanted", F.split("text", "\n").alias("lines"))
+    sliced = found.select("f_id", "f_key", "lines", F.explode("__wanted").alias("x")).select("f_id", "f_key", "x.f_at", "x.n", F.array_join(F.slice("lines", F.col("x.f_at") + 1, F.col("x.n")), "\n").alias("text"))
+    sliced = sliced.dropDuplicates(["f_id", "f_key", "f_at", "n"])
+    same = ranges["f_id"].eqNullSafe(sliced["f_id"])
+    for c in ("f_key", "f_at", "n"):
+        same = same & (ranges[c] == sliced[c])
+    drops = ranges.join(sliced, same).select("__id", "__key", "at", ranges["n"], "text")
+    return drops.groupBy("__id", "__key").agg(F.collect_list(F.struct("at", "n", "text")).alias("__drop"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the text's hash; both joins with texts begin with it."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("__key"))
 
 
 def dedup_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_lines``, ``n_removed`` (lines) added or replaced."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    drop = repeated_chunks(docs, settings)
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__key"))
-    met = docs.select(*[F.col(f"`{c}`") for c in columns]).join(drop, same, "left").drop("__id", "__key")
+    drop = repeated_ranges(docs.select("doc_id", "text"), settings)
+    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("text").alias("__t"))
+    met = keyed.join(drop, keyed["doc_id"].eqNullSafe(drop["__id"]) & (keyed["__t"] == drop["__key"]), "left").drop("__id", "__key", "__t")
     met = met.withColumn("__lines", F.split("text", "\n"))
-    met = met.withColumn("__hashes", F.when(F.col("__drop").isNotNull(), F.transform("__lines", line_hash)))
-    chunks = F.when(F.col("__drop").isNotNull(), chunks_of(F.col("__lines"), F.col("__hashes"), settings))
-    kept = F.filter(chunks, lambda c: ~F.exists("__drop", lambda d: (d["at"] == c["at"]) & (d["text"] == c["text"])))
-    met = met.withColumn("__kept", kept)
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__kept", lambda c: c["text"]), "\n"))
+    equal = F.filter("__drop", lambda d: F.array_join(F.slice("__lines", d["at"] + 1, d["n"]), "\n") == d["text"])
+    met = met.withColumn("__gone", F.array_distinct(F.flatten(F.transform(equal, lambda d: F.sequence(d["at"], d["at"] + d["n"] - 1)))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
     n_lines = F.coalesce(F.size("__lines"), F.lit(0))
-    left = F.aggregate("__kept", F.lit(0), lambda n, c: n + c["n"])
     out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns]
-    return met.select(*out, n_lines.cast("long").alias("n_lines"), F.when(F.col("__drop").isNull(), 0).otherwise(n_lines - left).cast("long").alias("n_removed"))
+    return met.select(*out, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
