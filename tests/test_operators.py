@@ -155,3 +155,18 @@ def test_path_columns(spark):
     assert [r["q"] for r in df.select(PF.drop_repeats(F.col("p")).alias("q")).collect()] == [[1, 2, 1], [], [3]]
     assert [len(r["q"]) for r in df.select(PF.steps(F.col("p")).alias("q")).collect()] == [2, 0, 0]
     assert df.select(PF.padded(F.col("p"), 3).alias("q")).collect()[2]["q"] == [3, -1, -1]
+
+
+def test_backbone_radii_reach_any_distance(spark):
+    from voidloom.plans.pipelines import flow_backbone
+    from voidloom.sources.config import Flow
+
+    rows = [(f, a, s, x, 5.0, 5.0) for f in (0, 1) for a, s, x in [(0, "Si", 1.0), (1, "Si", 4.0), (2, "O", 25.0), (3, "Li", 2.0)]]
+    frames = spark.createDataFrame(rows, "frame int, atom int, species string, x double, y double, z double")
+    told = Flow(backbone_atoms=("Si", "O"), flow_atoms=("Li",), reeb_stride=1, common_backbone=False)
+    got = {r["bid"]: r["radius"] for r in flow_backbone(frames, told, (50.0, 50.0, 50.0)).collect()}
+    assert got == pytest.approx({0: 1.0, 1: 2.0, 2: 23.0})
+    small = {r["bid"]: r["radius"] for r in flow_backbone(frames.withColumn("x", F.col("x") % 8), told, (8.0, 10.0, 10.0)).collect()}
+    assert small == pytest.approx({0: 1.0, 1: 2.0, 2: 1.0})
+    with pytest.raises(Exception, match="no mobile atom"):
+        flow_backbone(frames, Flow(backbone_atoms=("Si", "O"), flow_atoms=("Li",), reeb_stride=1), (50.0, 50.0, 50.0)).collect()

@@ -50,9 +50,25 @@ def persistent_homology(points: DataFrame, compute: config.Computation = config.
     return {"simplices": simplices, "diagrams": diagrams, "apf": curves, "cycles": T.representative_cycles(plain, simplices)}
 
 
+def nearest_distances(atoms: DataFrame, mobile: DataFrame, box: tuple[float, float, float], reach: float = 6.0) -> DataFrame:
+    """atom, radius: minimum-image distance of each atom to the nearest mobile one. The reach doubles for the atoms that
+    are still without one, up to the largest distance in the box."""
+    farthest = sum(n * n for n in box) ** 0.5 / 2 * (1 + 1e-9)
+    left, found = atoms.select("atom", *AXES), None
+    while True:
+        near = P.pairs_within(mobile.select(*AXES), left, reach, box)
+        least = checkpoint(near.groupBy(F.col("b_atom").alias("atom")).agg(F.min("d").alias("radius")))
+        found = least if found is None else found.unionByName(least)
+        left = checkpoint(left.join(least, "atom", "left_anti"))
+        if reach >= farthest or left.isEmpty():
+            return found
+        reach = min(2 * reach, farthest)
+
+
 def flow_backbone(frames: DataFrame, settings: config.Flow, box: tuple[float, float, float]) -> DataFrame:
     """bid, species, x, y, z, radius of the mean backbone: unwrapped means and, for each species, the onset of the radial
-    distribution of its distances to the mobile atoms. frames: frame, atom, species, x, y, z."""
+    distribution of its distances to the mobile atoms, or without ``common_backbone`` each atom's own least distance. Every
+    backbone atom is kept; a species without a mobile atom within 6, or a trajectory without mobile atoms, raises. frames: frame, atom, species, x, y, z."""
     kept = J.every_nth(frames, settings.reeb_stride)
     backbone = kept.where(F.col("species").isin(list(settings.backbone_atoms)))
     if settings.apply_frechet_mean:
@@ -62,14 +78,16 @@ def flow_backbone(frames: DataFrame, settings: config.Flow, box: tuple[float, fl
     means = checkpoint(means)
     ions = J.ion_shift(kept.where(F.col("species").isin(list(settings.flow_atoms))), backbone.select("atom", "frame", *AXES), means, box)
     named = means.join(frames.select("atom", "species").distinct(), "atom")
-    near = P.pairs_within(ions.select("frame", *AXES), named.select("atom", "species", *AXES), min(6.0, min(box) / 2), box)
     if settings.common_backbone:
+        near = P.pairs_within(ions.select("frame", *AXES), named.select("atom", "species", *AXES), 6.0, box)
         volume = box[0] * box[1] * box[2]
         rdf = P.radial_distribution(near.select(F.col("b_species").alias("species"), "d"), volume, keys=["species"])
-        radii = P.rdf_onset(rdf, keys=["species"]).select("species", F.coalesce("r_onset", F.lit(0.0)).alias("radius"))
-        return named.join(F.broadcast(radii), "species").select(F.col("atom").alias("bid"), "species", *AXES, "radius")  # a row a species
-    least = near.groupBy(F.col("b_atom").alias("atom")).agg(F.min("d").alias("radius"))
-    return named.join(least, "atom").select(F.col("atom").alias("bid"), "species", *AXES, "radius")
+        radii = P.rdf_onset(rdf, keys=["species"]).select("species", F.col("r_onset").alias("radius"))
+        met = named.join(F.broadcast(radii), "species", "left")  # a row a species
+    else:
+        met = named.join(nearest_distances(named, ions, box), "atom", "left")
+    lost = F.raise_error(F.concat(F.lit("no mobile atom near backbone atom "), F.col("atom").cast("string"), F.lit(" of "), "species"))
+    return met.select(F.col("atom").alias("bid"), "species", *AXES, F.coalesce("radius", lost.cast("double")).alias("radius"))
 
 
 def circular_flow(balls: DataFrame, box: tuple[float, float, float], settings: config.Flow) -> DataFrame:
