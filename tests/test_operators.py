@@ -157,6 +157,21 @@ def test_path_columns(spark):
     assert df.select(PF.padded(F.col("p"), 3).alias("q")).collect()[2]["q"] == [3, -1, -1]
 
 
+def test_ion_shift_keeps_ions_far_from_the_backbone(spark):
+    rng = np.random.default_rng(5)
+    bb, mean = rng.uniform(0, 30, 12), rng.uniform(0, 30, 12)
+    ions = [10.0, 37.5, 65.0]  # the last is 35 from any backbone atom
+    i = spark.createDataFrame([(k, 0, x) for k, x in enumerate(ions)], "atom int, frame int, x double")
+    b = spark.createDataFrame([(k, 0, float(x)) for k, x in enumerate(bb)], "atom int, frame int, x double")
+    m = spark.createDataFrame([(k, float(x)) for k, x in enumerate(mean)], "atom int, x double")
+    got = {r["atom"]: r["x"] for r in J.ion_shift(i, b, m, (100.0,), ("x",)).collect()}
+    for k, x in enumerate(ions):
+        d = np.abs(x - bb)
+        d = np.minimum(d, 100 - d) ** 2
+        w = np.exp(d.min() - d)
+        assert abs(got[k] - (x - (w * ((bb - mean + 50) % 100 - 50)).sum() / w.sum()) % 100) < 1e-9
+
+
 def test_backbone_radii_reach_any_distance(spark):
     from voidloom.plans.pipelines import flow_backbone
     from voidloom.sources.config import Flow

@@ -89,21 +89,23 @@ def spread(frames: DataFrame, means: DataFrame, box: Sequence[float], axes: Sequ
     return frames.join(m, atom).groupBy(atom).agg(F.avg(F.when(near, square)).alias("spread"))
 
 
-def ion_shift(ions: DataFrame, backbone: DataFrame, mean_backbone: DataFrame, box: Sequence[float], axes: Sequence[str] = AXES, cutoff: float | None = None) -> DataFrame:
+def ion_shift(ions: DataFrame, backbone: DataFrame, mean_backbone: DataFrame, box: Sequence[float], axes: Sequence[str] = AXES) -> DataFrame:
     """Ions moved back by the backbone's displacement around them: weights ``exp(-d^2)`` of the distance to each atom.
 
-    ions and backbone: atom, frame, axes; mean_backbone: atom, axes. Weights beyond ``cutoff`` are left out (six lengths
-    weigh under 1e-15); each frame is a join key.
+    ions and backbone: atom, frame, axes; mean_backbone: atom, axes. All backbone atoms of the frame count: weights are
+    normalised, so the nearest atom leads at any distance, and they are taken relative to its weight, which cannot
+    vanish. Each frame is a join key.
     """
     here = [F.col(f"i_{a}") for a in axes]
     i = ions.select(F.col("atom").alias("ion"), "frame", *[F.col(a).alias(f"i_{a}") for a in axes])
     b = backbone.select("atom", "frame", *[F.col(a).alias(f"b_{a}") for a in axes]).join(mean_backbone.select("atom", *[F.col(a).alias(f"m_{a}") for a in axes]), "atom")
     pairs = i.join(b, "frame").withColumn("d", distance(here, [F.col(f"b_{a}") for a in axes], box))
-    pairs = pairs.where(F.col("d") <= cutoff) if cutoff is not None else pairs
-    weight = F.exp(-F.col("d") * F.col("d"))
+    square = F.col("d") * F.col("d")
+    pairs = pairs.withColumn("weight", F.exp(F.min(square).over(Window.partitionBy("ion", "frame", *here)) - square))
+    weight = F.col("weight")
     # displacement of the backbone atom, through the boundary
     moved = [(F.pmod(F.col(f"b_{a}") - F.col(f"m_{a}") + n / 2, F.lit(float(n))) - n / 2) for a, n in zip(axes, box, strict=True)]
     summed = pairs.groupBy("ion", "frame", *[f"i_{a}" for a in axes]).agg(F.sum(weight).alias("w"), *[F.sum(weight * m).alias(f"s_{a}") for a, m in zip(axes, moved, strict=True)])
     back = [wrap(F.col(f"i_{a}") - F.col(f"s_{a}") / F.col("w"), n).alias(a) for a, n in zip(axes, box, strict=True)]
-    return summed.where("w > 0").select(F.col("ion").alias("atom"), "frame", *back)
+    return summed.select(F.col("ion").alias("atom"), "frame", *back)
 

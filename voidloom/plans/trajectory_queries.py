@@ -62,7 +62,7 @@ def ion_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = event_frames(spark, sf_dir)
     backbone = frames.where("atom % 10 <> 0")
     means = backbone.groupBy("atom").agg(F.avg("x").alias("x"))
-    return T.ion_shift(frames.where("atom % 10 = 0"), backbone, means, BOX1, AXIS, cutoff=6.0).select("atom", "frame", F.round("x", 6).alias("x"))
+    return T.ion_shift(frames.where("atom % 10 = 0"), backbone, means, BOX1, AXIS).select("atom", "frame", F.round("x", 6).alias("x"))
 
 
 @query()
