@@ -185,3 +185,21 @@ def test_backbone_radii_reach_any_distance(spark):
     assert small == pytest.approx({0: 1.0, 1: 2.0, 2: 1.0})
     with pytest.raises(Exception, match="no mobile atom"):
         flow_backbone(frames, Flow(backbone_atoms=("Si", "O"), flow_atoms=("Li",), reeb_stride=1), (50.0, 50.0, 50.0)).collect()
+
+
+def test_paths_are_padded_to_the_longest(spark, sf_dir):
+    from voidloom.plans.path_queries import _paths, padded_paths
+
+    whole = {r["path_id"]: r["path"] for r in _paths(spark, sf_dir).collect()}
+    most = max(map(len, whole.values()))
+    got = {r["path_id"]: r["row"] for r in padded_paths(spark, sf_dir).collect()}
+    assert most > 80 and got == {k: ",".join(map(str, p + [-1] * (most - len(p)))) for k, p in whole.items()}
+
+
+def test_walks_without_an_end_are_kept(spark):
+    rows = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.5)], "src long, dst long, p double")  # 2 leads nowhere
+    starts, stop = spark.range(1).select(F.col("id").alias("node")), spark.range(1, 2).select(F.col("id").alias("node"))
+    got = R.random_walks(rows, starts, 40, 3, stop).collect()
+    assert len(got) == 40 and all(r["ended"] == (r["path"] == [0, 1]) for r in got) and {r["ended"] for r in got} == {True, False}
+    ring = spark.createDataFrame([(0, 0, 1.0)], "src long, dst long, p double")
+    assert [(len(r["path"]), r["ended"]) for r in R.random_walks(ring, starts, 1, 3, stop, 20).collect()] == [(20, False)]

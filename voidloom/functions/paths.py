@@ -39,6 +39,6 @@ def steps(path: Column) -> Column:
     return F.filter(pairs, lambda s: s["u"] != s["v"])
 
 
-def padded(path: Column, length: int, fill: int = -1) -> Column:
+def padded(path: Column, length: int | Column, fill: int = -1) -> Column:
     """A path of ``length`` ids, filled up at its end."""
     return F.slice(F.concat(path, F.array_repeat(F.lit(fill), length)), 1, length)

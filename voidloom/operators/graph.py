@@ -249,7 +249,9 @@ def tunnel_sections(found: DataFrame, unit_area: float, radius: float) -> DataFr
 
 
 def random_walks(rows: DataFrame, starts: DataFrame, walks: int, seed: int, stop: DataFrame, most: int = 100_000) -> DataFrame:
-    """walk, path: Markov walks from a uniform start until a node of ``stop``; each walk has a seed of its own.
+    """walk, path, ended: Markov walks from a uniform start until a node of ``stop``; each walk has a seed of its own.
+
+    Walks that reach a node without transitions, or ``most`` nodes, are kept with ``ended`` false.
 
     ``rows``: src, dst, p. All walks take a step at a time in a join with the transition rows, so neither walks nor
     transitions have to fit into one task.
@@ -265,14 +267,14 @@ def random_walks(rows: DataFrame, starts: DataFrame, walks: int, seed: int, stop
 
     ends = stop.select("node", F.lit(True).alias("end")).distinct()
     at = spark.range(walks).select(F.col("id").cast("int").alias("walk")).withColumn("i", F.floor(draw(F.lit(0)) * n).cast("int"))
-    at = at.join(first, "i").join(ends, "node", "left").select("walk", "node", F.array("node").alias("path"), F.coalesce("end", F.lit(False)).alias("ended"))
+    at = at.join(first, "i").join(ends, "node", "left").select("walk", "node", F.array("node").alias("path"), F.coalesce("end", F.lit(False)).alias("ended"), F.lit(False).alias("stuck"))
     for begin in range(1, most, 8):
         for step in range(begin, min(begin + 8, most)):  # eight steps between checkpoints
-            moved = at.withColumn("u", draw(F.lit(step))).join(spans, ~F.col("ended") & (F.col("node") == F.col("src")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")), "left")
+            moved = at.withColumn("u", draw(F.lit(step))).join(spans, ~F.col("ended") & ~F.col("stuck") & (F.col("node") == F.col("src")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")), "left")
             path = F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst")))
-            moved = moved.select("walk", F.coalesce("dst", "node").alias("node"), path.alias("path"))
-            at = moved.join(ends, "node", "left").select("walk", "node", "path", F.coalesce("end", F.lit(False)).alias("ended"))
+            moved = moved.select("walk", F.coalesce("dst", "node").alias("node"), path.alias("path"), (~F.col("ended") & F.col("dst").isNull()).alias("stuck"))
+            at = moved.join(ends, "node", "left").select("walk", "node", "path", F.coalesce("end", F.lit(False)).alias("ended"), "stuck")
         at = checkpoint(at)
-        if not at.where("not ended").limit(1).count():
+        if not at.where("not ended and not stuck").limit(1).count():
             break
-    return at.where("ended").select("walk", "path")
+    return at.select("walk", "path", "ended")

@@ -68,7 +68,9 @@ def close_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PATHS_SQL} SELECT path_id, list_aggregate(list_resize(path[1:80], 80, -1), 'string_agg', ',') AS row FROM paths")
 def padded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paths(spark, sf_dir).select("path_id", F.array_join(P.padded(F.col("path"), 80), ",").alias("row"))
+    paths = _paths(spark, sf_dir)
+    longest = table(spark, sf_dir, "events").groupBy("user_id").count().agg(F.max("count").cast("int").alias("most"))
+    return paths.crossJoin(F.broadcast(longest)).select("path_id", F.array_join(P.padded(F.col("path"), F.col("most")), ",").alias("row"))  # one row
 
 
 @query(f"""WITH {STEPS_SQL}, w AS (SELECT src, dst, sum(exp(-0.5 * abs(dst - src) / 2.0 - (0.1 * (dst - src) + 0.05 * abs(dst - src)) / 4.0)) AS w FROM hops WHERE dst IS NOT NULL GROUP BY src, dst)
