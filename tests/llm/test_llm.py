@@ -367,3 +367,7 @@ def test_licences(spark):
 @pytest.mark.parametrize(("text", "copyleft"), [("MIT", False), ("GPL-3.0 WITH x", True), ("GPL-3.0 OR MIT", False), ("GPL-3.0 AND MIT", True), ("MIT OR BSD AND GPL-2.0", False), ("(MIT OR BSD) AND GPL-2.0", True)])
 def test_expressions(text, copyleft):
     assert licenses.evaluate(text)[1] is copyleft
+
+
+def test_trees_of_the_classifier_are_not_cut():
+    assert toxicity.Settings().trees == 30

@@ -53,7 +53,7 @@ class Settings:
     min_log_odds: float = 1.5
     strong_log_odds: float = 3.0
     near: int = 5
-    trees: int = 20
+    trees: int = 30
     depth: int = 4
     step: float = 0.2
     threshold: float = 0.7
