@@ -7,7 +7,7 @@ hold a row for each component of a level set: one group (``keys``) is one graph
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,24 +15,65 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint
+from .scan import numbered
 
 
-def components(edges: DataFrame, keys: Sequence[str] = (), a: str = "a", b: str = "b", rounds: int = 200) -> DataFrame:
-    """keys, node, component (smallest node that is reachable) by label propagation with pointer jumping."""
+def _local_roots(frame: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """keys, x, y: every node of the edges (keys, x, y) with the smallest node that these edges alone connect it to."""
+    ends = pd.concat([frame[[*keys, "x"]], frame[[*keys, "y"]].rename(columns={"y": "x"})], ignore_index=True)
+    codes = ends.groupby([*keys, "x"], sort=True, dropna=False).ngroup().to_numpy()
+    n, half = int(codes.max()) + 1, len(frame)
+    label, u, v = np.arange(n), codes[:half], codes[half:]
+    while True:
+        lu, lv = label[u], label[v]
+        if (lu == lv).all():
+            break
+        low = np.minimum(lu, lv)
+        np.minimum.at(label, lu, low)
+        np.minimum.at(label, lv, low)
+        while (label[label] != label).any():
+            label = label[label]
+    row = np.empty(n, np.int64)
+    row[codes] = np.arange(len(ends))  # a row of each node, in the nodes' order
+    nodes = ends.iloc[row].reset_index(drop=True)
+    return nodes.assign(y=nodes["x"].to_numpy()[label])
+
+
+def components(edges: DataFrame, keys: Sequence[str] = (), a: str = "a", b: str = "b", rounds: int = 200, chunk: int = 1 << 20) -> DataFrame:
+    """keys, node, component (smallest node that is reachable) for every node of the edge list.
+
+    Edges are first joined within chunks of each partition, so only what crosses chunks is left to the rounds. In a round
+    each node hooks onto its smallest root, other roots seen at it become edges to that one, and roots are replaced by
+    their own roots, so chains shorten geometrically. No join makes more rows than there are nodes in chunks, and no
+    node's edges have to meet in one task.
+    """
     k = list(keys)
-    pairs = edges.select(*k, F.col(a).alias("x"), F.col(b).alias("y"))
-    both = checkpoint(pairs.union(pairs.select(*k, F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = checkpoint(both.groupBy(*k, F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
+    pairs = edges.select(*k, F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")
+    schema = pairs.schema
+
+    def within(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        size = 0
+        for f in frames:
+            held.append(f)
+            size += len(f)
+            if size >= chunk:
+                yield _local_roots(pd.concat(held, ignore_index=True), k)
+                held, size = [], 0
+        if size:
+            yield _local_roots(pd.concat(held, ignore_index=True), k)
+
+    found = pairs
     for _ in range(rounds):
-        around = both.join(labels.select(*k, F.col("node").alias("y"), F.col("component").alias("l")), [*k, "y"])
-        around = around.groupBy(*k, F.col("x").alias("node")).agg(F.min("l").alias("l"))
-        near = labels.join(around, [*k, "node"]).select(*k, "node", F.col("component").alias("before"), F.least("component", "l").alias("component"))
-        jump = near.select(*k, F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = checkpoint(near.join(jump, [*k, "component"], "left").select(*k, "node", "before", F.least("component", "root").alias("component")))
-        changed = labels.where("component <> before").limit(1).count()
-        labels = labels.select(*k, "node", "component")
-        if not changed:
-            return labels
+        stars = checkpoint(found.mapInPandas(within, schema))
+        hooked = stars.groupBy(*k, "x").agg(F.min("y").alias("p"))
+        across = stars.join(hooked, [*k, "x"]).where("y <> p").select(*k, F.col("y").alias("x"), F.col("p").alias("y"), F.lit(True).alias("open"))
+        roots = hooked.select(*k, F.col("x").alias("p"), F.col("p").alias("root"))
+        jumped = hooked.join(roots, [*k, "p"]).select(*k, "x", F.col("root").alias("y"), (F.col("root") != F.col("p")).alias("open"))
+        left = checkpoint(jumped.unionByName(across))
+        if not left.where("open").limit(1).count():
+            return left.select(*k, F.col("x").alias("node"), F.col("y").alias("component"))
+        found = left.select(*k, "x", "y")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
@@ -259,7 +300,7 @@ def random_walks(rows: DataFrame, starts: DataFrame, walks: int, seed: int, stop
     w = Window.partitionBy("src").orderBy("dst")
     spans = checkpoint(rows.withColumn("hi", F.sum("p").over(w)).withColumn("lo", F.col("hi") - F.col("p")).select("src", "dst", "lo", "hi"))
     n = starts.count()
-    first = starts.select("node", (F.row_number().over(Window.orderBy("node")) - 1).alias("i"))
+    first = numbered(starts.select("node"), ["node"], "i")
     spark = rows.sparkSession
 
     def draw(step: Column) -> Column:

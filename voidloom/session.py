@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process has made.
+_made: set[str] = set()
+
 
 def session(app: str = "voidloom", cores: int | None = None, **conf: str) -> SparkSession:
     """A local session for tests and benches; on a cluster the submitter's settings win.
@@ -34,14 +37,32 @@ def session(app: str = "voidloom", cores: int | None = None, **conf: str) -> Spa
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder that spark.checkpoint.dir names; a temporary one only where none is
-    set (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application in the one that spark.checkpoint.dir names; it is deleted when the application ends.
+
+    Where no folder is set, a temporary one serves local sessions (tests); on a cluster this raises, as executors would
+    each write to a disk of their own.
+    """
+    sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(folder)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    own = f"{folder}/{sc.applicationId}"
+    if own not in _made:
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _made.add(own)
+    return own
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a table in the shared folder: a lost executor costs no recomputation of what is before it, and
+    later plans start from a plain scan that reads only the columns they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
