@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint, shared_folder
+
+__all__ = ["BYTE_WORDS", "WORD_GAP", "checkpoint", "fresh", "lower_ascii", "shared_folder", "table"]
+
 #: The bytes between words, for the word rule "[^\x00-\x2F\x3A-\x60\x7B-\x7F]+" after A-Z became a-z.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,20 +27,13 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's spark.checkpoint.dir; a temporary one only where none is set (tests)."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return named
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a table in the shared folder: a lost executor costs no recomputation of what is before it, and
-    later plans start from a plain scan that reads only the columns they need."""
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that begin like the given ones and clash with none of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

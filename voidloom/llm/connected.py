@@ -1,30 +1,5 @@
-"""Connected components by label propagation with pointer jumping, as joins and grouped minima."""
+"""Connected components, as the graph operators find them."""
 
-from __future__ import annotations
+from ..operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import checkpoint
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """``node``, ``component`` (smallest node that is reachable) for every node of the edge list.
-
-    Each round takes the smallest label around a node and then that label's own label, so chains shorten
-    geometrically. Rounds are cut by checkpoints in the shared folder; only a count of changes reaches the driver.
-    """
-    pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null and x <> y")
-    both = checkpoint(pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = checkpoint(both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component")))
-    for _ in range(rounds):
-        seen = labels.select(F.col("node").alias("y"), F.col("component").alias("l"))
-        around = both.join(seen, "y").groupBy(F.col("x").alias("node")).agg(F.min("l").alias("l"))
-        near = labels.join(around, "node").select("node", F.col("component").alias("before"), F.least("component", "l").alias("component"))
-        jump = near.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        labels = checkpoint(near.join(jump, "component", "left").select("node", "before", F.least("component", "root").alias("component")))
-        changed = labels.where("component <> before").limit(1).count()
-        labels = labels.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+__all__ = ["components"]

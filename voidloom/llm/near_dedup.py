@@ -5,12 +5,13 @@ Equal sets form a class, of which one document stands for all. Each class gets `
 of an independent hash of all shingles, stored as 6 bits of leading zeros and 10 bits of mantissa. Classes that agree in
 all registers of a band meet in a bucket; with 48 bands of 5 a pair at similarity 0.8 fails to meet with a chance of 5e-9.
 
-Buckets are not expanded into pairs. Turn by turn every bucket draws a pivot, which meets the bucket's classes of other
-components; links join components, and buckets of one component are done. After the last turn the classes outside their
-bucket's largest component meet the rest of it: pair by pair in small buckets, in blocks that only give links in large
-ones. So no link between components is lost, whatever the group's size. A pair's similarity is first estimated
-from the registers, corrected for chance collisions of compressed registers; pairs within six standard errors of the
-limit or above are verified on the full sets of their texts.
+Buckets are not expanded into pairs. Turn by turn every bucket draws a pivot, the first of its classes in an order that
+all buckets share; each class meets the first pivots of its buckets that belong to other components (one pivot in the
+first turn, four afterwards), so a turn has at most so many pairs a class. Links join components, and buckets of one
+component are done. After the last turn the classes outside their bucket's largest component meet the rest of it: pair
+by pair in small buckets, in blocks that only give links in large ones. So no link between components is lost, whatever
+the group's size. A pair's similarity is first estimated from the registers, corrected for chance collisions of
+compressed registers; pairs within six standard errors of the limit or above are verified on the full sets of their texts.
 
 Null and empty texts have no shingles, link with nothing and stand alone. Repeated rows are equal sets. Rows are told
 apart by doc_id and text, so two texts under one id are two documents that share their id.
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, fresh
 from .connected import components
 
 U = np.uint64
@@ -38,17 +39,18 @@ MANTISSA = 10
 @dataclass(frozen=True)
 class Settings:
     """``percent``: 100 * intersection >= percent * union links. ``slack``: standard errors below the limit that are
-    verified; ``turns``: rounds of pivots; ``small``: pairs of a bucket that are left to Spark, larger buckets are
-    compared in blocks of ``block`` classes."""
+    verified; ``turns``: rounds of pivots, and ``width`` those a class meets from the second on; ``small``: pairs of a
+    bucket that are left to Spark, larger buckets are compared in blocks of about ``block`` shingles."""
 
     k: int = 5
     percent: int = 80
     bands: int = 48
     rows: int = 5
     slack: float = 6.0
-    turns: int = 2
+    turns: int = 3
+    width: int = 4
     small: int = 64
-    block: int = 4096
+    block: int = 1 << 20
 
     @property
     def registers(self) -> int:
@@ -252,16 +254,20 @@ def linked_classes(classes: DataFrame, docs: DataFrame, settings: Settings) -> D
     ready = _ready(members.select("class").distinct(), classes, docs)
     judged = None
     for turn in range(settings.turns):
-        # a pivot for each bucket that still holds two components, against its members of other components
-        order = F.struct(F.xxhash64(F.lit(turn), "class"), "class", "root", "n")
+        # a pivot for each bucket that still holds two components, met by members of other components
+        order = F.struct(F.xxhash64(F.lit(turn), "class").alias("rank"), "class", "root", "n")
         pivots = members.groupBy("bucket").agg(F.min(order).alias("p"), F.min("root").alias("__low"), F.max("root").alias("__top"))
-        pivots = pivots.where("__low < __top").select("bucket", F.col("p.class").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.n").alias("p_n"))
-        star = members.join(pivots, "bucket").where(F.col("root") != F.col("pivot_root")).where(_sizes_fit(F.col("n"), F.col("p_n"), settings))
-        star = star.select(*_pair(F.col("class"), F.col("pivot"))).distinct()
-        star = star if judged is None else star.join(judged, ["a", "b"], "left_anti")
-        fresh = _judge(star, ready, settings)
-        judged = fresh if judged is None else judged.union(fresh)
-        members, joined = _merged(members, fresh)
+        pivots = pivots.where("__low < __top").select("bucket", "p.rank", F.col("p.class").alias("pivot"), F.col("p.root").alias("pivot_root"), F.col("p.n").alias("p_n"))
+        met = members.join(pivots, "bucket").where(F.col("root") != F.col("pivot_root")).where(_sizes_fit(F.col("n"), F.col("p_n"), settings))
+        met = met.select(*_pair(F.col("class"), F.col("pivot")), "class", "pivot_root", F.struct("rank", "pivot").alias("p")).distinct()
+        met = met if judged is None else met.join(judged, ["a", "b"], "left_anti")
+        first = met.groupBy("class", "pivot_root").agg(F.min("p").alias("p"))  # at most as many as there are bands
+        first = first.groupBy("class").agg(F.array_sort(F.collect_list("p")).alias("p")) if turn else first.groupBy("class").agg(F.array(F.min("p")).alias("p"))
+        star = first.select("class", F.explode(F.slice("p", 1, settings.width)).alias("p"))
+        star = star.select(*_pair(F.col("class"), F.col("p.pivot"))).distinct()
+        new = _judge(star, ready, settings)
+        judged = new if judged is None else judged.union(new)
+        members, joined = _merged(members, new)
         if not joined:
             break
 
@@ -275,7 +281,7 @@ def linked_classes(classes: DataFrame, docs: DataFrame, settings: Settings) -> D
     more = few.select(*_pair(F.col("class"), F.col("o_class"))).distinct()
     if busy.where("large").limit(1).count():
         more = more.union(_block_links(busy.where("large"), ready, settings)).distinct()
-    more = more.join(judged, ["a", "b"], "left_anti")
+    more = more if judged is None else more.join(judged, ["a", "b"], "left_anti")
     return _merged(members, _judge(more, ready, settings))[0].select("class", "root").distinct()
 
 
@@ -287,52 +293,71 @@ def _band_keys(bands: np.ndarray) -> np.ndarray:
     return out
 
 
+def _with_shingles(ready: DataFrame, settings: Settings) -> DataFrame:
+    """class, sketch and the hashes of the class's shingles as packed 64-bit integers."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            packed = [shingle_hashes(words_of(t.as_py()), settings.k, known).tobytes() for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(packed, pa.binary())], ["class", "sketch", "shingles"])
+
+    return ready.select("class", "sketch", "text").mapInArrow(run, "class long, sketch binary, shingles binary")
+
+
 def _block_links(busy: DataFrame, ready: DataFrame, settings: Settings) -> DataFrame:
     """Links (a, b) among classes of different components that share a large bucket, found block by block.
 
-    Large buckets that share classes form a cluster, whose classes are dealt into blocks of bounded size. Each block of
-    outside classes meets each block of its cluster; two classes are compared on their full sets of hashes if they agree in
-    a band. Only links come out, one at most from a class to a component, however many pairs a block has to rule out.
+    Large buckets with the same largest component are handled together. Their classes are dealt into blocks of about
+    ``settings.block`` shingles, those outside that component also into blocks of their own; each block of outside classes
+    meets each block of all. Two classes are compared on their full sets of hashes if they agree in a band. Only links come
+    out, one at most from a class to a component, however many pairs a block has to rule out.
     """
-    hubs = busy.groupBy("bucket").agg(F.min("class").alias("hub"))
-    clusters = components(busy.join(hubs, "bucket").select("class", "hub"), "class", "hub")
-    named = busy.groupBy("class", "n", "root").agg(F.bool_or(F.col("root") != F.col("most")).alias("outside"))
-    named = checkpoint(named.join(clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")), "class"))
-    counts = named.groupBy("cluster").agg(F.ceil(F.count("*") / settings.block).cast("int").alias("blocks"))
-    dealt = named.join(counts, "cluster").join(ready.select("class", "sketch", "text"), "class")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "class"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    columns = ["class", "n", "root", "outside", "sketch", "text"]
-    left = dealt.where("outside").select(F.col("cluster").alias("q_cluster"), F.col("block").alias("q_i"), F.explode(every).alias("q_j"), *[F.col(c).alias(f"q_{c}") for c in columns])
-    right = dealt.select("cluster", F.explode(every).alias("i"), F.col("block").alias("j"), *columns)
+    named = checkpoint(busy.select("most", "class", "n", "root", (F.col("root") != F.col("most")).alias("outside")).distinct())
+    weight = F.col("n") + 64
+
+    def blocks(of: Column) -> Column:
+        return F.greatest(F.ceil(F.coalesce(F.sum(of), F.lit(0)) / settings.block), F.lit(1)).cast("int")
+
+    counts = named.groupBy("most").agg(blocks(F.when(F.col("outside"), weight)).alias("q_blocks"), blocks(weight).alias("blocks"))
+    shingled = _with_shingles(ready.join(named.select("class").distinct(), "class", "left_semi"), settings)
+    dealt = checkpoint(named.join(counts, "most").join(shingled, "class"))
+    columns = ["class", "n", "root", "outside", "sketch", "shingles"]
+
+    def own(blocks: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit("block"), "class"), F.col(blocks)).cast("int")
+
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    left = dealt.where("outside").select(F.col("most").alias("q_most"), own("q_blocks").alias("q_i"), every("blocks").alias("q_j"), *[F.col(c).alias(f"q_{c}") for c in columns])
+    right = dealt.select("most", every("q_blocks").alias("i"), own("blocks").alias("j"), *columns)
 
     def compare(key: tuple, asked: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(asked) and len(met):
-            known = WordHashes()
             bands = np.frombuffer(b"".join(met["sketch"]), np.uint16).reshape(len(met), settings.bands, settings.rows)
-            sets = [shingle_hashes(words_of(t), settings.k, known) for t in met["text"]]
-            flat, ends = np.concatenate(sets), np.cumsum([len(x) for x in sets])
-            n, root, number, outside = (met[c].to_numpy() for c in ("n", "root", "class", "outside"))
+            flat, n = np.frombuffer(b"".join(met["shingles"]), U), met["n"].to_numpy()
+            ends = np.cumsum(n)
+            root, number, outside = (met[c].to_numpy() for c in ("root", "class", "outside"))
             bands = _band_keys(bands)
-            for a, m, r, sketch, text in zip(*[asked[f"q_{c}"] for c in ("class", "n", "root", "sketch", "text")], strict=True):
+            for a, m, r, sketch, shingles in zip(*[asked[f"q_{c}"] for c in ("class", "n", "root", "sketch", "shingles")], strict=True):
                 fits = (root != r) & (100 * np.minimum(n, m) >= settings.percent * np.maximum(n, m)) & (~outside | (number > a))
                 at = np.flatnonzero(fits)
                 mine = _band_keys(np.frombuffer(sketch, np.uint16).reshape(1, settings.bands, settings.rows))
                 at = at[(bands[at] == mine).any(axis=1)]
                 if not len(at):
                     continue
-                own = shingle_hashes(words_of(text), settings.k, known)
-                spans = [slice(ends[i] - len(sets[i]), ends[i]) for i in at]
-                values = np.concatenate([flat[s] for s in spans])
-                hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+                mine = np.frombuffer(shingles, U)
+                values = np.concatenate([flat[ends[i] - n[i] : ends[i]] for i in at])
+                hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
                 both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n[at])[:-1]]).astype(np.int64), dtype=np.int64)
-                linked = at[100 * both >= settings.percent * (n[at] + len(own) - both)]
+                linked = at[100 * both >= settings.percent * (n[at] + len(mine) - both)]
                 _, first = np.unique(root[linked], return_index=True)
                 out += [(min(a, int(number[i])), max(a, int(number[i]))) for i in linked[first]]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
-    keys = ["cluster", "i", "j"]
+    keys = ["most", "i", "j"]
     return left.groupBy(*[f"q_{k}" for k in keys]).cogroup(right.groupBy(*keys)).applyInPandas(compare, "a long, b long")
 
 
@@ -347,7 +372,7 @@ def _merged(members: DataFrame, judged: DataFrame) -> tuple[DataFrame, bool]:
         return members, False
     roots = members.select("class", "root").distinct()
     ends = new.join(roots.select(F.col("class").alias("a"), F.col("root").alias("ra")), "a").join(roots.select(F.col("class").alias("b"), F.col("root").alias("rb")), "b")
-    joined = components(ends.select("ra", "rb"), "ra", "rb").select(F.col("node").alias("root"), "component")
+    joined = components(ends, a="ra", b="rb").select(F.col("node").alias("root"), "component")
     named = members.join(joined, "root", "left")
     return checkpoint(named.withColumn("root", F.coalesce("component", "root")).drop("component")), True
 
@@ -386,8 +411,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
 def drop_near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row of each group, with the columns of ``docs``: its smallest (doc_id, text hash). Rows without shingles stay."""
-    stay = near_duplicates(docs, settings).where("stays").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), (F.col("n_shingles") > 0).alias("__one")).distinct()
-    keyed = docs.withColumn("__text", F.xxhash64("text"))
-    met = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key")))
-    once = met.where("__one").dropDuplicates(["doc_id", "__text"])
-    return once.unionByName(met.where("not __one")).select(*docs.columns)
+    i, key, one, text = fresh(docs, "stays_id", "stays_key", "stays_one", "text_key")
+    stay = near_duplicates(docs, settings).where("stays").select(F.col("doc_id").alias(i), F.col("text_key").alias(key), (F.col("n_shingles") > 0).alias(one)).distinct()
+    keyed = docs.withColumn(text, F.xxhash64("text"))
+    met = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col(i)) & (F.col(text) == F.col(key)))
+    once = met.where(one).dropDuplicates(["doc_id", text])
+    return once.unionByName(met.where(f"not {one}")).select(*[F.col(f"`{c}`") for c in docs.columns])

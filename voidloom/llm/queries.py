@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, html_text, licenses, line_dedup, near_dedup, pieces, token_files, toxicity, url_filter, vector_search
-from .common import ensure_checkpoint_dir, table
+from .common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -210,7 +210,7 @@ def vocabulary(name: str) -> str:
 
 @query
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
     return token_files.read_index(spark, path)
 
