@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voidloom.llm import decontamination, line_dedup, near_dedup, pieces, toxicity
-from voidloom.llm.common import ensure_checkpoint_dir, table
+from voidloom.llm.common import shared_folder, table
 from voidloom.llm.queries import vocabulary
 
 
@@ -59,7 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{number}-{name.replace(' ', '-')}"
