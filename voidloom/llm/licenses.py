@@ -1,8 +1,11 @@
 """License scan: one Aho-Corasick pass finds notice phrases and identifier tags, a shunting-yard parser reads expressions.
 
 Words are lower-cased A-Z runs of the word rule in ``common``. Phrases match whole consecutive words, so line breaks and
-punctuation between them do not matter; overlapping places all count. Null and empty texts have no words, no labels and
-score 0. Texts are scanned whole.
+punctuation between them do not matter; overlapping places all count. An expression begins after its tag and ends with its
+line, at a mark that no identifier has (as those that close comments), at the end of a sentence or before prose.
+
+Null and empty texts have no words, no labels and score 0. Texts are scanned whole, however long. Repeated rows are scanned
+alike and all stay, an empty table gives an empty table, and kept columns that are called like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -39,57 +42,85 @@ NOTICES = {
     "released under": ("notice", 0.3),
 }
 BASE_WEIGHT = {"cc-by": 0.8, "gpl": 0.9, "reserved": 0.8}
-#: The tag, as words, and families of identifiers by their first letters; the last column tells copyleft.
+#: Fixed value: the tag, as words.
 TAG = "spdx license identifier"
-FAMILIES = {"agpl": True, "lgpl": True, "gpl": True, "mpl": True, "cc-by-sa": True, "epl": True}
+#: Families of identifiers by how they begin, copyleft and permissive ones.
+COPYLEFT = frozenset("agpl cc-by-sa cddl cecill epl eupl gpl lgpl mpl osl".split())
+PERMISSIVE = frozenset("0bsd apache bsd bsl cc-by cc0 isc mit ncsa postgresql psf python unlicense wtfpl x11 zlib".split())
 TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
-TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 
 
+def tokens_of(text: str) -> Iterator[str]:
+    """Brackets, operators (all capitals or all small) and identifiers up to the first mark or end of sentence."""
+    at = 0
+    while m := TOKEN.match(text, at):
+        token, at = m[1].rstrip(".:-"), m.end()
+        yield token.upper() if token in ("or", "and", "with") else token
+        if token != m[1]:
+            return
+
+
 def to_postfix(text: str) -> list[str]:
-    """Shunting-yard: infix tokens to postfix; ``WITH`` binds before ``AND`` before ``OR``. Raises ValueError if malformed."""
+    """Shunting-yard: infix tokens to postfix; ``WITH`` binds before ``AND`` before ``OR``. What follows a whole expression is
+    prose and ends it. Raises ValueError if an operand or a bracket is missing."""
     out: list[str] = []
     stack: list[str] = []
     operand_next = True
-    for token in TOKEN.findall(text):
-        op = token.upper()
-        if operand_next and (op in PRECEDENCE or token == ")"):
-            raise ValueError(text)
-        if not operand_next and op not in PRECEDENCE and token != ")":
-            raise ValueError(text)
-        if token == "(":
-            stack.append(token)
-        elif token == ")":
-            while stack and stack[-1] != "(":
-                out.append(stack.pop())
-            if not stack:
+    for token in tokens_of(text):
+        if operand_next:
+            if token in PRECEDENCE or token == ")":
                 raise ValueError(text)
+            if token == "(":
+                stack.append(token)
+            else:
+                out.append(token)
+                operand_next = False
+        elif token == ")" and "(" in stack:
+            while stack[-1] != "(":
+                out.append(stack.pop())
             stack.pop()
-        elif op in PRECEDENCE:
-            while stack and PRECEDENCE.get(stack[-1], 0) >= PRECEDENCE[op]:
+        elif token in PRECEDENCE:
+            while stack and PRECEDENCE.get(stack[-1], 0) >= PRECEDENCE[token]:
                 out.append(stack.pop())
-            stack.append(op)
+            stack.append(token)
             operand_next = True
         else:
-            out.append(token)
-            operand_next = False
+            break
     if operand_next or "(" in stack:
         raise ValueError(text)
     return out + stack[::-1]
 
 
-def evaluate(text: str) -> tuple[list[str], bool]:
-    """(identifiers, copyleft) of an expression: AND binds if either side does, OR if both do, WITH as its left side."""
-    stack: list[bool] = []
+def is_copyleft(name: str) -> bool | None:
+    """By the longest known beginning of an identifier; None for identifiers of no known family."""
+    parts = name.lower().replace("+", "-").split("-")
+    if parts[:2] == ["cc", "by"] and {"nc", "nd"} & set(parts):
+        return None
+    for k in range(len(parts), 0, -1):
+        begin = "-".join(parts[:k])
+        if begin in COPYLEFT or begin in PERMISSIVE:
+            return begin in COPYLEFT
+    return None
+
+
+def evaluate(text: str) -> tuple[list[str], bool | None]:
+    """(identifiers, copyleft) of an expression: AND binds if either side does, OR frees if either side does, WITH is as its
+    left side; None where identifiers of no known family leave it open."""
+    stack: list[bool | None] = []
     names: list[str] = []
     for token in to_postfix(text):
         if token in PRECEDENCE:
             b, a = stack.pop(), stack.pop()
-            stack.append(a or b if token == "AND" else a and b if token == "OR" else a)
+            if token == "WITH":
+                stack.append(a)
+            else:
+                leading = token == "AND"  # the value that one side alone decides
+                stack.append(leading if leading in (a, b) else None if None in (a, b) else not leading)
         else:
             names.append(token.lower())
-            stack.append(any(token.lower().startswith(f) and free for f, free in FAMILIES.items()))
+            stack.append(is_copyleft(token))
     return names, stack[-1]
 
 
@@ -135,8 +166,8 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple:
             doubt *= 0.5
             continue
         labels.update(f"spdx:{n}" for n in names)
-        labels.add("copyleft" if copyleft else "permissive")
-        doubt = 0.0
+        labels.add("spdx-unlisted" if copyleft is None else "copyleft" if copyleft else "permissive")
+        doubt *= 0.5 if copyleft is None else 0.0
     return (
         len(words),
         len(starts),
@@ -153,8 +184,9 @@ SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_label
 
 def scan_licenses(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and the scan's; a pure map, without a shuffle."""
-    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
+    keep = tuple(c for c in keep if c.lower() not in names)
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
 
