@@ -1,7 +1,9 @@
 """URL filter: a trie over reversed host labels and then path segments, longest match between allow and block rules.
 
 Nulls, urls without ``://`` and empty hosts have host and path ``''`` and meet no rule: they get the default verdict.
-Of equal rules the last given wins. Columns of the input other than the url are handed on untouched.
+Of equal rules the last given wins. Other columns are handed on untouched, but those called ``host``, ``path``, ``rule`` or
+``verdict``, which are replaced. Repeated rows are judged alike and all stay; an empty table gives an empty table. Urls of any
+length are judged whole.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, lower_ascii
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -87,8 +91,8 @@ def judge_urls(df: DataFrame, rules: list[Rule], url: str = "url", default: str
     def part(k: int):
         return F.coalesce(F.regexp_extract(address, r"(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit(""))
 
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    split = df.select(*[F.col(f"`{c}`") for c in kept], F.translate(part(1), upper, lower).alias("host"), part(2).alias("path"))
-    judged = split.withColumn("judged", judge("host", "path"))
-    return judged.select(*[F.col(f"`{c}`") for c in [*kept, "host", "path"]], "judged.rule", "judged.verdict")
+    kept = [c for c in df.columns if c.lower() not in ("host", "path", "rule", "verdict")]
+    split = df.select(*[F.col(f"`{c}`") for c in kept], lower_ascii(part(1)).alias("host"), part(2).alias("path"))
+    (found,) = fresh(split, "judged")
+    judged = split.withColumn(found, judge("host", "path"))
+    return judged.select(*[F.col(f"`{c}`") for c in [*kept, "host", "path"]], F.col(found)["rule"].alias("rule"), F.col(found)["verdict"].alias("verdict"))
