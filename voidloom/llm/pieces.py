@@ -6,10 +6,14 @@ longest piece probe the sorted piece keys, and at each position the vectorised m
 best score and its back pointer (of equal scores the longest piece). A character that no piece holds becomes its UTF-8
 bytes. Decoding gives exactly the text back, also where it holds ``▁`` itself, which is written in bytes.
 
-A vocabulary made by merges has ranks for scores, whose sums mean nothing; its pieces get Zipf's log probability of
-their rank. The ids are then those of the best path, not those that the library's merges give.
-
-Null and empty texts have no ids. Words of any length are encoded whole.
+With log probabilities for scores the path with the best sum wins. A vocabulary made by merges has ranks instead: its
+scores say which merge comes first, and their sums mean nothing. A path then scores 0 if merging leaves each two neighbours
+of it apart, and minus infinity otherwise. Exactly one path to each position scores 0: merges on either side of a
+boundary that none crosses do not depend on each other, so these are the ids that the library's merges give.
+
+Null and empty texts have no ids. Words of any length are encoded whole: long ones in parts of ``PART`` characters, with
+what the parts need of each other. Repeated rows are encoded alike, an empty table gives an empty table, and other columns stay
+whatever their names, but ``out`` and ``check``, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from .token_files import runs
 
 SPACE, STAND_IN = "▁", "\udfff"
+#: Characters of a word that are looked up at once.
+PART = 1 << 16
 WORDS = re.compile("▁*[^▁\n]+|▁+|\n")
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -65,8 +71,10 @@ class Vocabulary:
         plain = [i for i in ids if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.text = {i: model.id_to_piece(i) for i in plain}
         raw = np.array([model.get_score(i) for i in plain])
-        by_merges = bool(np.all(raw == np.round(raw)))
-        scores = -np.log(np.arange(2, len(plain) + 2)) if by_merges else raw
+        #: rank of each piece where the vocabulary was made by merges, else None
+        self.rank = dict(zip(self.text.values(), (-raw).tolist(), strict=True)) if len(raw) and np.all(raw == np.round(raw)) else None
+        self.stable: dict[int, bool] = {}
+        scores = raw
         self.byte_id = {b: model.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.longest = max(map(len, self.text.values()))
         #: by piece length: sorted keys, and ids and scores in their order
@@ -88,12 +96,36 @@ class Vocabulary:
         self.known = known
         self.words: dict[str, bytes] = {}
 
-    def viterbi(self, words: list[str]) -> list[np.ndarray]:
-        """Best piece ids of words that all have the same length."""
-        length = len(words[0])
-        codes = _codes(words, length)
-        n, top = len(words), min(self.longest, length)
-        # axis 0: piece lengths, longest first, so that the first maximum is the longest piece
+    def merged(self, text: str) -> list[str]:
+        """What merging makes of a text: the pair whose piece has the lowest rank first, of equal ones the leftmost."""
+        parts, rank = list(text), self.rank
+        while len(parts) > 1:
+            best, at = min((rank.get(parts[i] + parts[i + 1], np.inf), i) for i in range(len(parts) - 1))
+            if best == np.inf:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return parts
+
+    def _apart(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether merging leaves the pieces (-1: a character without one, -2: the word's begin) apart and whole."""
+        size = len(self.bytes) + 2
+        keys, where = np.unique((before.astype(np.int64) + 2) * size + piece + 2, return_inverse=True)
+        known, found = self.stable, np.empty(len(keys), bool)
+        for i, key in enumerate(keys.tolist()):
+            if (ok := known.get(key)) is None:
+                a, b = key // size - 2, key % size - 2
+                if b == -1 or a == -1:  # nothing merges with such a character
+                    ok = b == -1 or self.merged(self.text[b]) == [self.text[b]]
+                else:
+                    both = [self.text[x] for x in (a, b) if x >= 0]
+                    ok = self.merged("".join(both)) == both
+                known[key] = ok
+            found[i] = ok
+        return found[where]
+
+    def _tables(self, codes: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """Score and id of the piece of each length at each start; axis 0: lengths, longest first."""
+        n, length = codes.shape
         score = np.full((top, n, length), -np.inf)
         piece = np.full((top, n, length), -1, np.int32)
         for k, h in _substring_hashes(codes, top):
@@ -106,24 +138,51 @@ class Vocabulary:
             row, start = np.nonzero(keys[at] == h)
             score[top - k, row, start] = scores[at[row, start]]
             piece[top - k, row, start] = ids[at[row, start]]
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0
-        back = np.zeros((n, length + 1), np.int32)
+        return score, piece
+
+    def viterbi(self, words: list[str]) -> list[np.ndarray]:
+        """Best piece ids of words that all have the same length."""
+        length = len(words[0])
+        codes = _codes(words, length)
+        n, top = len(words), min(self.longest, length)
         rows = np.arange(n)
-        for j in range(1, length + 1):
-            ks = np.arange(min(top, j), 0, -1)
-            paths = best[:, j - ks] + score[top - ks, :, j - ks].T
-            first = np.argmax(paths, axis=1)
-            best[:, j] = paths[rows, first]
-            back[:, j] = ks[first]
+        back = np.zeros((n, length + 1), np.int16)
+        last = np.full((n, length + 1), -2, np.int32)  # the piece that ends at each position
+        best = np.full((n, length + 1), -np.inf) if self.rank is None else None
+        for begin in range(0, length, PART):
+            low, end = max(0, begin - top + 1), min(length, begin + PART)
+            score, piece = self._tables(codes[:, low:end], top)
+            there = score > -np.inf
+            for j in range(begin + 1, end + 1):
+                if best is not None:
+                    best[:, 0] = 0
+                    ks = np.arange(min(top, j), 0, -1)
+                    paths = best[:, j - ks] + score[top - ks, :, j - ks - low].T
+                    first = np.argmax(paths, axis=1)  # the first maximum is the longest piece
+                    best[:, j], back[:, j] = paths[rows, first], ks[first]
+                    last[:, j] = piece[top - ks[first], rows, j - ks[first] - low]
+                    continue
+                ks = np.arange(min(top, j), 0, -1)
+                open_ = there[top - ks, :, j - ks - low].T
+                left = rows
+                while left.size:  # one path scores 0: the longest open piece is tried, then the next one
+                    first = open_[left].argmax(axis=1)
+                    if not open_[left, first].all():
+                        raise RuntimeError("no path through a word")
+                    k = ks[first]
+                    ids = piece[top - k, left, j - k - low]
+                    ok = self._apart(last[left, j - k], ids)
+                    on = left[ok]
+                    back[on, j], last[on, j] = k[ok], ids[ok]
+                    left, first = left[~ok], first[~ok]
+                    open_[left, first] = False
         # all words walk back together; ids fill from the right
         taken = np.full((n, length), -2, np.int32)
         place, column = np.full(n, length), length
         while (live := np.flatnonzero(place)).size:
             column -= 1
-            k = back[live, place[live]]
-            place[live] -= k
-            taken[live, column] = piece[top - k, live, place[live]]
+            taken[live, column] = last[live, place[live]]
+            place[live] -= back[live, place[live]]
         used = taken != -2
         flat, ends = taken[used], np.cumsum(used.sum(axis=1))
         if (flat == -1).any():
@@ -147,7 +206,7 @@ class Vocabulary:
         for w in words:
             by_length.setdefault(len(w), []).append(w)
         for length, group in by_length.items():
-            step = max(1, (1 << 16) // (length * min(length, self.longest)))
+            step = max(1, (1 << 18) // (length * min(length, self.longest)))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
                 found = self.viterbi(part)
@@ -168,6 +227,17 @@ class Vocabulary:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+#: Vocabularies of this worker process by file, with the words that they remember.
+_loaded: dict[str, Vocabulary] = {}
+
+
+def vocabulary(model: str) -> Vocabulary:
+    if model not in _loaded:
+        _loaded.clear()
+        _loaded[model] = Vocabulary(model)
+    return _loaded[model]
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", check: str | None = None) -> DataFrame:
     """``docs`` with ``out ARRAY<INT>``, added or replaced. ``model`` is a file that every executor has.
 
@@ -180,16 +250,16 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", ch
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields], *made])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model)
+        known = vocabulary(model)
         for batch in batches:
             for begin, texts in runs(batch.column(at), 2 << 20):
                 part = batch.slice(begin, len(texts))
-                coded = vocabulary.encode(texts)
+                coded = known.encode(texts)
                 offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(coded) if coded else np.zeros(0, np.int32)))
                 columns, names = [*part.columns, lists], [*keep, out]
                 if check:
-                    same = [vocabulary.decode(c.tolist()) == t for c, t in zip(coded, texts, strict=True)]
+                    same = [known.decode(c.tolist()) == t for c, t in zip(coded, texts, strict=True)]
                     columns, names = [*columns, pa.array(same, pa.bool_())], [*names, check]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
@@ -204,9 +274,9 @@ def decode(coded: DataFrame, model: str, ids: str = "ids", out: str = "decoded")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields], f"`{out}` string"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model)
+        known = vocabulary(model)
         for batch in batches:
-            texts = [vocabulary.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in batch.column(at)]
+            texts = [known.decode(x.values.to_numpy().tolist()) if x.is_valid else "" for x in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*keep, out])
 
     return source.mapInArrow(run, schema)
