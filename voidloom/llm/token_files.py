@@ -23,7 +23,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HEADER = struct.Struct("<4sQQBBQ")
@@ -39,7 +39,7 @@ class Settings:
 
     end_id: int = 0
     segment_ids: int = 1 << 18
-    known_pieces: int = 300_000
+    known_pieces: int = 200_000
 
 
 class EliasFano:
@@ -127,37 +127,67 @@ class Segment:
 
 
 class Encoder:
-    """Ids of whole texts by a tokenizers file, in one thread. Texts are cut before spaces that surely begin a pre-token; each distinct
-    piece is encoded by the library once and remembered, at most ``known`` pieces at a time."""
+    """Ids of whole texts by a tokenizers file, in one thread, as ``encode`` with ``add_special_tokens=False`` gives them.
+
+    A space before a visible character begins a pre-token, so a text is its first word and then words that each bring
+    their space. Each distinct word is encoded by the library once and remembered: ``known`` words at a time and as many
+    from before, of which those still in use are kept. Texts with runs of spaces or other white space after a space are cut
+    by ``CUT`` instead, and texts that hold an added token's string go to the library whole.
+    """
 
     def __init__(self, path: str, known: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = known
+        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _encode(self, pieces: list[str]) -> list[bytes]:
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) * 4
-        flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(ends[-1]) // 4).tobytes()
-        begin = 0
-        for piece, end in zip(pieces, ends.tolist(), strict=True):
-            self.pieces[piece] = flat[begin:end]
-            begin = end
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
+        ends = (np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) * 4).tolist()
+        flat = np.fromiter(chain.from_iterable(coded), np.uint32, ends[-1] // 4 if ends else 0).tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn_words(self, words: set[str]) -> None:
+        """Remember words that follow a space; those that do not begin visibly are left out."""
+        old = {w: self.before[w] for w in words if w in self.before}
+        self.words.update(old)
+        new = [w for w in words if w not in old and w and ("!" <= w[0] <= "~" or w[0].isalnum())]
+        self.words.update(zip(new, self._encode([f" {w}" for w in new]), strict=True))
+
+    def _by_pieces(self, texts: list[str]) -> list[bytes]:
         split = list(map(CUT.split, texts))
         if len(self.pieces) > self.known:
             self.pieces.clear()
-        missing = list(set(chain.from_iterable(split)).difference(self.pieces))
-        if missing:
-            self._learn(missing)
+        new = list(set(chain.from_iterable(split)).difference(self.pieces))
+        self.pieces.update(zip(new, self._encode(new), strict=True))
         return [b"".join(map(self.pieces.__getitem__, parts)) for parts in split]
 
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """Little-endian uint32 ids of each text."""
+        if len(self.words) > self.known:
+            self.words, self.before = {}, self.words
+        get = self.words.get
+        split = [t.split(" ") for t in texts]
+        heads = self._by_pieces([parts[0] for parts in split])
+        found = [list(map(get, parts[1:])) for parts in split]
+        open_ = [i for i, f in enumerate(found) if None in f]
+        if open_:
+            self._learn_words({w for i in open_ for w, f in zip(split[i][1:], found[i], strict=True) if f is None})
+            for i in open_:
+                found[i] = list(map(get, split[i][1:]))
+        out = [b"" if None in f else head + b"".join(f) for head, f in zip(heads, found, strict=True)]
+        odd = [i for i in open_ if None in found[i]]
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        for at, how in ((odd, self._by_pieces), (whole, self._encode)):
+            for i, coded in zip(at, how([texts[i] for i in at]), strict=True):
+                out[i] = coded
+        return out
+
 
 def runs(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of runs with about ``most`` characters, so that lists of pieces stay small; nulls are empty."""
@@ -181,8 +211,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, settings: Settings
     ``tokenizer`` is a file that every executor has. Texts are dealt by ranges of doc_id, in one shuffle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = max(docs.rdd.getNumPartitions(), 1)
-    ranged = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = Encoder(tokenizer, settings.known_pieces), TaskContext.get().partitionId()
@@ -221,19 +250,19 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     segments = spark.read.parquet(path)
     # a row for each partition of the writer: its ids, summed up in the order of partitions
     totals = segments.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_ids")).alias("ids"))
-    before = {}
-    at = 0
-    for r in totals.orderBy("part").collect():
-        before[r["part"]], at = at, at + r["ids"]
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(F.col("part").alias("p"), F.coalesce(F.sum("ids").over(earlier), F.lit(0)).alias("before"))
+    placed = segments.join(F.broadcast(before), F.col("part") == F.col("p"))
+    placed = placed.select((F.col("before") + F.col("part_start")).alias("start"), "doc_ids", "payload")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, start, doc_ids, blob in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for start, doc_ids, blob in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
                 segment = Segment(blob)
                 begins, ends = segment.all_bounds()
                 words = segment.data.astype("<u4")
                 crcs = [zlib.crc32(words[a:b].tobytes()) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                cols = [pa.array(doc_ids, pa.int64()), pa.array(begins + (before[part] + start)), pa.array(ends - begins), pa.array(crcs, pa.int64())]
+                cols = [pa.array(doc_ids, pa.int64()), pa.array(begins + start), pa.array(ends - begins), pa.array(crcs, pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.select("part", "part_start", "doc_ids", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
