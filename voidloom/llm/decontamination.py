@@ -3,13 +3,14 @@
 Words are lower-cased A-Z runs of the word rule in ``common``. A test window is ``n`` consecutive words of an item; an
 item of fewer words, but not none, is one window. A document word inside any occurrence of a window is hit.
 
-Every position of every document is looked up in the hash set of the test windows, which goes to the tasks inside the
-plan while there are at most ``max_broadcast`` windows; candidates are verified by equality of their words. A larger
-benchmark takes the shuffled path: all windows of documents meet the test windows in an equi-join.
+Test windows become a hash set of bits: 2^26 of them at most, as 2^20 numbers of 64 bits, so what is broadcast is bounded
+whatever the benchmark's size. Every position of every document is looked up in it, for each length that test windows
+have; only positions whose bit is set leave the scan, with their words, and meet the test windows in an equi-join, which
+verifies them word by word. With more windows more bits are set by chance and more positions are verified; nothing else changes.
 
 Null and empty texts have no words and stay. Rows that agree in id and text are handled alike and all stay in the
-result; an item whose id is null hits, but is not listed. Extra columns are ignored by ``find_hits`` and kept by
-``decontaminate``.
+result; an item whose id is null hits, but is not listed. Empty tables give no rows, or no hits. Very long texts are
+scanned whole. Extra columns are ignored by ``find_hits`` and kept by ``decontaminate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_GAP, lower_ascii
+from .common import WORD_GAP, checkpoint, fresh, lower_ascii
 
 #: Fixed value: the word rule's gaps in a text that still has its capitals.
 RAW_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -27,8 +28,10 @@ RAW_GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 
 @dataclass(frozen=True)
 class Settings:
+    """``n``: words of a window; ``bits``: the hash set has 2^``bits`` numbers of 64 bits at most."""
+
     n: int = 10
-    max_broadcast: int = 50_000
+    bits: int = 20
 
 
 def words_of(text: Column) -> Column:
@@ -49,39 +52,56 @@ def test_windows(benchmark: DataFrame, n: int) -> DataFrame:
     return short.unionByName(full).groupBy("window").agg(F.collect_set("item").alias("items"))
 
 
-def _hits(words: Column, hashes: dict[int, list[int]]) -> Column:
-    """Positions and words of the windows whose hash is among the test windows' hashes, by window length."""
+def _window_hash(hashes: Column) -> Column:
+    """The hash of a window from its words' hashes."""
+    return F.xxhash64(hashes)
+
+
+def _place(hash_: Column, settings: Settings) -> tuple[Column, Column]:
+    """(number, bit) of a hash in the hash set: its lowest bits and its six highest."""
+    return hash_.bitwiseAND((1 << settings.bits) - 1), F.shiftrightunsigned(hash_, 58).cast("int")
+
+
+def hash_set(tests: DataFrame, settings: Settings) -> DataFrame:
+    """number, ones: the bits of all test windows, and number -1, which every document meets once."""
+    number, bit = _place(_window_hash(F.transform("window", lambda w: F.xxhash64(w))), settings)
+    placed = tests.select(number.alias("number"), bit.alias("bit"))
+    ones = placed.groupBy("number").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("ones"))
+    return ones.union(tests.sparkSession.range(1).select(F.lit(-1).cast("long"), F.lit(-1).cast("long")))
+
+
+def _candidates(rows: DataFrame, tests: DataFrame, settings: Settings) -> DataFrame:
+    """doc_id, text_key, n_words, pos, window: positions whose bit is set, and pos -1 once for each row, with a window
+    that is like no other (no word holds a zero byte)."""
+    lengths = sorted(r["n"] for r in tests.select(F.size("window").alias("n")).distinct().collect())  # n of them at most
+    size = F.size("words")
 
-    def of_length(n: int, known: list[int]) -> Column:
-        starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
-        at = F.filter(starts, lambda i: F.xxhash64(F.slice(words, i, n)).isin(known))
-        return F.transform(at, lambda i: F.struct((i - 1).alias("pos"), F.slice(words, i, n).alias("window")))
+    def of_length(n: int, hashes: Column) -> Column:
+        starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.when(i <= size - (n - 1), _window_hash(F.slice(hashes, i, n))))
 
-    found = [of_length(n, known) for n, known in sorted(hashes.items())]
-    return F.concat(*found) if found else F.array().cast("array<struct<pos:int,window:array<string>>>")
+    # a one-element array holds the words' hashes, so that they are worked out once
+    hashed = F.array(F.transform("words", lambda w: F.xxhash64(w)))
+    every = F.flatten(F.transform(hashed, lambda h: F.concat(F.array(F.lit(0).cast("long")), *[of_length(n, h) for n in lengths])))
+    flat = rows.select("doc_id", "text_key", "words", size.alias("n_words"), every.alias("every"))
+    flat = flat.select("doc_id", "text_key", "words", "n_words", F.posexplode("every").alias("at", "hash"))
+    number, bit = _place(F.col("hash"), settings)
+    flat = flat.select("doc_id", "text_key", "words", "n_words", "at", F.when(F.col("at") == 0, -1).otherwise(number).alias("number"), bit.alias("bit"))
+    met = flat.join(F.broadcast(hash_set(tests, settings)), "number").where(F.expr("at = 0 or (shiftrightunsigned(ones, bit) & 1L) = 1L"))
+    which, pos = F.floor((F.col("at") - 1) / F.col("n_words")).cast("int"), F.pmod(F.col("at") - 1, F.col("n_words"))
+    met = met.select("doc_id", "text_key", "n_words", "words", "at", F.when(F.col("at") > 0, pos).otherwise(-1).alias("pos"), F.get(F.array(*[F.lit(n) for n in lengths] or [F.lit(0)]), which).alias("n"))
+    alone = F.array(F.lit("\0"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_key").cast("string"))
+    return met.select("doc_id", "text_key", "n_words", "pos", F.when(F.col("at") == 0, alone).otherwise(F.slice("words", F.col("pos") + 1, F.col("n"))).alias("window"))
 
 
 def _verified(docs: DataFrame, benchmark: DataFrame, settings: Settings) -> DataFrame:
     """doc_id, text_key, n_words, n_copies, hits ARRAY<INT> (hit word positions), items: one row for rows that agree."""
-    tests = test_windows(benchmark, settings.n)
+    tests = checkpoint(test_windows(benchmark, settings.n))
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words_of(F.col("text")).alias("words"))
-    keys = ["doc_id", "text_key", "n_words"]
-    known = tests.select(F.size("window").alias("n"), F.xxhash64("window").alias("hash")).limit(settings.max_broadcast + 1).collect()
-    if len(known) <= settings.max_broadcast:
-        hashes: dict[int, list[int]] = {}
-        for r in known:
-            hashes.setdefault(r["n"], []).append(r["hash"])
-        found = rows.select("doc_id", "text_key", F.size("words").alias("n_words"), _hits(F.col("words"), hashes).alias("hits"))
-        tests = F.broadcast(tests)  # at most max_broadcast windows, as counted
-    else:
-        lengths = F.array(*[F.lit(i) for i in range(1, settings.n + 1)])
-        every = F.flatten(F.transform(lengths, lambda n: windows(F.col("words"), n)))
-        found = rows.select("doc_id", "text_key", F.size("words").alias("n_words"), every.alias("hits"))
-    flat = found.select(*keys, F.greatest(F.size("hits"), F.lit(1)).alias("n_rows"), F.explode_outer("hits").alias("hit"))
-    flat = flat.select(*keys, "n_rows", "hit.pos", "hit.window")
-    met = flat.join(tests, "window", "left").withColumn("seen", F.when(F.col("items").isNotNull(), F.sequence("pos", F.col("pos") + F.size("window") - 1)))
-    return met.groupBy(*keys, "n_rows").agg(
-        (F.count("*") / F.col("n_rows")).cast("int").alias("n_copies"),
+    met = _candidates(rows, tests, settings).join(tests, "window", "left")
+    met = met.withColumn("seen", F.when(F.col("items").isNotNull(), F.sequence("pos", F.col("pos") + F.size("window") - 1)))
+    return met.groupBy("doc_id", "text_key", "n_words").agg(
+        F.count(F.when(F.col("pos") < 0, 1)).cast("int").alias("n_copies"),
         F.array_distinct(F.flatten(F.collect_list("seen"))).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
@@ -105,13 +125,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """Drop contaminated documents, or with ``mode="spans"`` cut the hit words (with what stands before each) out of their texts."""
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode is documents or spans, not {mode!r}")
-    found = _verified(docs, benchmark, settings).where(F.size("hits") > 0).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("hits").alias("__hits"))
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("__key"))
+    i, key, hits, cut = fresh(docs, "hit_id", "hit_key", "hit_words", "cut_text")
+    found = _verified(docs.select("doc_id", "text"), benchmark, settings).where(F.size("hits") > 0)
+    found = found.select(F.col("doc_id").alias(i), F.col("text_key").alias(key), F.col("hits").alias(hits))
+    same = docs["doc_id"].eqNullSafe(F.col(i)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(key))
     if mode == "documents":
         return docs.join(found, same, "left_anti")
     gap, word = f"[{RAW_GAP}]*", f"[^{RAW_GAP}]+"
     pieces = F.regexp_extract_all("text", F.lit(f"({gap}{word})"), 1)
-    kept = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains("__hits", i)), "")
-    cut = F.concat(kept, F.regexp_extract("text", f"({gap})$", 1))
-    joined = docs.join(found, same, "left").withColumn("__cut", F.when(F.col("__hits").isNull(), F.col("text")).otherwise(cut))
-    return joined.select(*[F.col("__cut").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    kept = F.array_join(F.filter(pieces, lambda _, i: ~F.array_contains(hits, i)), "")
+    text = F.when(F.col(hits).isNull(), F.col("text")).otherwise(F.concat(kept, F.regexp_extract("text", f"({gap})$", 1)))
+    joined = docs.join(found, same, "left").withColumn(cut, text)
+    return joined.select(*[F.col(cut).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
