@@ -6,15 +6,16 @@ Two kinds of pieces of a text are looked up in the corpus:
   lines before it. Each line of a repeated passage of ``min_words`` words or more lies in a window that lies in the
   passage, so passages of short lines go as a whole, edges and blank lines included;
 - chunks: a rolling hash over each pair of neighbouring line hashes (``31 * before + this``, 32 bits of each line's md5)
-  is a text's landscape; a chunk begins at its local minima. Lines of ``long_line`` characters or more are chunks of
-  their own. Chunks of two or more lines and long lines count, unless they have fewer than ``min_chars`` characters.
+  is a text's landscape; a chunk begins at its local minima. Chunks of two or more lines with a word in them count.
 
 A piece is repeated if another place of the corpus, in the order of (doc_id, position), holds the same lines before it:
 the first place keeps it, the others lose it after the texts were compared byte by byte. A place that overlaps the first
 one does not count, so a run of equal lines keeps its first window. Each line that goes has an equal one before it.
 
 Null texts stay null and empty texts empty. Rows that agree in id and text are one document: they lose the same lines
-and none to each other. Null ids sort first. A text whose lines were all repeated is left as ``''``.
+and none to each other. Null ids sort first. A text whose lines were all repeated is left as ``''``. Very long texts are
+cut whole, an empty table gives an empty table, and other columns stay whatever their names, but ``n_lines`` and
+``n_removed``, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,11 +25,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint, fresh
+
+#: A word of a line: anything but white space of ASCII.
+WORD = r"[^\x09-\x0D\x20]+"
+
 
 @dataclass(frozen=True)
 class Settings:
-    long_line: int = 200
-    min_chars: int = 30
+    """``min_words``: words of the shortest repeated passage that surely goes as a whole."""
+
     min_words: int = 50
 
 
@@ -37,46 +43,26 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def chunks_of(lines: Column, hashes: Column, settings: Settings) -> Column:
-    """``ARRAY<STRUCT<at, n, text>>``: first line, number of lines and text of each chunk of an array of lines."""
-    last = F.size(lines) - 1
+def chunks_of(hashes: Column) -> Column:
+    """Codes (first line, number of lines) of the chunks of a text's line hashes."""
+    last = F.size(hashes) - 1
     high = F.lit(1 << 40)
     numbers = F.sequence(F.lit(0), last)
-
-    def is_long(i: Column) -> Column:
-        return F.length(F.get(lines, i)) >= settings.long_line
-
     # position i > 0 holds the hash of lines i-1 and i; beyond the ends it is higher than any
     rolling = F.transform(numbers, lambda i: F.when(i == 0, high).otherwise(F.pmod(F.get(hashes, i - 1) * 31 + F.get(hashes, i), F.lit(1 << 32))))
 
     def cut(rolled: Column) -> Column:
-        def begins(i: Column) -> Column:
-            lowest = (F.get(rolled, i) < F.get(rolled, i - 1)) & (F.get(rolled, i) <= F.coalesce(F.get(rolled, i + 1), high))
-            return (i == 0) | lowest | is_long(i) | is_long(i - 1)
-
-        return F.filter(numbers, begins)
+        return F.filter(numbers, lambda i: (i == 0) | (F.get(rolled, i) < F.get(rolled, i - 1)) & (F.get(rolled, i) <= F.coalesce(F.get(rolled, i + 1), high)))
 
     def build(starts: Column) -> Column:
         ends = F.concat(F.slice(starts, 2, F.size(starts)), F.array(last + 1))
-        return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("at"), (b - a).alias("n"), F.array_join(F.slice(lines, a + 1, b - a), "\n").alias("text")))
+        return F.zip_with(starts, ends, lambda a, b: code(a, b - a))
 
     # one-element arrays hold what is used many times, so that it is worked out once
     starts = F.transform(F.array(rolling), cut)
     return F.flatten(F.transform(starts, build))
 
 
-def _chunked(docs: DataFrame, settings: Settings) -> DataFrame:
-    """__id, __key and the chunks of each document."""
-    lines = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), F.split("text", "\n").alias("__lines"))
-    hashed = lines.select("__id", "__key", "__lines", F.transform("__lines", line_hash).alias("__hashes"))
-    return hashed.select("__id", "__key", chunks_of(F.col("__lines"), F.col("__hashes"), settings).alias("__chunks"))
-
-
-def removable(chunk: Column, settings: Settings) -> Column:
-    size = F.length(chunk["text"])
-    return ((chunk["n"] > 1) | (size >= settings.long_line)) & (size >= settings.min_chars)
-
-
 def running(counts: Column, block: int = 256) -> Column:
     """0 and the running totals of an array of numbers, by blocks, as appending to an array copies it."""
 
@@ -93,6 +79,14 @@ def code(at: Column, n: Column) -> Column:
     return F.shiftleft(at.cast("long"), 31) + n
 
 
+def first_of(c: Column) -> Column:
+    return F.shiftright(c, 31).cast("int")
+
+
+def lines_of(c: Column) -> Column:
+    return c.bitwiseAND((1 << 31) - 1).cast("int")
+
+
 def windows_of(totals: Column, line_of: Column, settings: Settings) -> Column:
     """Codes of the windows. ``totals[i]``: words before line i; ``line_of[k]``: line of word k."""
     last = F.size(totals) - 2
@@ -108,18 +102,22 @@ def windows_of(totals: Column, line_of: Column, settings: Settings) -> Column:
 
 def _places(docs: DataFrame, settings: Settings) -> DataFrame:
     """__id, __key, at, n, h1, h2 of each piece of each document."""
-    chunked = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), F.split("text", "\n").alias("__lines"))
-    chunked = chunked.select("*", F.transform("__lines", line_hash).alias("__hashes"), F.transform("__lines", lambda x: F.xxhash64(x)).alias("__h"), F.transform("__lines", lambda x: F.regexp_count(x, F.lit(r"\S+"))).alias("__words"))
-    chunked = chunked.select("__id", "__key", "__h", "__words", chunks_of(F.col("__lines"), F.col("__hashes"), settings).alias("__chunks"))
-    chunked = chunked.withColumn("__codes", F.transform(F.filter("__chunks", lambda c: removable(c, settings)), lambda c: code(c["at"], c["n"])))
+    split = docs.select(F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__key"), F.split("text", "\n").alias("__lines"))
+    counted = F.transform("__lines", lambda x: F.regexp_count(x, F.lit(WORD)))
+    split = split.select("__id", "__key", F.transform("__lines", line_hash).alias("__hashes"), F.transform("__lines", lambda x: F.xxhash64(x)).alias("__h"), counted.alias("__words"))
+
+    def counts(c: Column) -> Column:
+        n = lines_of(c)
+        return (n > 1) & F.exists(F.slice("__words", first_of(c) + 1, n), lambda w: w > 0)
+
+    chunked = split.select("__id", "__key", "__h", "__words", F.filter(chunks_of(F.col("__hashes")), counts).alias("__codes"))
     # texts of too few words have no window and need no totals
     enough = F.aggregate("__words", F.lit(0), lambda n, x: n + x) >= settings.min_words
     line_of = F.flatten(F.transform("__words", lambda x, i: F.array_repeat(i, x)))
-    counted = chunked.select("__id", "__key", "__h", "__codes", F.when(enough, running(F.col("__words"))).alias("__totals"), F.when(enough, line_of).alias("__line_of"))
+    totals = chunked.select("__id", "__key", "__h", "__codes", F.when(enough, running(F.col("__words"))).alias("__totals"), F.when(enough, line_of).alias("__line_of"))
     windows = F.coalesce(windows_of(F.col("__totals"), F.col("__line_of"), settings), F.array().cast("array<bigint>"))
-    flat = counted.select("__id", "__key", "__h", F.explode(F.array_union("__codes", windows)).alias("c"))
-    at, n = F.shiftright("c", 31).cast("int"), F.col("c").bitwiseAND((1 << 31) - 1).cast("int")
-    found = flat.select("__id", "__key", at.alias("at"), n.alias("n"), F.slice("__h", at + 1, n).alias("s"))
+    flat = totals.select("__id", "__key", "__h", F.explode(F.array_union("__codes", windows)).alias("c"))
+    found = flat.select("__id", "__key", first_of(F.col("c")).alias("at"), lines_of(F.col("c")).alias("n"), F.slice("__h", first_of(F.col("c")) + 1, lines_of(F.col("c"))).alias("s"))
     return found.select("__id", "__key", "at", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(1), "s").alias("h2"))
 
 
@@ -130,7 +128,7 @@ def repeated_ranges(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     Only hashes are grouped; repeated pieces that go on in the same earlier document become one range, and the text of
     each earlier range travels once, to be compared at the others.
     """
-    places = _places(docs.where(F.col("text").isNotNull()), settings)
+    places = checkpoint(_places(docs.where(F.col("text").isNotNull()), settings))  # texts are cut into pieces once
     place = F.struct("__id", "at", "__key")
     firsts = places.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").drop("last")
     met = places.join(firsts, ["h1", "h2"]).where(place != F.col("first"))
@@ -165,14 +163,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` with ``text`` rewritten, and ``n_lines``, ``n_removed`` (lines) added or replaced."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    drop = repeated_ranges(docs.select("doc_id", "text"), settings)
-    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("text").alias("__t"))
-    met = keyed.join(drop, keyed["doc_id"].eqNullSafe(drop["__id"]) & (keyed["__t"] == drop["__key"]), "left").drop("__id", "__key", "__t")
-    met = met.withColumn("__lines", F.split("text", "\n"))
-    equal = F.filter("__drop", lambda d: F.array_join(F.slice("__lines", d["at"] + 1, d["n"]), "\n") == d["text"])
-    met = met.withColumn("__gone", F.array_distinct(F.flatten(F.transform(equal, lambda d: F.sequence(d["at"], d["at"] + d["n"] - 1)))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__lines", i)), "\n"))
-    n_lines = F.coalesce(F.size("__lines"), F.lit(0))
+    i, key, drops, t, lines, gone = fresh(docs, "drop_id", "drop_key", "drop", "text_key", "lines", "gone")
+    drop = repeated_ranges(docs.select("doc_id", "text"), settings).select(F.col("__id").alias(i), F.col("__key").alias(key), F.col("__drop").alias(drops))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64("text").alias(t))
+    met = keyed.join(drop, keyed["doc_id"].eqNullSafe(drop[i]) & (keyed[t] == drop[key]), "left").withColumn(lines, F.split("text", "\n"))
+    equal = F.filter(drops, lambda d: F.array_join(F.slice(lines, d["at"] + 1, d["n"]), "\n") == d["text"])
+    met = met.withColumn(gone, F.array_distinct(F.flatten(F.transform(equal, lambda d: F.sequence(d["at"], d["at"] + d["n"] - 1)))))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    text = F.when(F.col(drops).isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col(lines), i)), "\n"))
+    n_lines = F.coalesce(F.size(lines), F.lit(0))
     out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns]
-    return met.select(*out, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return met.select(*out, n_lines.cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))

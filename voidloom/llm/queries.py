@@ -86,36 +86,36 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op3_line_dedup"] = r"""
 WITH lines AS (
-  SELECT doc_id, text, string_split(text, chr(10)) AS ls,
-         list_transform(string_split(text, chr(10)), lambda l: ('0x' || substr(md5(l), 1, 8))::BIGINT) AS hs
-  FROM documents),
+  SELECT doc_id, string_split(text, chr(10)) AS ls,
+         list_transform(string_split(text, chr(10)), lambda l: ('0x' || substr(md5(l), 1, 8))::BIGINT) AS hs,
+         list_transform(string_split(text, chr(10)), lambda l: len(regexp_extract_all(l, '[^\x09-\x0D\x20]+'))) AS ws
+  FROM documents WHERE text IS NOT NULL),
 rolled AS (
   SELECT *, list_transform(range(0, len(ls)), lambda i: CASE WHEN i = 0 THEN 1099511627776
                                                         ELSE (hs[i] * 31 + hs[i + 1]) % 4294967296 END) AS r
   FROM lines),
 cuts AS (
-  SELECT *, list_filter(range(0, len(ls)), lambda i: i = 0
-      OR (r[i + 1] < r[i] AND r[i + 1] <= coalesce(r[i + 2], 1099511627776))
-      OR length(ls[i + 1]) >= 200 OR length(ls[i]) >= 200) AS starts
+  SELECT *, list_filter(range(0, len(ls)), lambda i: i = 0 OR (r[i + 1] < r[i] AND r[i + 1] <= coalesce(r[i + 2], 1099511627776))) AS starts
   FROM rolled),
-flat AS (
-  SELECT doc_id, text, ls, unnest(starts) AS a,
-         unnest(list_append(starts[2:], len(ls))) AS b
-  FROM cuts WHERE text IS NOT NULL),
-chunks AS (
-  SELECT doc_id, text, a, b - a AS n, array_to_string(ls[a + 1 : b], chr(10)) AS chunk FROM flat),
-marked AS (
-  SELECT *, (n > 1 OR length(chunk) >= 200) AND length(chunk) >= 30
-      AND row_number() OVER (PARTITION BY chunk, (n > 1 OR length(chunk) >= 200) ORDER BY doc_id, a) > 1 AS gone
-  FROM chunks),
+chunks AS (SELECT doc_id, ls, ws, unnest(starts) AS a, unnest(list_append(starts[2:], len(ls))) AS b FROM cuts),
+flat AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS line, unnest(ws) AS w FROM lines),
+summed AS (SELECT *, CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS upto FROM flat),
+words AS (SELECT doc_id, i, unnest(range(upto - w, upto)) AS k FROM summed),
+pieces AS (
+  SELECT doc_id, a, b - a AS n FROM chunks WHERE b - a > 1 AND list_sum(ws[a + 1 : b]) > 0
+  UNION SELECT s.doc_id, s.i, e.i - s.i + 1 FROM summed s JOIN words e ON e.doc_id = s.doc_id AND e.k = s.upto - s.w + 49
+  UNION SELECT s.doc_id, b.i, s.i - b.i + 1 FROM summed s JOIN words b ON b.doc_id = s.doc_id AND b.k = s.upto - 50),
+texts AS (SELECT p.*, array_to_string(ls[a + 1 : a + n], chr(10)) AS piece FROM pieces p JOIN lines USING (doc_id)),
+firsts AS (SELECT piece, n, min((doc_id, a)) AS f FROM texts GROUP BY piece, n),
+gone AS (
+  SELECT DISTINCT t.doc_id, unnest(range(t.a, t.a + t.n)) AS i FROM texts t JOIN firsts USING (piece, n)
+  WHERE (t.doc_id, t.a) <> f AND NOT (t.doc_id = f[1] AND t.a < f[2] + t.n)),
 merged AS (
-  SELECT doc_id, sum(n) AS n_lines, coalesce(sum(n) FILTER (gone), 0) AS n_removed,
-         coalesce(string_agg(chunk, chr(10) ORDER BY a) FILTER (NOT gone), '') AS kept
-  FROM marked GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
-       CAST(length(CASE WHEN d.text IS NULL THEN NULL ELSE kept END) AS BIGINT) AS n_chars,
-       md5(CASE WHEN d.text IS NULL THEN NULL ELSE kept END) AS text_md5
-FROM documents d LEFT JOIN merged m USING (doc_id)
+  SELECT doc_id, count(*) AS n_lines, count(g.i) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY f.i) FILTER (g.i IS NULL), '') AS kept
+  FROM flat f LEFT JOIN gone g USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(length(kept) AS BIGINT) AS n_chars, md5(kept) AS text_md5
+FROM documents LEFT JOIN merged USING (doc_id)
 """
 
 
