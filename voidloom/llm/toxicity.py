@@ -6,7 +6,8 @@ of the labelled rows, the trees from the next and the calibration from a third,
 
 Null and empty texts have all features 0 and get the score of that point. Without both classes among the labelled rows
 every score is the share of toxic rows (0 without rows). Repeated ids are scored row by row; ids that are labelled twice
-count as toxic if any label does. Texts are read whole.
+count as toxic if any label does. Texts are read whole, however long. An empty table gives an empty table, and other columns stay
+whatever their names, but ``score`` and ``predicted``, which are replaced.
 """
 
 from __future__ import annotations
@@ -207,16 +208,17 @@ class Model:
 
     def score(self, df: DataFrame, text: str = "text") -> DataFrame:
         """``df`` with ``score`` and ``predicted``, added or replaced."""
-        keep = [c for c in df.columns if c not in ("score", "predicted")]
-        df = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+        keep = [c for c in df.columns if c.lower() not in ("score", "predicted")]
+        # the caller's columns travel as one, so that none of them clashes with a column of the model's
+        df = df.select(F.struct(*[F.col(f"`{c}`") for c in keep] or [F.lit(0)]).alias("kept"), F.col(f"`{text}`").alias("text"))
         if self.trees is None:
             scored = df.withColumn("score", F.lit(self.prior))
         else:
-            scored = self._raw(with_features(df, self.lexicon, self.settings, "__text"))
+            scored = self._raw(with_features(df, self.lexicon, self.settings))
             scored = self.isotonic.setPredictionCol("__score").transform(scored)
             scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("__score"))))
         predicted = (F.col("score") >= self.settings.threshold).cast("int")
-        return scored.select(*[F.col(f"`{c}`") for c in keep], "score", predicted.alias("predicted"))
+        return scored.select(*[F.col("kept")[c].alias(c) for c in keep], "score", predicted.alias("predicted"))
 
     def _raw(self, df: DataFrame) -> DataFrame:
         vectors = df.withColumn("__vector", array_to_vector("features"))
