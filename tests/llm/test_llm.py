@@ -1,5 +1,6 @@
 """The training-data operators against brute force, with nulls, empty texts and tables, ties, repeats and clashing columns."""
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -91,7 +92,7 @@ def test_search_of_large_values_is_exact(spark):
 
 def test_repeated_chunks_leave_later_places(spark):
     shared = "\n".join(f"shared line number {i} of a passage" for i in range(8))
-    long_line = "one long line " * 30
+    long_line = "one long line " * 30  # 90 words
     rows = [(3, f"head three\n{shared}\ntail three"), (1, f"head one a\nhead one b\n{shared}\ntail one"), (2, "clean text\nnothing else"), (4, None), (5, ""), (6, long_line), (7, "x\n" + long_line), (2, "clean text\nnothing else")]
     docs = documents(spark, rows).withColumn("n_lines", F.lit("clash"))
     got = {(r["doc_id"]): r for r in line_dedup.dedup_lines(docs).collect()}
@@ -105,9 +106,12 @@ def test_repeated_chunks_leave_later_places(spark):
 def test_chunk_boundaries_resist_shifts(spark):
     lines = [f"line {i} {i * 7919 % 101}" for i in range(60)]
     df = documents(spark, [(0, "\n".join(lines)), (1, "\n".join(["new"] + lines))])
-    found = line_dedup._chunked(df, line_dedup.Settings()).select("__id", F.explode("__chunks").alias("c")).select("__id", "c.text").collect()
-    a, b = ({r["text"] for r in found if r["__id"] == i} for i in (0, 1))
-    assert len(a & b) >= len(a) - 2 and "\n".join(r["text"] for r in found if r["__id"] == 0) == "\n".join(lines)
+    hashed = df.select("doc_id", F.split("text", "\n").alias("lines")).withColumn("hashes", F.transform("lines", line_dedup.line_hash))
+    cut = hashed.select("doc_id", "lines", F.explode(line_dedup.chunks_of(F.col("hashes"))).alias("c"))
+    cut = cut.select("doc_id", F.array_join(F.slice("lines", line_dedup.first_of(F.col("c")) + 1, line_dedup.lines_of(F.col("c"))), "\n").alias("text"))
+    found = cut.collect()
+    a, b = ({r["text"] for r in found if r["doc_id"] == i} for i in (0, 1))
+    assert len(a & b) >= len(a) - 2 and "\n".join(r["text"] for r in found if r["doc_id"] == 0) == "\n".join(lines)
 
 
 def test_planted_passages_of_short_lines_leave_whole(spark):
@@ -218,22 +222,55 @@ def vocabulary():
 ODD = ["", " ", "a▁b", "é\n\n x  ", "日本語 text", "𝔘x" * 3, "tab\there", "▁", "x" * 5000, " lead", "trail ", "\n"]
 
 
-def test_pieces_are_the_best_path_and_decode_exactly(vocabulary):
+def brute_path(word, score, unknown, longest):
+    best = [0.0] + [-np.inf] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(max(0, j - longest), j):
+            s = score.get(word[i:j], unknown if j - i == 1 else -np.inf)
+            best[j] = max(best[j], best[i] + s)
+    return best[-1]
+
+
+def test_pieces_of_best_sums_and_exact_decoding(vocabulary):
+    """With log probabilities for scores: batches of equal-length words against a plain dynamic programme."""
+    import public_tokenizers
+
+    sums = pieces.Vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    sums.rank = None
+    for length, (keys, ids, scores) in sums.probes.items():
+        sums.probes[length] = keys, ids, -np.log(2.0 - scores)
+    sums.unknown = -20.0
+    for text, ids in zip(ODD, sums.encode(ODD), strict=True):
+        assert sums.decode(ids.tolist()) == text
+    score = {sums.text[int(i)]: float(s) for _, ids, scores in sums.probes.values() for i, s in zip(ids, scores, strict=True)}
+    rng = np.random.default_rng(3)
+    for length in (1, 5, 12):
+        words = ["".join(rng.choice(list("thinkgabl▁日é"), length)) for _ in range(40)]
+        for word, ids in zip(words, sums.viterbi(words), strict=True):
+            parts = sums.text
+            got = sum(score[parts[i]] for i in ids.tolist() if i in parts) + sums.unknown * sum(c not in score for c in word)
+            assert abs(got - brute_path(word, score, sums.unknown, sums.longest)) < 1e-9
+
+
+def test_pieces_of_merges_are_the_library_s(vocabulary):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(4)
+    letters = list("etaoin shrdlu,.ETA\n09éß日🙂")
+    some = ["".join(rng.choice(letters, int(rng.integers(1, 200)))) for _ in range(300)] + texts(50) + [" the  cat", "x" * 3000, "(unbelievably) thinking"]
+    for text, ids in zip(some, vocabulary.encode(some), strict=True):
+        assert ids.tolist() == library.encode(text) and vocabulary.decode(ids.tolist()) == text
     for text, ids in zip(ODD, vocabulary.encode(ODD), strict=True):
         assert vocabulary.decode(ids.tolist()) == text
-    score = {}
-    for length, (_, ids, scores) in vocabulary.probes.items():
-        score |= {vocabulary.text[int(i)]: float(s) for i, s in zip(ids, scores, strict=True) if len(vocabulary.text[int(i)]) == length}
-    for word in ("▁thinking", "▁unbelievably", "▁xqzt", "▁a日b"):
-        best = [0.0] + [-np.inf] * len(word)
-        for j in range(1, len(word) + 1):
-            for i in range(max(0, j - vocabulary.longest), j):
-                s = score.get(word[i:j], vocabulary.unknown if j - i == 1 else -np.inf)
-                best[j] = max(best[j], best[i] + s)
-        ids = vocabulary.viterbi([word])[0]
-        got = sum(score[vocabulary.text[i]] if i in vocabulary.text else 0 for i in ids.tolist())
-        unknown = sum(1 for c in word if c not in score)
-        assert abs(got + unknown * vocabulary.unknown - best[-1]) < 1e-9
+
+
+def test_long_words_are_encoded_in_parts(vocabulary, monkeypatch):
+    word = "▁" + "thinkingaboutlongwords" * 20
+    whole = vocabulary.viterbi([word])[0].tolist()
+    monkeypatch.setattr(pieces, "PART", 64)
+    assert vocabulary.viterbi([word])[0].tolist() == whole
 
 
 def test_pieces_over_tables(spark, vocabulary):
@@ -254,23 +291,24 @@ def test_token_files_round_trip(spark, tmp_path):
 
     path = tokenizers.path("byte_bpe_50k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
-    rows = [(i, t) for i, t in enumerate([*ODD, "don't  stop\n\n<|endoftext|> 123abc ½", *texts(30)])]
-    rows = rows[::-1] + [(99, None)]
+    assert plain.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    rng = np.random.default_rng(9)
+    mixed = ["".join(rng.choice(list("ab 's\n\t\u00a0\u20281.é日-"), 60)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate([*ODD, "don't  stop\n\n<|endoftext|> 123abc ½", "a <|endoftext|> b", "a  <|endoftext|>  b<|endoftext|>", *mixed, *texts(30), "long " * 60000])]
+    rows = rows[::-1] + [(990, None), (990, "again"), (990, "again")]
     docs = documents(spark, rows).repartition(3)
     token_files.write_tokens(docs, str(tmp_path / "t"), path, token_files.Settings(segment_ids=300))
-    got = {r["doc_id"]: (r["start"], r["n_tokens"]) for r in token_files.read_index(spark, str(tmp_path / "t")).collect()}
-    at = 0
-    for i, t in sorted(rows):
-        n = len(plain.encode(t or "", add_special_tokens=False).ids) + 1
-        assert got[i] == (at, n)
-        at += n
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_index(spark, str(tmp_path / "t")).collect())
+    coded = {(i, t): plain.encode(t or "", add_special_tokens=False).ids + [0] for i, t in rows}
+    assert [g[1] for g in got] == sorted(i for i, _ in rows) and [g[0] for g in got] == [0, *np.cumsum([g[2] for g in got])[:-1]]
+    expect = Counter((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for (i, t), ids in ((r, coded[r]) for r in rows))
+    assert Counter(g[1:] for g in got) == expect
     segments = spark.read.parquet(str(tmp_path / "t")).collect()
-    ids = {}
+    ids = Counter()
     for r in segments:
         s = token_files.Segment(bytes(r["payload"]))
-        ids |= {d: s.ids(k).tolist() for k, d in enumerate(r["doc_ids"])}
-    assert all(ids[i] == plain.encode(t or "", add_special_tokens=False).ids + [0] for i, t in rows)
+        ids.update((d, tuple(s.ids(k).tolist())) for k, d in enumerate(r["doc_ids"]))
+    assert ids == Counter((i, tuple(coded[i, t])) for i, t in rows)
     token_files.write_tokens(docs.where("false"), str(tmp_path / "e"), path)
     assert token_files.read_index(spark, str(tmp_path / "e")).count() == 0
 
@@ -320,14 +358,14 @@ def brute_hits(text, items, n=10):
     return len(w), len(hit), ",".join(sorted(named))
 
 
-@pytest.mark.parametrize("most", [50_000, 0])
-def test_hits_match_brute_force(spark, most):
+@pytest.mark.parametrize("bits", [20, 1])  # with few bits nearly every position is verified
+def test_hits_match_brute_force(spark, bits):
     long_item = " ".join(f"Benchmark{i}" for i in range(14))
     items = [(11, long_item), (2, "short item, here"), (3, long_item), (4, None), (5, "..."), (None, "Größe zählt")]
     rows = [(1, f"before {long_item.upper()} after"), (2, "a Short; item here! and " + " ".join(f"benchmark{i}" for i in range(9))), (3, None), (4, ""), (5, "die größe zählt"), (6, "clean"), (6, "clean"), (7, ("x " + long_item + " ") * 3)]
     docs = documents(spark, rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
-    settings = decontamination.Settings(max_broadcast=most)
+    settings = decontamination.Settings(bits=bits)
     got = Counter((r["doc_id"], r["n_words"], r["n_hit"], ",".join(r["items"])) for r in decontamination.find_hits(docs, bench, settings).collect())
     assert got == Counter((i, *brute_hits(t, items)) for i, t in rows)
     clean = decontamination.decontaminate(docs, bench, settings=settings)
