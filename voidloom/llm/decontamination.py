@@ -84,7 +84,8 @@ def _candidates(rows: DataFrame, tests: DataFrame, settings: Settings) -> DataFr
     hashed = F.array(F.transform("words", lambda w: F.xxhash64(w)))
     every = F.flatten(F.transform(hashed, lambda h: F.concat(F.array(F.lit(0).cast("long")), *[of_length(n, h) for n in lengths])))
     flat = rows.select("doc_id", "text_key", "words", size.alias("n_words"), every.alias("every"))
-    flat = flat.select("doc_id", "text_key", "words", "n_words", F.posexplode("every").alias("at", "hash"))
+    # outer, as else a filter on the array's size is pushed below it, where each element would split the text again
+    flat = flat.select("doc_id", "text_key", "words", "n_words", F.posexplode_outer("every").alias("at", "hash"))
     number, bit = _place(F.col("hash"), settings)
     flat = flat.select("doc_id", "text_key", "words", "n_words", "at", F.when(F.col("at") == 0, -1).otherwise(number).alias("number"), bit.alias("bit"))
     met = flat.join(F.broadcast(hash_set(tests, settings)), "number").where(F.expr("at = 0 or (shiftrightunsigned(ones, bit) & 1L) = 1L"))
