@@ -144,7 +144,7 @@ def test_paths_around_a_hole_are_told_apart(spark):
     forms = H.normal_forms(H.edge_vectors(paths), triangles)
     got = {r["path_id"]: r["cluster"] for r in H.classes(forms).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 3}
-    assert H.rank(triangles) == 1
+    assert H.rank(triangles).first()["rank"] == 1
     ways = spark.createDataFrame([(0, 8, [0, 1, 2, 5, 8])], "source long, node long, path array<long>")
     short = {r["path_id"]: r["path"] for r in H.shorten(paths.where("size(path) > 0"), ways, triangles).collect()}
     assert short == {0: [0, 1, 2, 5, 8], 1: [0, 3, 6, 7, 8], 2: [0, 1, 2, 5, 8]}
@@ -203,3 +203,75 @@ def test_walks_without_an_end_are_kept(spark):
     assert len(got) == 40 and all(r["ended"] == (r["path"] == [0, 1]) for r in got) and {r["ended"] for r in got} == {True, False}
     ring = spark.createDataFrame([(0, 0, 1.0)], "src long, dst long, p double")
     assert [(len(r["path"]), r["ended"]) for r in R.random_walks(ring, starts, 1, 3, stop, 20).collect()] == [(20, False)]
+
+
+def test_totals_of_large_tables_with_other_columns(spark, tmp_path):
+    """The rows are dealt once, so what columns a later plan keeps does not move their ranges."""
+    n = 2_000_000
+    df = spark.range(n).select((F.col("id") % 3).cast("int").alias("k"), F.xxhash64("id").alias("o"), F.col("id").alias("v"), F.rand(1).alias("x"), F.md5(F.col("id").cast("string")).alias("pad"))
+    numbered(df, ["o"], "n", ["k"]).select("k", "n").write.parquet(str(tmp_path / "n"))
+    got = spark.read.parquet(str(tmp_path / "n")).groupBy("k").agg(F.max("n").alias("m"), F.countDistinct("n").alias("d"), F.min("n").alias("l")).collect()
+    assert {(r["k"], r["l"], r["m"] + 1, r["d"]) for r in got} == {(k, 0, c, c) for k, c in ((0, 666_667), (1, 666_667), (2, 666_666))}
+    running_total(df, ["k"], ["o"], F.col("v"), "s").write.parquet(str(tmp_path / "s"))
+    ends = spark.read.parquet(str(tmp_path / "s")).groupBy("k").agg(F.max(F.struct("o", "s")).alias("e"), F.sum("v").alias("t")).collect()
+    assert all(r["e"]["s"] == r["t"] for r in ends) and len(ends) == 3
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 7])
+def test_components_match_union_find(spark, chunk):
+    rng = np.random.default_rng(12)
+    edges = [(int(k), int(a), int(b)) for k, a, b in np.column_stack([rng.integers(0, 2, 150), rng.integers(0, 120, 150), rng.integers(0, 120, 150)])]
+    edges += [(2, i, i + 1) for i in range(90)] + [(3, 500, i) for i in range(40)]
+    root = {(k, x): (k, x) for k, a, b in edges for x in (a, b)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a, b in edges:
+        x, y = sorted((find((k, a)), find((k, b))))
+        root[y] = x
+    df = spark.createDataFrame(edges, "k int, a long, b long").repartition(5)
+    got = {(r["k"], r["node"]): r["component"] for r in R.components(df, ["k"], chunk=chunk).collect()}
+    assert got == {x: find(x)[1] for x in root}
+    assert {(r["k"], r["component"], r["size"]) for r in R.largest_component(R.components(df, ["k"]), ["k"]).collect() if r["k"] > 1} == {(2, 0, 91), (3, 0, 41)}
+
+
+def test_image_pairs_and_unequal_ends(spark):
+    rng = np.random.default_rng(6)
+    p = rng.random((50, 3))
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "pid int, x double, y double, z double")
+    found = {(r["a_pid"], r["b_pid"]): r["d"] for r in P.image_pairs(df, (1.0, 1.0, None), 0.3).collect()}
+    brute = {(i, j): min(float(np.linalg.norm(p[i] - p[j] - [a, b, 0])) for a in (-1, 0, 1) for b in (-1, 0, 1)) for i in range(50) for j in range(i + 1, 50)}
+    assert found == pytest.approx({k: d for k, d in brute.items() if d <= 0.3})
+    ends = spark.range(4).select(F.col("id").alias("node"))
+    assert [(r["rank"], r["bottom"], r["top"]) for r in P.rank_pairs(ends, ends.select((F.col("node") * 2).alias("node")), "node").orderBy("rank").collect()] == [(i + 1, i, 2 * i) for i in range(4)]
+    with pytest.raises(Exception, match="differ in number"):
+        P.rank_pairs(ends, ends.where("node > 0"), "node").collect()
+
+
+def test_ranks_over_primes(spark):
+    """Six triangles of a projective plane: its boundary matrix loses a rank over Z/2 only."""
+    plane = [(1, 2, 3), (1, 2, 4), (1, 3, 5), (1, 4, 6), (1, 5, 6), (2, 3, 6), (2, 4, 5), (2, 5, 6), (3, 4, 5), (3, 4, 6)]
+    t = spark.createDataFrame([(0, *x) for x in plane] + [(1, 1, 2, 3)], "k int, a long, b long, c long")
+    assert {(r["k"], r["rank"]) for r in H.rank(t, 2, ["k"]).collect()} == {(0, 9), (1, 1)}
+    assert {(r["k"], r["rank"]) for r in H.rank(t, 3, ["k"]).collect()} == {(0, 10), (1, 1)}
+
+
+def test_smooth_paths_and_boundary_columns(spark):
+    paths = spark.createDataFrame([(0, [0, 2, 3]), (1, [5]), (2, [3, 2])], "path_id int, path array<long>")
+    ways = spark.createDataFrame([(0, 2, [0, 1, 2])], "source long, node long, path array<long>")
+    assert {r["path_id"]: r["path"] for r in H.smooth(paths, ways).collect()} == {0: [0, 1, 2, 3], 1: [5], 2: [3, 2]}
+    ones = {(r["path_id"], r["row"]) for r in H.boundary_matrix(H.edge_vectors(paths)).collect()}
+    assert ones == {(0, 0), (0, 1), (2, 1)}
+
+
+def test_circular_means_match_a_search(spark):
+    rng = np.random.default_rng(8)
+    x = np.r_[rng.normal(99.0, 3.0, 30) % 100, 40.0]
+    df = spark.createDataFrame([(0, i, float(v)) for i, v in enumerate(x)], "atom int, frame int, x double")
+    got = J.frechet_means(df, (100.0,), ("x",), every=1).first()
+    centres = np.linspace(0, 100, 100_001)[:-1]
+    cost = (((x[:, None] - centres[None] + 50) % 100 - 50) ** 2).mean(axis=0)
+    assert abs(got["x"] - centres[cost.argmin()]) < 2e-3 and abs(got["cost"] - cost.min()) < 1e-4

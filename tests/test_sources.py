@@ -87,3 +87,43 @@ def test_command_line_flow(spark, tmp_path):
     (tmp_path / "f.yaml").write_text(f"trajectory_path: {tmp_path}/d.lammpstrj\natom_type_map: {{1: Si, 2: Na}}\nbackbone_atoms: [Si]\nflow_atoms: [Na]\ngrid_spacing: 0.8\nreeb_stride: 1\ncommon_backbone: false\n")
     cli.main(["flow", str(tmp_path / "f.yaml"), "--output-csv", str(tmp_path / "o")])
     assert spark.read.csv(str(tmp_path / "o"), header=True).count() == 1
+
+
+def test_batches_are_one_plan_and_jobs_tell_the_mode(spark, tmp_path):
+    from voidloom import __main__ as cli
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.xyz").write_text(xyz(3, 8))
+    (tmp_path / "in" / "deep" / "b.xyz").write_text(xyz(2, 6))
+    (tmp_path / "in" / "c.txt").write_text("no structure")
+    (tmp_path / "structures.ini").write_text("[S]\nATOMS = O, Si\nRADII = 0.1, 0.2\nREPEAT_X = 1\nREPEAT_Y = 1\nREPEAT_Z = 1\n")
+    common = f"CONFIGURATION_FILE = {tmp_path}/structures.ini\nCONFIGURATION_NAME = S\nKERNEL = TRUE\n"
+    (tmp_path / "jobs.ini").write_text(
+        f"[B]\nMODE = BATCH\nPARENT_DIR = {tmp_path}/in\nFILE_EXT = .xyz\nSAMPLE_START = 0\nSAMPLE_END = 3\nSAMPLE_STEP = 1\n{common}"
+        f"[M]\nMODE = MULTI\nSTRUCTURE_FILE = {tmp_path}/in/a.xyz\nSAMPLE_START = 0\nSAMPLE_END = 3\nSAMPLE_STEP = 2\n{common}"
+        f"[O]\nMODE = SINGLE\nSTRUCTURE_FILE = {tmp_path}/in/a.xyz\nSAMPLE_TIME = 1\n{common}"
+    )
+    for name, samples in (("B", set(range(5))), ("M", {0, 2}), ("O", {1})):
+        cli.main(["run", str(tmp_path / "jobs.ini"), name, str(tmp_path / name)])
+        back = sinks.read_diagrams(spark, str(tmp_path / name / "diagrams"))
+        assert {r["sample"] for r in back.select("sample").distinct().collect()} == samples
+    named = spark.read.csv(str(tmp_path / "B" / "samples"), header=True).collect()
+    assert {(r["file"].rsplit("/", 1)[-1], int(r["frame_id"]), int(r["sample"])) for r in named} == {("a.xyz", 0, 0), ("a.xyz", 1, 1), ("a.xyz", 2, 2), ("b.xyz", 0, 3), ("b.xyz", 1, 4)}
+
+
+def test_structures_and_graphs_are_written_and_read_back(spark, tmp_path):
+    atoms = spark.createDataFrame([(i, "Si", 0.1 * i, 0.2, 0.3) for i in (2, 0, 1)], "bid long, species string, x double, y double, z double")
+    sinks.write_structure(atoms, (2.0, 3.0, 4.0), str(tmp_path / "mean"))
+    (part,) = (tmp_path / "mean").glob("part-*")
+    structures.register(spark)
+    back = spark.read.format("extxyz").load(str(part)).orderBy("atom_id").collect()
+    assert [(r["species"], r["x"]) for r in back] == [("Si", 0.0), ("Si", 0.1), ("Si", 0.2)]
+    assert spark.read.format("extxyz").option("frames", "true").load(str(part)).first()["lattice"] == [2.0, 0, 0, 0, 3.0, 0, 0, 0, 4.0]
+    sinks.write_graph(atoms, atoms.limit(1), atoms, str(tmp_path / "graph"))
+    assert spark.read.parquet(str(tmp_path / "graph" / "edges")).count() == 1 and spark.read.parquet(str(tmp_path / "graph" / "nodes")).count() == 3
+
+
+def test_repeated_frames(spark):
+    frames = spark.createDataFrame([(0, 1, "Si", 0.5, 0.0, 0.0)], "frame int, atom int, species string, x double, y double, z double")
+    got, box = pipelines.repeated(frames, (2.0, 3.0, 4.0), (2, 1, 2))
+    assert box == (4.0, 3.0, 8.0) and {(r["atom"], r["x"], r["z"]) for r in got.collect()} == {(4, 0.5, 0.0), (5, 0.5, 4.0), (6, 2.5, 0.0), (7, 2.5, 4.0)}

@@ -107,3 +107,27 @@ def test_apf_and_display(spark):
     assert D.apf(dgm.where("false"), ["k"]).count() == 0
     shown = {(r["k"], r["tag"], r["shown"]) for r in D.display(dgm, ["k"]).collect()}
     assert ("a", "fin", 3.0) in shown and ("b", "inf", None) in shown
+
+
+def test_cobordism_of_samples_side_by_side(spark):
+    clouds = [cloud(30, 11), cloud(24, 12)]
+    points = frame(spark, *clouds[0], 0).union(frame(spark, *clouds[1], 1))
+
+    def flagged(pts):
+        s = T.alpha_complex(pts)
+        top = pts.select("sample", "pid", (F.col("z") > 0.6).alias("sub"))
+        low = pts.select("sample", "pid", (F.col("z") < 0.4).alias("sub"))
+        return T.in_subcomplex(T.in_subcomplex(s, top).withColumnRenamed("in_sub", "in_a"), low).withColumnRenamed("in_sub", "in_b")
+
+    both = sorted((r["sample"], r["birth_id"], r["death_id"], r["birth"], r["death"]) for r in T.cobordism(flagged(points)).collect())
+    alone = []
+    for k in (0, 1):
+        alone += [(r["sample"], r["birth_id"], r["death_id"], r["birth"], r["death"]) for r in T.cobordism(flagged(points.where(F.col("sample") == k))).collect()]
+    assert both == sorted(alone) and both
+
+
+def test_renamed_simplices_and_shared_ids(spark):
+    s = spark.createDataFrame([(0, [3, 1]), (1, [2]), (2, [1, 9])], "sid long, verts array<long>")
+    names = spark.createDataFrame([(1, 7), (2, 0), (3, 4)], "pid long, name long")
+    assert {(r["sid"], tuple(r["verts"])) for r in T.renamed(s, names).collect()} == {(0, (4, 7)), (1, (0,))}
+    assert [r["sid"] for r in T.shared_ids(s.where("sid < 2"), s.where("sid > 0"), "sid").collect()] == [1]

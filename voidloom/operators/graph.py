@@ -93,8 +93,7 @@ def reached(edges: DataFrame, start: DataFrame, rounds: int = 10_000) -> DataFra
 def through(edges: DataFrame, first: DataFrame, last: DataFrame) -> DataFrame:
     """Edges on some way from ``first`` to ``last`` (node)."""
     on = reached(edges, first).intersect(reached(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), last))
-    kept = edges.join(on.select(F.col("node").alias("src")), "src", "left_semi")
-    return kept.join(on.select(F.col("node").alias("dst")), "dst", "left_semi")
+    return restricted(edges, on)
 
 
 def geodesics(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
@@ -319,3 +318,16 @@ def random_walks(rows: DataFrame, starts: DataFrame, walks: int, seed: int, stop
         if not at.where("not ended and not stuck").limit(1).count():
             break
     return at.select("walk", "path", "ended")
+
+
+def largest_component(labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, component, size of the largest component (of equal ones the smallest) from keys, node, component."""
+    sizes = labels.groupBy(*keys, "component").agg(F.count("*").alias("size"))
+    best = sizes.groupBy(*keys).agg(F.max(F.struct("size", (-F.col("component")).alias("m"))).alias("b"))
+    return best.select(*keys, (-F.col("b.m")).alias("component"), F.col("b.size").alias("size"))
+
+
+def restricted(edges: DataFrame, kept: DataFrame) -> DataFrame:
+    """Edges (src, dst) both of whose nodes are kept (node)."""
+    half = edges.join(kept.select(F.col("node").alias("src")), "src", "left_semi")
+    return half.join(kept.select(F.col("node").alias("dst")), "dst", "left_semi").select(*edges.columns)

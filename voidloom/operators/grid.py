@@ -156,3 +156,27 @@ def triangles(grid: Grid, kept: DataFrame) -> DataFrame:
     total = sum((F.coalesce(c, F.lit(0)) for c in ("ab", "bc", "ac")), F.lit(0))
     return found.where(total == 2).select("a", "b", "c")
 
+
+def plane_edges(edges: DataFrame, grid: Grid, iz: int) -> DataFrame:
+    """Edges (gid, nid) within one plane of z; ids tell the plane, so no coordinates are joined."""
+    return edges.where((F.col("gid") % grid.nz == iz) & (F.col("nid") % grid.nz == iz))
+
+
+def node_numbers(members: DataFrame) -> DataFrame:
+    """level, node, number: consecutive numbers from 0 over all levels, within a level by the components' smallest node."""
+    from .scan import numbered
+
+    return numbered(members.select("level", "node").distinct(), ["level", "node"], "number")
+
+
+def surroundings(members: DataFrame, balls: DataFrame, grid: Grid, reach: float) -> DataFrame:
+    """level, node, bid: the balls that are nearest (within ``reach``) to a grid node of a component."""
+    from .points import nearest_within
+
+    at = members.select("gid").distinct()
+    for k, a in enumerate("xyz"):
+        place = {"x": (F.col("gid") / grid.nz).cast("long") % grid.shape[0], "y": (F.col("gid") / (grid.nz * grid.shape[0])).cast("long"), "z": F.col("gid") % grid.nz}[a]
+        at = at.withColumn(a, place * grid.spacing[k])
+    box = tuple(n if p else None for n, p in zip(grid.box, grid.periodic, strict=True))
+    near = nearest_within(at, balls.select("bid", "x", "y", "z"), reach, "gid", "bid", box)
+    return members.select("level", "node", "gid").join(near, "gid").select("level", "node", "bid").distinct()

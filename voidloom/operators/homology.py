@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import drop_repeats, steps
@@ -92,15 +92,45 @@ def classes(forms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return forms.select(*keys, "path_id", F.min("path_id").over(w).alias("cluster"), F.count("*").over(w).alias("size"))
 
 
-def rank(triangles: DataFrame) -> int:
-    """Rank over Z/2 of the boundary matrix of the triangles of one complex."""
-    rows = triangles.select(F.lit(0).alias("g"), "a", "b", "c")
+def boundary_matrix(vectors: DataFrame) -> DataFrame:
+    """path_id, row: the ones of the matrix whose columns are edge vectors; edges are numbered from 0 in their order."""
+    from .scan import numbered
 
-    def count(t: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"rank": [len(Boundaries(list(zip(t["a"], t["b"], t["c"], strict=True))).columns)]})
+    flat = vectors.select("path_id", F.explode("edges").alias("e")).select("path_id", "e.u", "e.v")
+    return flat.join(numbered(flat.select("u", "v").distinct(), ["u", "v"], "row"), ["u", "v"]).select("path_id", "row")
 
-    found = rows.groupBy("g").applyInPandas(count, "rank long").first()
-    return found["rank"] if found else 0
+
+def rank(triangles: DataFrame, p: int = 2, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, rank over Z/p (p prime) of the boundary matrix of the triangles (a, b, c) of each complex; one complex is one group.
+
+    A triangle's boundary is (b, c) - (a, c) + (a, b).
+    """
+    k = list(keys)
+    rows = triangles if k else triangles.withColumn("complex", F.lit(0))
+    names = k or ["complex"]
+
+    def count(key: tuple, t: pd.DataFrame) -> pd.DataFrame:
+        columns: dict[Edge, dict[Edge, int]] = {}
+        for a, b, c in zip(t["a"], t["b"], t["c"], strict=True):
+            column = {(b, c): 1, (a, c): p - 1, (a, b): 1}
+            while column:
+                low = max(column)
+                if low not in columns:
+                    inverse = pow(column[low], -1, p)
+                    columns[low] = {e: v * inverse % p for e, v in column.items()}
+                    break
+                times = column[low]
+                for e, v in columns[low].items():
+                    left = (column.get(e, 0) - times * v) % p
+                    if left:
+                        column[e] = left
+                    else:
+                        column.pop(e, None)
+        return pd.DataFrame([[*key, len(columns)]], columns=[*names, "rank"])
+
+    kinds = "".join(f"{x} {rows.schema[x].dataType.simpleString()}, " for x in names)
+    found = rows.select(*names, "a", "b", "c").groupBy(*names).applyInPandas(count, f"{kinds}rank long")
+    return found.select(*k, "rank")
 
 
 def overlap_summary(paths: DataFrame, slabs: DataFrame, triangles: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,3 +157,17 @@ def shorten(paths: DataFrame, ways: DataFrame, triangles: DataFrame) -> DataFram
     bound = normal_forms(edge_vectors(loops), triangles).where(F.size("form") == 0).select("path_id", F.lit(True).alias("same"))
     shorter = F.col("same") & (F.size("way") < F.size("path"))
     return met.join(bound, "path_id", "left").select("path_id", F.when(F.coalesce(shorter, F.lit(False)), F.col("way")).otherwise(F.col("path")).alias("path"))
+
+
+def smooth(paths: DataFrame, ways: DataFrame) -> DataFrame:
+    """path_id, path: each hop replaced by its way (source, node, path) where there is one."""
+    hops = paths.select("path_id", F.posexplode(steps_of(F.col("path"))).alias("pos", "h")).select("path_id", "pos", "h.a", "h.b")
+    met = hops.join(ways.select(F.col("source").alias("a"), F.col("node").alias("b"), F.col("path").alias("way")), ["a", "b"], "left")
+    parts = met.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("way", F.array("a", "b")).alias("way")))).alias("p"))
+    joined = parts.select("path_id", drop_repeats(F.flatten(F.transform("p", lambda x: x["way"]))).alias("smoothed"))
+    return paths.join(joined, "path_id", "left").select("path_id", F.coalesce("smoothed", "path").alias("path"))
+
+
+def steps_of(path: Column) -> Column:
+    """``ARRAY<STRUCT<a, b>>``: the ends of each hop, in their direction."""
+    return F.zip_with(F.slice(path, 1, F.greatest(F.size(path) - 1, F.lit(0))), F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))

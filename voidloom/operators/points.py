@@ -103,6 +103,19 @@ def pairs_within(a: DataFrame, b: DataFrame, cutoff: float, box: Sequence[float
     return left.join(right, on).withColumn("d", d).where(F.col("d") <= cutoff).drop(*cut)
 
 
+def image_pairs(points: DataFrame, box: Sequence[float | None], cutoff: float) -> DataFrame:
+    """a_pid < b_pid and d: the smallest distance to an image of the other point, for pairs with one within the cutoff.
+
+    Images are shifted copies along the axes that have a length (wrapped points, so one step each way); they meet the
+    points by cells.
+    """
+    steps = offsets(points.sparkSession, tuple(0 if n is None else 1 for n in box))
+    moved = {a: F.col(a) + F.col(f"d{a}") * float(n or 0) for a, n in zip(AXES, box, strict=True)}
+    images = points.select("pid", *AXES).crossJoin(F.broadcast(steps)).select("pid", *[m.alias(a) for a, m in moved.items()])  # at most 27 rows
+    near = pairs_within(points.select("pid", *AXES), images, cutoff).where("a_pid < b_pid")
+    return near.groupBy("a_pid", "b_pid").agg(F.min("d").alias("d"))
+
+
 def touching_pairs(points: DataFrame, cutoff: float) -> DataFrame:
     """a_pid < b_pid, distance and the value at which the two weighted balls touch."""
     pairs = pairs_within(points, points, cutoff).where("a_pid < b_pid")
@@ -159,9 +172,9 @@ def whisker_minimum(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame
 
 def rank_pairs(bottom: DataFrame, top: DataFrame, key: str) -> DataFrame:
     """i-th of one side with i-th of the other by ``key``: rank, bottom, top; unequal counts raise."""
-    w = Window.orderBy(key)
-    a = bottom.select(F.row_number().over(w).alias("rank"), F.col(key).alias("bottom"))
-    b = top.select(F.row_number().over(w).alias("rank"), F.col(key).alias("top"))
+    from .scan import numbered
+
+    a, b = (numbered(side.select(F.col(key).alias(name)), [name], "rank").withColumn("rank", F.col("rank") + 1) for side, name in ((bottom, "bottom"), (top, "top")))
     lost = F.raise_error(F.lit("bottom and top differ in number"))
     both = a.join(b, "rank", "full")
     return both.select("rank", *[F.coalesce(c, lost.cast("long")).alias(c) for c in ("bottom", "top")])

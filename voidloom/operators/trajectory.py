@@ -109,3 +109,7 @@ def ion_shift(ions: DataFrame, backbone: DataFrame, mean_backbone: DataFrame, bo
     back = [wrap(F.col(f"i_{a}") - F.col(f"s_{a}") / F.col("w"), n).alias(a) for a, n in zip(axes, box, strict=True)]
     return summed.select(F.col("ion").alias("atom"), "frame", *back)
 
+
+def mean_volume(boxes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, volume: mean over frames of the box volume (lx, ly, lz)."""
+    return boxes.groupBy(*keys).agg(F.avg(F.col("lx") * F.col("ly") * F.col("lz")).alias("volume"))

@@ -67,3 +67,8 @@ def arc_length(ways: DataFrame) -> DataFrame:
     ahead = [F.lead(a).over(w) for a in AXES]
     step = ways.withColumn("d", distance([F.col(a) for a in AXES], ahead))
     return step.groupBy("path_id").agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("length"))
+
+
+def visited(projected: DataFrame, keys: Sequence[str] = ("path_id",)) -> DataFrame:
+    """keys, gid: the nodes that projected points pass over all their time."""
+    return projected.select(*keys, "gid").distinct()

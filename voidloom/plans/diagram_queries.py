@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import diagrams as D
 from ..operators import points as P
 from ..operators import topology as T
+from ..operators.scan import numbered
+from ..session import checkpoint
 from ..sources.tables import DIAGRAM_SQL, RADII, embedding_points, lineitem_diagram, table
 from .registry import query
 
@@ -62,6 +64,22 @@ def new_births(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.new_births(union, lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"))
 
 
+@query("""SELECT l_orderkey AS birth_id FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A'""")
+def shared_births(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids that two parts have in common."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("birth_id"), "l_returnflag")
+    return T.shared_ids(lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), "birth_id")
+
+
+@query("""WITH names AS (SELECT s_suppkey AS pid, row_number() OVER (ORDER BY s_acctbal, s_suppkey) - 1 AS name FROM supplier)
+SELECT l_orderkey AS sid, list_aggregate(list_sort(list(name)), 'string_agg', ',') AS verts FROM lineitem JOIN names ON pid = l_suppkey GROUP BY l_orderkey""")
+def renamed_simplices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as simplices of suppliers, which are renamed by the order of their balance."""
+    names = numbered(table(spark, sf_dir, "supplier").select("s_acctbal", F.col("s_suppkey").alias("pid")), ["s_acctbal", "pid"], "name").select("pid", "name")
+    simplices = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("sid")).agg(F.collect_list("l_suppkey").alias("verts"))
+    return T.renamed(simplices, names).select("sid", F.array_join("verts", ",").alias("verts"))
+
+
 @query("""WITH n AS (SELECT l_partkey AS simplex, l_suppkey AS low, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) AS n FROM lineitem),
 p AS (SELECT low AS birth_id, min(simplex) AS death_id FROM n WHERE n = 2 GROUP BY 1)
 SELECT s_suppkey AS birth_id, coalesce(death_id, 9223372036854775807) AS death_id FROM supplier LEFT JOIN p ON s_suppkey = birth_id""")
@@ -143,8 +161,8 @@ def kernel_image_cokernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cobordism_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = P.auto_slab(_samples(spark, sf_dir).where("sample = 0"), 0.25, ["sample"])
-    simplices = T.alpha_complex(pts)
+    pts = P.auto_slab(_samples(spark, sf_dir), 0.25, ["sample"])
+    simplices = checkpoint(T.alpha_complex(pts))
     top = pts.select("sample", "pid", (F.col("z") >= F.col("upper")).alias("sub"))
     bottom = pts.select("sample", "pid", ((F.col("z") < F.col("upper")) & (F.col("z") <= F.col("lower"))).alias("sub"))
     flagged = T.in_subcomplex(simplices, top).withColumnRenamed("in_sub", "in_a")

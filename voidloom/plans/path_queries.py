@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths as P
+from ..functions.geometry import AXES
 from ..operators import graph as R
 from ..operators import grid as G
 from ..operators import homology as H
+from ..operators import transport as T
 from ..session import checkpoint
 from ..sources.tables import table
-from .grid_queries import GRID, N, _void
+from .grid_queries import GRID, STEP, VOID_SQL, N, _balls, _void
 from .registry import query
 
 PATHS_SQL = "paths AS (SELECT user_id AS path_id, list(CAST(floor(value / 10) AS BIGINT) ORDER BY ts, event_id) AS path FROM events GROUP BY user_id)"
@@ -41,6 +43,12 @@ def path_edges_mod2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.edge_vectors(_paths(spark, sf_dir)).select("path_id", F.explode("edges").alias("e")).select("path_id", "e.u", "e.v")
 
 
+@query(f"""WITH {STEPS_SQL}, odd AS (SELECT path_id, least(src, dst) AS u, greatest(src, dst) AS v FROM hops WHERE dst IS NOT NULL AND src <> dst GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT path_id, CAST(dense_rank() OVER (ORDER BY u, v) - 1 AS BIGINT) AS row FROM odd""")
+def path_boundary_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.boundary_matrix(H.edge_vectors(_paths(spark, sf_dir))).select("path_id", F.col("row").cast("long").alias("row"))
+
+
 @query(f"WITH {STEPS_SQL} SELECT path_id, CAST(sum(abs(dst - src)) AS BIGINT) AS length FROM hops WHERE dst IS NOT NULL GROUP BY path_id")
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hops(spark, sf_dir).groupBy("path_id").agg(F.sum(F.abs(F.col("dst") - F.col("src"))).alias("length"))
@@ -66,7 +74,7 @@ def close_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir).select("path_id", F.array_join(P.close_loop(F.slice(p, 1, 3), p, F.slice(p, 1, 2)), ",").alias("loop"))
 
 
-@query(f"WITH {PATHS_SQL} SELECT path_id, list_aggregate(list_resize(path[1:80], 80, -1), 'string_agg', ',') AS row FROM paths")
+@query(f"WITH {PATHS_SQL} SELECT path_id, list_aggregate(list_resize(path, (SELECT max(len(path)) FROM paths), -1), 'string_agg', ',') AS row FROM paths")
 def padded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = _paths(spark, sf_dir)
     longest = table(spark, sf_dir, "events").groupBy("user_id").count().agg(F.max("count").cast("int").alias("most"))
@@ -86,11 +94,19 @@ def _markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.markov_rows(summed, F.col("weight")).select("src", "dst", "p")
 
 
-@query(f"""WITH {STEPS_SQL}, f AS (SELECT src, dst, count(*) AS n FROM hops WHERE dst IS NOT NULL GROUP BY 1, 2)
-SELECT src, dst, CAST(sum(v) AS BIGINT) AS net FROM (SELECT src, dst, n AS v FROM f UNION ALL SELECT dst, src, -n FROM f) GROUP BY src, dst""")
+@query(f"""WITH {VOID_SQL}, gaps AS (SELECT v.gid, {', '.join(f'v.i{a} * {STEP} - b.{a} - {f"floor(v.i{a} * {STEP} - b.{a} + 0.5)" if a != "z" else "0"} AS g{a}' for a in 'xyz')} FROM void v, balls b),
+far AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS d FROM gaps),
+field AS (SELECT gid, {', '.join(f'sum(g{a} / power(d, 4)) AS r{a}' for a in 'xyz')} FROM far WHERE d > 0 AND d <= 0.2 GROUP BY gid),
+ways AS (SELECT iz AS path_id, iy * {N} + CASE WHEN iy % 2 = 0 THEN ix ELSE {N - 1} - ix END AS pos, gid, {', '.join(f'i{a} * {STEP} AS {a}' for a in 'xyz')} FROM void),
+steps AS (SELECT w.*, f.*, {', '.join(f'lead(w.{a}) OVER (PARTITION BY path_id ORDER BY pos) - w.{a} AS d{a}' for a in 'xyz')} FROM ways w LEFT JOIN field f ON f.gid = w.gid)
+SELECT path_id, round(sum(dx + 0.5 * dy + 0.25 * dz), 6) AS along, round(sum(dx * coalesce(rx, 0) + dy * coalesce(ry, 0) + dz * coalesce(rz, 0)), 3) AS push FROM steps WHERE dx IS NOT NULL GROUP BY path_id""")
 def line_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _hops(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("v"))
-    return f.union(f.select("dst", "src", -F.col("v"))).groupBy("src", "dst").agg(F.sum("v").alias("net"))
+    """A way through each plane of the void, row by row there and back, in the repulsion of the balls."""
+    v = _void(spark, sf_dir).withColumns({a: F.col(f"i{a}") * STEP for a in AXES})
+    field = T.repulsion(v.withColumnRenamed("gid", "pid"), _balls(spark, sf_dir), 0.2, (1.0, 1.0, None)).withColumnRenamed("pid", "gid")
+    turn = F.when(F.col("iy") % 2 == 0, F.col("ix")).otherwise(N - 1 - F.col("ix"))
+    ways = v.select(F.col("iz").alias("path_id"), (F.col("iy") * N + turn).alias("pos"), "gid", *AXES)
+    return T.line_integrals(ways, field, (1.0, 0.5, 0.25)).select("path_id", F.round("along", 6).alias("along"), F.round("push", 3).alias("push"))
 
 
 @query(f"""WITH RECURSIVE {STEPS_SQL}, g AS (SELECT DISTINCT src AS u, dst AS v FROM hops WHERE dst IS NOT NULL AND abs(src - dst) BETWEEN 1 AND 3), e AS (SELECT u, v FROM g UNION SELECT v, u FROM g),
@@ -122,25 +138,38 @@ def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grid_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(void nodes, triangles, straight walks along x through the lowest planes) of the void grid."""
+    """(void nodes, triangles, straight walks along x) of the void grid, in all its planes."""
     v = _void(spark, sf_dir)
-    w = v.where("iz < 3").groupBy("iy", "iz").agg(F.array_sort(F.collect_list(F.struct("ix", "gid"))).alias("p"))
+    w = v.groupBy("iy", "iz").agg(F.array_sort(F.collect_list(F.struct("ix", "gid"))).alias("p"))
     walks = w.select((F.col("iy") * N + F.col("iz")).cast("long").alias("path_id"), F.transform("p", lambda x: x["gid"]).alias("path"))
-    return v, checkpoint(G.triangles(GRID, v.where("iz < 3"))), checkpoint(walks)
+    return v, checkpoint(G.triangles(GRID, v)), checkpoint(walks)
 
 
-@query()
-def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _plane_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal forms of the walks within their plane: each plane of the void is a complex and a group of its own."""
     v, triangles, walks = _grid_paths(spark, sf_dir)
     edges = G.neighbours(GRID, v, "edge").select(F.col("gid").alias("a"), F.col("nid").alias("b"))
-    return H.classes(H.normal_forms(H.edge_vectors(walks, edges), triangles))
+    vectors = H.edge_vectors(walks, edges).withColumn("iz", (F.col("path_id") % N).cast("int"))
+    flat = triangles.where(f"a % {N} = b % {N} and b % {N} = c % {N}")
+    return H.normal_forms(vectors, flat.withColumn("iz", (F.col("a") % N).cast("int")), ["iz"])
+
+
+@query()
+def path_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.classes(_plane_forms(spark, sf_dir), ["iz"])
 
 
 @query()
 def loop_fillings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v, triangles, walks = _grid_paths(spark, sf_dir)
-    edges = G.neighbours(GRID, v, "edge").select(F.col("gid").alias("a"), F.col("nid").alias("b"))
-    return H.normal_forms(H.edge_vectors(walks, edges), triangles).select("path_id", F.size("form").alias("left"), F.size("filling").alias("triangles"))
+    return _plane_forms(spark, sf_dir).select("path_id", F.size("form").alias("left"), F.size("filling").alias("triangles"))
+
+
+@query()
+def plane_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rank over Z/3 of the boundary matrix of each plane's triangles."""
+    _, triangles, _ = _grid_paths(spark, sf_dir)
+    flat = triangles.where(f"a % {N} = b % {N} and b % {N} = c % {N}")
+    return H.rank(flat.withColumn("iz", (F.col("a") % N).cast("int")), 3, ["iz"])
 
 
 @query()

@@ -12,18 +12,24 @@ from ..operators import grid as G
 from ..operators import points as P
 from ..operators import topology as T
 from ..operators import trajectory as J
+from ..operators.scan import numbered
 from ..session import checkpoint
 from ..sources import config, structures
 
 
-def sample_points(spark: SparkSession, path: str, fmt: str, settings: config.Structure) -> DataFrame:
-    """sample, pid, species, x, y, z, w of the chosen frames: species kept, cells repeated, weights from radii."""
+def sample_points(spark: SparkSession, path: str, fmt: str, settings: config.Structure, ext: str | None = None) -> DataFrame:
+    """sample, pid, species, x, y, z, w of the chosen frames: species kept, cells repeated, weights from radii.
+
+    The sample is the frame's number; with ``ext`` all files of a folder are read in one plan, and samples are numbered by
+    file and frame (``sample_names`` tells which is which).
+    """
     structures.register(spark)
-    atoms = spark.read.format(fmt).load(path)
+    reader = spark.read.format(fmt)
+    atoms = (reader.option("ext", ext) if ext else reader).load(path)
     atoms = atoms.where((F.col("frame_id") >= settings.start) & (F.col("frame_id") < settings.stop))
     atoms = P.keep_species(J.every_nth(atoms, settings.step, settings.start, frame="frame_id"), settings.species)
     if settings.repeat != (1, 1, 1):
-        heads = spark.read.format(fmt).option("frames", "true").load(path).select("file", "frame_id", "lattice")
+        heads = _heads(spark, path, fmt, ext).select("file", "frame_id", "lattice")
         atoms = atoms.join(heads, ["file", "frame_id"])  # a row a frame
         for name, n in zip(("ia", "ib", "ic"), settings.repeat, strict=True):
             atoms = atoms.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
@@ -32,9 +38,26 @@ def sample_points(spark: SparkSession, path: str, fmt: str, settings: config.Str
     else:
         image = F.lit(0)
 
-    order = Window.partitionBy("frame_id").orderBy("image", "atom_id")
-    numbered = atoms.withColumn("image", image).withColumn("pid", (F.row_number().over(order) - 1).cast("int"))
-    return P.weigh(numbered.select(F.col("frame_id").alias("sample"), "pid", "species", *AXES), settings.weights)
+    order = Window.partitionBy("file", "frame_id").orderBy("image", "atom_id")
+    atoms = atoms.withColumn("image", image).withColumn("pid", (F.row_number().over(order) - 1).cast("int"))
+    if ext:
+        atoms = atoms.join(sample_names(spark, path, fmt, settings, ext), ["file", "frame_id"])
+    else:
+        atoms = atoms.withColumn("sample", F.col("frame_id"))
+    return P.weigh(atoms.select("sample", "pid", "species", *AXES), settings.weights)
+
+
+def _heads(spark: SparkSession, path: str, fmt: str, ext: str | None) -> DataFrame:
+    structures.register(spark)
+    reader = spark.read.format(fmt).option("frames", "true")
+    return (reader.option("ext", ext) if ext else reader).load(path)
+
+
+def sample_names(spark: SparkSession, path: str, fmt: str, settings: config.Structure, ext: str) -> DataFrame:
+    """sample, file, frame_id of the chosen frames of a folder's files."""
+    heads = _heads(spark, path, fmt, ext).select("file", "frame_id").where((F.col("frame_id") >= settings.start) & (F.col("frame_id") < settings.stop))
+    kept = J.every_nth(heads, settings.step, settings.start, frame="frame_id")
+    return numbered(kept, ["file", "frame_id"], "sample").withColumn("sample", F.col("sample").cast("int"))
 
 
 def persistent_homology(points: DataFrame, compute: config.Computation = config.Computation()) -> dict[str, DataFrame]:
@@ -90,9 +113,10 @@ def flow_backbone(frames: DataFrame, settings: config.Flow, box: tuple[float, fl
     return met.select(F.col("atom").alias("bid"), "species", *AXES, F.coalesce("radius", lost.cast("double")).alias("radius"))
 
 
-def circular_flow(balls: DataFrame, box: tuple[float, float, float], settings: config.Flow) -> DataFrame:
-    """flow (mean over three axes, as an area), slice_area and norm_flow of a backbone of balls."""
-    n = int((box[0] * box[1] * box[2]) ** (1 / 3) / settings.grid_spacing)
+def circular_flow(balls: DataFrame, box: tuple[float, float, float], settings: config.Flow, volume: float | None = None) -> DataFrame:
+    """flow (mean over three axes, as an area), slice_area and norm_flow of a backbone of balls. ``volume`` (of the box, if
+    none is given) tells how many nodes of the given spacing an axis has."""
+    n = int((volume or box[0] * box[1] * box[2]) ** (1 / 3) / settings.grid_spacing)
     n += 1 - n % 2
     out = None
     for direction in range(3):
@@ -118,12 +142,29 @@ def flow_of_file(spark: SparkSession, settings: config.Flow) -> DataFrame:
     """``circular_flow`` of the mean backbone of an orthorhombic trajectory file."""
     structures.register(spark)
     reader = spark.read.format(settings.file_format)
-    lattice = spark.read.format(settings.file_format).option("frames", "true").load(settings.trajectory_path).where("frame_id = 0").first()["lattice"]
-    atoms = reader.load(settings.trajectory_path)
-    frames = atoms.where(F.col("frame_id") < settings.frame_end) if settings.frame_end is not None else atoms
-    frames = J.every_nth(frames, settings.frame_step, settings.frame_start, frame="frame_id")
+    def chosen(df: DataFrame) -> DataFrame:
+        return J.every_nth(df, settings.frame_step, settings.frame_start, settings.frame_end, frame="frame_id")
+
+    heads = chosen(_heads(spark, settings.trajectory_path, settings.file_format, None))
+    lattice = heads.orderBy("frame_id").select("lattice").first()["lattice"]
+    sides = heads.select(*[F.col("lattice")[4 * i].alias(name) for i, name in enumerate(("lx", "ly", "lz"))])
+    volume = J.mean_volume(sides).first()["volume"]
+    frames = chosen(reader.load(settings.trajectory_path))
     frames = P.remap_types(frames, settings.atom_type_map) if settings.atom_type_map else frames
     number = ((F.col("frame_id") - settings.frame_start) / settings.frame_step).cast("int")
     frames = checkpoint(frames.select(number.alias("frame"), F.col("atom_id").alias("atom"), "species", *AXES))
     box = (float(lattice[0]), float(lattice[4]), float(lattice[8]))
-    return circular_flow(flow_backbone(frames, settings, box), box, settings)
+    frames, box = repeated(frames, box, settings.repeat)
+    return circular_flow(flow_backbone(frames, settings, box), box, settings, volume)
+
+
+def repeated(frames: DataFrame, box: tuple[float, float, float], times: tuple[int, int, int]) -> tuple[DataFrame, tuple[float, float, float]]:
+    """Frames (frame, atom, species, x, y, z) and box repeated along each axis; an image's atoms have numbers of their own."""
+    if tuple(times) == (1, 1, 1):
+        return frames, box
+    for name, n in zip(("ia", "ib", "ic"), times, strict=True):
+        frames = frames.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    image = (F.col("ia") * times[1] + F.col("ib")) * times[2] + F.col("ic")
+    moved = [(F.col(a) + F.col(i) * n).alias(a) for a, i, n in zip(AXES, ("ia", "ib", "ic"), box, strict=True)]
+    out = frames.select("frame", (F.col("atom") * (times[0] * times[1] * times[2]) + image).alias("atom"), "species", *moved)
+    return out, tuple(n * k for n, k in zip(box, times, strict=True))

@@ -69,14 +69,9 @@ def min_image_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {WRAPPED_SQL}, pairs AS (SELECT a.pid AS a_pid, b.pid AS b_pid,
   sqrt(power(least(abs(a.x - b.x), 1 - abs(a.x - b.x)), 2) + power(least(abs(a.y - b.y), 1 - abs(a.y - b.y)), 2) + power(a.z - b.z, 2)) AS d
-  FROM wpts a JOIN wpts b ON a.pid < b.pid AND a.label = 3 AND b.label = 3) SELECT a_pid, b_pid, round(d, 6) AS d FROM pairs""")
+  FROM wpts a JOIN wpts b ON a.pid < b.pid) SELECT a_pid, b_pid, round(d, 6) AS d FROM pairs WHERE d <= {CUTOFF}""")
 def image_scan_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = _wrapped(spark, sf_dir).where("label = 3").select("pid", *AXES)
-    steps = offsets(spark, (1, 1, 0))  # images along the periodic axes
-    images = pts.crossJoin(F.broadcast(steps)).select(F.col("pid").alias("b_pid"), *[(F.col(a) + F.col(f"d{a}")).alias(f"b_{a}") for a in AXES])
-    a = pts.select(F.col("pid").alias("a_pid"), *[F.col(x).alias(f"a_{x}") for x in AXES])
-    d = distance([F.col(f"a_{x}") for x in AXES], [F.col(f"b_{x}") for x in AXES])
-    return a.join(images, F.col("a_pid") < F.col("b_pid")).groupBy("a_pid", "b_pid").agg(F.round(F.min(d), 6).alias("d"))
+    return P.image_pairs(_wrapped(spark, sf_dir), (1.0, 1.0, None), CUTOFF).select("a_pid", "b_pid", F.round("d", 6).alias("d"))
 
 
 @query(f"WITH {POINTS_SQL} SELECT pid, z >= 0.1 OR z <= -0.1 AS sub FROM pts")

@@ -56,7 +56,8 @@ def position_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT atom, avg(x) AS m FROM bb GROUP BY atom),
 p AS (SELECT i.atom, i.frame, i.x, least(abs(i.x - b.x), 100.0 - abs(i.x - b.x)) AS d, (b.x - m + 50.0) - 100.0 * floor((b.x - m + 50.0) / 100.0) - 50.0 AS u
   FROM ions i JOIN bb b USING (frame) JOIN m ON m.atom = b.atom),
-s AS (SELECT atom, frame, x, x - sum(exp(-d * d) * u) / sum(exp(-d * d)) AS y FROM p WHERE d <= 6 GROUP BY atom, frame, x)
+w AS (SELECT *, exp(min(d * d) OVER (PARTITION BY atom, frame, x) - d * d) AS w FROM p),
+s AS (SELECT atom, frame, x, x - sum(w * u) / sum(w) AS y FROM w GROUP BY atom, frame, x)
 SELECT atom, CAST(frame AS INTEGER) AS frame, round(y - 100.0 * floor(y / 100.0), 6) AS x FROM s""")
 def ion_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = event_frames(spark, sf_dir)
@@ -68,3 +69,10 @@ def ion_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def frechet_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.frechet_means(event_frames(spark, sf_dir), BOX1, AXIS)
+
+
+@query("""SELECT l_returnflag, round(avg(l_quantity * (1 + l_discount) * (1 + l_tax)), 6) AS volume FROM lineitem GROUP BY l_returnflag""")
+def mean_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    boxes = lines.select("l_returnflag", F.col("l_quantity").alias("lx"), (1 + F.col("l_discount")).alias("ly"), (1 + F.col("l_tax")).alias("lz"))
+    return T.mean_volume(boxes, ["l_returnflag"]).select("l_returnflag", F.round("volume", 6).alias("volume"))

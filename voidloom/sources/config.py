@@ -44,6 +44,36 @@ def _section(path: str, name: str) -> dict[str, str]:
     return {k.upper(): v for k, v in parser[name].items()}
 
 
+@dataclass(frozen=True)
+class Job:
+    """A section that tells what to run: one sample (SINGLE), a range of samples (MULTI), or a range of each file below a
+    folder (BATCH), with a structure's section of another file."""
+
+    mode: str
+    path: str
+    file_format: str
+    configuration_file: str
+    configuration_name: str
+    start: int
+    stop: int
+    step: int
+    ext: str | None = None
+
+
+def job(path: str, name: str) -> Job:
+    """SINGLE takes SAMPLE_TIME, the others SAMPLE_START, SAMPLE_END and SAMPLE_STEP; BATCH takes PARENT_DIR and FILE_EXT."""
+    s = _section(path, name)
+    mode = s.get("MODE", "SINGLE").strip().upper()
+    if mode not in ("SINGLE", "MULTI", "BATCH"):
+        raise ValueError(f"MODE is SINGLE, MULTI or BATCH, not {mode}")
+    if mode == "SINGLE":
+        span = (int(s["SAMPLE_TIME"]), int(s["SAMPLE_TIME"]) + 1, 1)
+    else:
+        span = (int(s["SAMPLE_START"]), int(s["SAMPLE_END"]), int(s.get("SAMPLE_STEP", 1)))
+    batch = mode == "BATCH"
+    return Job(mode, s["PARENT_DIR" if batch else "STRUCTURE_FILE"], s.get("FILE_FORMAT", "extxyz"), s["CONFIGURATION_FILE"], s["CONFIGURATION_NAME"], *span, s["FILE_EXT"] if batch else None)
+
+
 def _list(text: str) -> list[str]:
     return [x.strip() for x in text.split(",") if x.strip()]
 
