@@ -22,6 +22,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 HEADER = struct.Struct("<4sQQBBQ")
 MAGIC = b"VLTS"
 SAMPLE = 64
+#: Words that the library gets as one string.
+JOINED = 20_000
 #: A space before a visible ASCII or Latin character begins a pre-token, so texts may be cut in front of it.
 CUT = re.compile("(?= [!-~À-ɏ])")
 
@@ -39,7 +42,7 @@ class Settings:
 
     end_id: int = 0
     segment_ids: int = 1 << 18
-    known_pieces: int = 200_000
+    known_pieces: int = 20_000
 
 
 class EliasFano:
@@ -130,9 +133,10 @@ class Encoder:
     """Ids of whole texts by a tokenizers file, in one thread, as ``encode`` with ``add_special_tokens=False`` gives them.
 
     A space before a visible character begins a pre-token, so a text is its first word and then words that each bring
-    their space. Each distinct word is encoded by the library once and remembered: ``known`` words at a time and as many
-    from before, of which those still in use are kept. Texts with runs of spaces or other white space after a space are cut
-    by ``CUT`` instead, and texts that hold an added token's string go to the library whole.
+    their space. The texts of a run are cut at spaces and their words counted off in Arrow; the library gets each distinct
+    word once, many as one string with their spaces, and numpy puts the words' ids in the texts' order. Texts with runs of
+    spaces or other white space after a space are cut by ``CUT`` instead, and texts that hold an added token's string go to
+    the library whole. Nothing is remembered between runs but short pieces.
     """
 
     def __init__(self, path: str, known: int):
@@ -141,51 +145,72 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: whether a token begins with a space (written Ġ)
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.begins[i] = piece.startswith("Ġ")
         self.known = known
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        ends = (np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) * 4).tolist()
-        flat = np.fromiter(chain.from_iterable(coded), np.uint32, ends[-1] // 4 if ends else 0).tobytes()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
-    def _learn_words(self, words: set[str]) -> None:
-        """Remember words that follow a space; those that do not begin visibly are left out."""
-        old = {w: self.before[w] for w in words if w in self.before}
-        self.words.update(old)
-        new = [w for w in words if w not in old and w and ("!" <= w[0] <= "~" or w[0].isalnum())]
-        self.words.update(zip(new, self._encode([f" {w}" for w in new]), strict=True))
-
-    def _by_pieces(self, texts: list[str]) -> list[bytes]:
+        self.pieces: dict[str, np.ndarray] = {}
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of words that follow a space, and how many each has."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), JOINED):
+            part = words[at : at + JOINED]
+            (some,) = self._encode([" " + " ".join(part)])
+            starts = np.flatnonzero(self.begins[some])  # only a word's first token begins with a space
+            if len(starts) == len(part):
+                ids.append(some)
+                sizes.append(np.diff(starts, append=len(some)))
+            else:
+                each = self._encode([f" {w}" for w in part])
+                ids += each
+                sizes.append(np.array([len(e) for e in each], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _by_pieces(self, texts: list[str]) -> list[np.ndarray]:
         split = list(map(CUT.split, texts))
         if len(self.pieces) > self.known:
             self.pieces.clear()
         new = list(set(chain.from_iterable(split)).difference(self.pieces))
         self.pieces.update(zip(new, self._encode(new), strict=True))
-        return [b"".join(map(self.pieces.__getitem__, parts)) for parts in split]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text."""
-        if len(self.words) > self.known:
-            self.words, self.before = {}, self.words
-        get = self.words.get
-        split = [t.split(" ") for t in texts]
-        heads = self._by_pieces([parts[0] for parts in split])
-        found = [list(map(get, parts[1:])) for parts in split]
-        open_ = [i for i, f in enumerate(found) if None in f]
-        if open_:
-            self._learn_words({w for i in open_ for w, f in zip(split[i][1:], found[i], strict=True) if f is None})
-            for i in open_:
-                found[i] = list(map(get, split[i][1:]))
-        out = [b"" if None in f else head + b"".join(f) for head, f in zip(heads, found, strict=True)]
-        odd = [i for i in open_ if None in found[i]]
+        return [np.concatenate([self.pieces[p] for p in parts]) for parts in split]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = parts.offsets.to_numpy()
+        coded = parts.flatten().dictionary_encode()
+        at, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        follows = np.ones(len(at), bool)
+        follows[offsets[:-1]] = False  # the first word of a text
+        asked = np.zeros(len(names), bool)
+        asked[at[follows]] = True
+        good = np.array([bool(w) and ("!" <= w[0] <= "~" or w[0].isalnum()) for w in names], bool) & asked
+        ids, some = self._words([names[i] for i in np.flatnonzero(good).tolist()])
+        sizes = np.zeros(len(names), np.int64)
+        sizes[good] = some
+        starts = np.cumsum(sizes) - sizes
+        heads = self._by_pieces([names[i] for i in at[offsets[:-1]].tolist()])
+        out: list[np.ndarray] = []
+        while len(out) < len(texts):  # about a million words at a time
+            first = len(out)
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + (1 << 20))) - 1)
+            here, low = slice(offsets[first], offsets[last]), offsets[first]
+            each = np.where(follows[here], sizes[at[here]], 0)
+            ends = np.cumsum(each)
+            flat = ids[np.repeat(starts[at[here]] - (ends - each), each) + np.arange(ends[-1])]
+            tails = np.split(flat, ends[offsets[first + 1 : last] - low - 1])
+            out += [np.concatenate([head, tail]) for head, tail in zip(heads[first:last], tails, strict=True)]
+        odd = np.flatnonzero(np.logical_or.reduceat(follows & ~good[at], offsets[:-1])).tolist()
         whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
-        for at, how in ((odd, self._by_pieces), (whole, self._encode)):
-            for i, coded in zip(at, how([texts[i] for i in at]), strict=True):
-                out[i] = coded
+        for places, how in ((odd, self._by_pieces), (whole, self._encode)):
+            for i, found in zip(places, how([texts[i] for i in places]), strict=True):
+                out[i] = found
+        pa.default_memory_pool().release_unused()
         return out
 
 
@@ -202,6 +227,17 @@ def runs(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, list[str]]
         yield begin, run
 
 
+#: The encoder of this worker process by file, as loading a vocabulary takes time and memory.
+_loaded: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str, known: int) -> Encoder:
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = Encoder(path, known)
+    return _loaded[path]
+
+
 SEGMENTS = "part int, segment int, part_start long, n_docs long, n_ids long, doc_ids array<long>, payload binary"
 
 
@@ -214,8 +250,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, settings: Settings
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer, settings.known_pieces), TaskContext.get().partitionId()
-        end = np.array([settings.end_id], np.uint32).tobytes()
+        encoder, part = encoder_of(tokenizer, settings.known_pieces), TaskContext.get().partitionId()
+        end = np.array([settings.end_id], np.uint32)
         ids: list[int | None] = []
         documents: list[np.ndarray] = []
         segment = start = size = 0
@@ -232,10 +268,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, settings: Settings
 
         for batch in batches:
             numbers = batch.column(0).to_pylist()
-            for begin, texts in runs(batch.column(1)):
+            for begin, texts in runs(batch.column(1), 8 << 20):
                 for i, coded in enumerate(encoder.batch(texts), begin):
                     ids.append(numbers[i])
-                    documents.append(np.frombuffer(coded + end, "<u4"))
+                    documents.append(np.concatenate([coded, end]))
                     size += len(documents[-1])
                     if size >= settings.segment_ids:
                         yield close()
