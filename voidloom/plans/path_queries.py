@@ -99,7 +99,7 @@ far AS (SELECT *, sqrt(gx * gx + gy * gy + gz * gz) AS d FROM gaps),
 field AS (SELECT gid, {', '.join(f'sum(g{a} / power(d, 4)) AS r{a}' for a in 'xyz')} FROM far WHERE d > 0 AND d <= 0.2 GROUP BY gid),
 ways AS (SELECT iz AS path_id, iy * {N} + CASE WHEN iy % 2 = 0 THEN ix ELSE {N - 1} - ix END AS pos, gid, {', '.join(f'i{a} * {STEP} AS {a}' for a in 'xyz')} FROM void),
 steps AS (SELECT w.*, f.*, {', '.join(f'lead(w.{a}) OVER (PARTITION BY path_id ORDER BY pos) - w.{a} AS d{a}' for a in 'xyz')} FROM ways w LEFT JOIN field f ON f.gid = w.gid)
-SELECT path_id, round(sum(dx + 0.5 * dy + 0.25 * dz), 6) AS along, round(sum(dx * coalesce(rx, 0) + dy * coalesce(ry, 0) + dz * coalesce(rz, 0)), 3) AS push FROM steps WHERE dx IS NOT NULL GROUP BY path_id""")
+SELECT path_id, round(CAST(sum(dx + 0.5 * dy + 0.25 * dz) AS DOUBLE), 6) AS along, round(CAST(sum(dx * coalesce(rx, 0) + dy * coalesce(ry, 0) + dz * coalesce(rz, 0)) AS DOUBLE), 3) AS push FROM steps WHERE dx IS NOT NULL GROUP BY path_id""")
 def line_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A way through each plane of the void, row by row there and back, in the repulsion of the balls."""
     v = _void(spark, sf_dir).withColumns({a: F.col(f"i{a}") * STEP for a in AXES})
