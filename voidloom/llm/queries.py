@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, licenses, line_dedup, near_dedup, pieces, token_files, toxicity, url_filter, vector_search
+from . import decontamination, html_text, licenses, line_dedup, near_dedup, nearest_graph, pieces, token_files, toxicity, url_filter, vector_search
 from .common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -221,3 +221,8 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, check="round_trip")
     numbers = F.crc32(F.array_join("ids", " ").cast("binary"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), numbers.alias("ids_crc32"), "round_trip")
+
+
+@query
+def op11_nearest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
