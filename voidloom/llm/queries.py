@@ -8,9 +8,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, licenses, line_dedup, near_dedup, nearest_graph, pieces, token_files, toxicity, url_filter, vector_search
+from . import conversations, decontamination, html_text, licenses, line_dedup, near_dedup, nearest_graph, pieces, spelling, token_files, toxicity, url_filter, vector_search
 from .common import shared_folder, table
 
+#: CRC-32 in SQL: ``tab`` is its table, {crc} the checksum of a text ``s``.
+CRC_TABLE = """tab AS (
+  SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS crcs
+  FROM (SELECT unnest(range(256)) AS i))"""
+CRC = """xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(hex(encode(s)), '..'), lambda h: ('0x' || h)::BIGINT)),
+                        lambda a, b: xor(crcs[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -226,3 +233,108 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_nearest_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLE_SQL["op12_spelling_variants"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+places AS (SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, count(*) AS c FROM runs WHERE length(run) >= 5 GROUP BY ALL),
+hashed AS (SELECT run, c, {CRC} AS h FROM places, tab),
+forms AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed),
+words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM forms WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cuts AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words),
+dels AS (SELECT DISTINCT word, substr(word, 1, i - 1) || substr(word, i + 1) AS d FROM cuts),
+holes AS (SELECT word, substr(word, 1, i - 1) || chr(1) || substr(word, i + 1) AS hole FROM cuts),
+near AS (
+  SELECT a.word AS a, b.word AS b FROM holes a JOIN holes b USING (hole) WHERE a.word <> b.word
+  UNION ALL SELECT d.word, w.word FROM dels d JOIN words w ON w.word = d.d
+  UNION ALL SELECT w.word, d.word FROM dels d JOIN words w ON w.word = d.d),
+ranked AS (SELECT a, b, n, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r, count(*) OVER (PARTITION BY a) AS m FROM near JOIN words ON word = b),
+led AS (
+  SELECT w.word, w.n, CAST(coalesce(m, 0) AS BIGINT) AS n_near, CASE WHEN r.n >= 2 * w.n THEN b END AS form, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON a = w.word AND r = 1),
+way(word, here) AS (SELECT word, word FROM led UNION SELECT way.word, form FROM way JOIN led ON led.word = way.here WHERE form IS NOT NULL),
+ends AS (SELECT way.word, here AS root FROM way JOIN led ON led.word = way.here WHERE form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM led JOIN ends USING (word)
+"""
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(table(spark, sf_dir, "conversations"), damaging=True)
+
+
+def _least(*ways: str) -> str:
+    return f"list_sort([{', '.join(ways)}])[1]"
+
+
+def _way(cost: str, to: str, letter: str, line: str = "") -> str:
+    lines = f"list_concat([{line}], {to}.t)" if line else f"{to}.t"
+    return f"{{'c': {cost} + {to}.c, 'a': '{letter}' || {to}.a, 't': {lines}}}"
+
+
+def _insert(inner: str) -> str:
+    """Each state's best way with one more inserted row before what ``inner`` has."""
+    user, assistant = _way("3", "v2", "I", "'user:'"), _way("3", "v3", "I", "'assistant:'")
+    return f"SELECT k, i, {_least('v0', user)} AS v0, {_least('v1', user)} AS v1, {_least('v2', assistant)} AS v2, {_least('v3', user)} AS v3 FROM ({inner})"
+
+
+def _row(state: int) -> str:
+    """The best way from a state over the row ``r``: deleted, reroled or kept."""
+    to, role = ("v3", "assistant") if state == 2 else ("v2", "user")
+    none = "{'c': 1000000000, 'a': '', 't': ['']}"
+    change = _way("3 + r.more", to, "R", f"'{role}:' || r.text")
+    keep = [f"CASE WHEN r.must OR r.initial <> '{role[0]}' THEN {none} ELSE {_way('r.more', to, 'K', 'r.line')} END"]
+    if state == 0:
+        keep.append(f"CASE WHEN r.must OR r.initial <> 's' THEN {none} ELSE {_way('r.more', 'v1', 'K', 'r.line')} END")
+    return _least(_way("4", f"v{state}", "D"), f"CASE WHEN r.must THEN {none} ELSE {change} END", *keep)
+
+
+_END = "{'c': 0, 'a': '', 't': []::VARCHAR[]}"
+_NEVER = "{'c': 1000000000, 'a': '', 't': []::VARCHAR[]}"
+_OVER = ", ".join(f"{_row(s)} AS v{s}" for s in range(4))
+ORACLE_SQL["op13_conversation_repair"] = rf"""
+WITH RECURSIVE {CRC_TABLE},
+given AS (
+  SELECT coalesce('+' || CAST(conv_id AS VARCHAR), '-') AS k, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s
+  FROM conversations),
+hashed AS (SELECT given.*, {CRC} % 20 AS h FROM given, tab),
+hurt AS (
+  SELECT k, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+         CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE h <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY turn NULLS FIRST, role, text) - 1 AS i FROM hurt),
+seen AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut, min(i) OVER (PARTITION BY k, role, text) AS first,
+         lag(role) OVER (PARTITION BY k ORDER BY i) AS before FROM placed),
+judged AS (
+  SELECT *, CASE WHEN cut = '' THEN 'blank' WHEN first < i THEN 'duplicate' WHEN NOT regexp_matches(right(cut, 1), '[.!?]') THEN 'truncated' ELSE '' END AS fault FROM seen),
+rows AS (
+  SELECT k, i, text, role || ':' || text AS line, substr(role, 1, 1) AS initial, fault IN ('blank', 'duplicate') AS must,
+         CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more
+  FROM judged),
+stats AS (
+  SELECT k, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND substr(before, 1, 1) || substr(role, 1, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY k),
+walk AS (
+  {_insert(_insert(f"SELECT k, n AS i, {_END} AS v0, {_NEVER} AS v1, {_NEVER} AS v2, {_END} AS v3 FROM stats"))}
+  UNION ALL
+  {_insert(_insert(f"SELECT w.k, w.i - 1 AS i, {_OVER} FROM walk w JOIN rows r ON r.k = w.k AND r.i = w.i - 1"))}),
+heads AS (SELECT DISTINCT k, conv_id FROM given)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+       CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(v0.c, 0) AS BIGINT) AS cost,
+       coalesce(v0.a, '') AS audit, sha256(coalesce(array_to_string(v0.t, chr(10)), '')) AS repaired_sha256
+FROM heads LEFT JOIN stats USING (k) LEFT JOIN (SELECT * FROM walk WHERE i = 0) USING (k)
+"""
