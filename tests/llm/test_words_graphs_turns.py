@@ -104,7 +104,7 @@ def plain_variants(words):
 def test_op12_against_all_pairs_of_words(spark):
     rng = random.Random(3)
     stems = ["color", "colour", "aaaaaa", "aaaaaaa", "ébène", "ebène", "grey", "theater", "theatre", "organise"]
-    docs = [(1, None), (None, "Color COLOR color"), (2, ""), (2, "straße strasse Straße straße"), (3, "colour " * 30)]
+    docs = [(1, None), (None, "Color COLOR color"), (2, ""), (2, "straße strasse Straße straße"), (3, "colour " * 30), (4, "chains " * 40 + "chainsx " * 12 + "chainsxy " * 4)]
     for i in range(300):
         words = [rng.choice(stems) for _ in range(20)]
         words = [w if rng.random() < 0.6 else w[: (k := rng.randrange(len(w)))] + rng.choice(["", "a", "é", "x"]) + w[k + rng.randrange(2) :] for w in words]
