@@ -127,3 +127,50 @@ def test_repeated_frames(spark):
     frames = spark.createDataFrame([(0, 1, "Si", 0.5, 0.0, 0.0)], "frame int, atom int, species string, x double, y double, z double")
     got, box = pipelines.repeated(frames, (2.0, 3.0, 4.0), (2, 1, 2))
     assert box == (4.0, 3.0, 8.0) and {(r["atom"], r["x"], r["z"]) for r in got.collect()} == {(4, 0.5, 0.0), (5, 0.5, 4.0), (6, 2.5, 0.0), (7, 2.5, 4.0)}
+
+
+def test_repeats_follow_ways_through_the_cells_boundary(spark):
+    """An atom between 9.9 and 0.1 of a cell of 10 has its mean at the boundary, and its images in theirs."""
+    data = [(f, 1, "Si", 9.9 if f % 2 == 0 else 0.1, 1.0, 1.0) for f in range(10)]
+    frames = spark.createDataFrame(data, "frame int, atom int, species string, x double, y double, z double")
+    for n in (1, 2, 3):
+        got, box = pipelines.repeated(frames, (10.0, 10.0, 10.0), (n, 1, 1))
+        means = sorted(r["x"] for r in pipelines.J.mean_positions(pipelines.J.unwrap(got, box), box).collect())
+        assert all(min(abs(x - 10.0 * (i + k)) for k in (0, n, -n)) < 1e-9 for i, x in enumerate(means)), means
+
+
+def test_means_take_all_frames_and_radii_every_nth(spark):
+    """Steps of 4 in a cell of 10: every second frame alone would unwrap the wrong way and miss half of the positions."""
+    rows = []
+    for f in range(6):
+        rows += [(f, 0, "Si", (0.5 + 4.0 * f) % 10, 2.0, 2.0), (f, 1, "Si", 5.0, 5.0, 5.0), (f, 2, "Na", 5.0, 5.0, 6.0 if f % 2 == 0 else 5.1)]
+    frames = spark.createDataFrame(rows, "frame int, atom int, species string, x double, y double, z double")
+    settings = config.Flow(backbone_atoms=("Si",), flow_atoms=("Na",), reeb_stride=2, common_backbone=False)
+    balls = {r["bid"]: r for r in pipelines.flow_backbone(frames, settings, (10.0, 10.0, 10.0)).collect()}
+    assert abs(balls[0]["x"] - (0.5 + 4.0 * 2.5) % 10) < 1e-9 and 0.9 < balls[1]["radius"] < 1.3
+
+
+def test_flow_writes_what_its_settings_ask_for(spark, tmp_path):
+    text = ""
+    for t in range(3):
+        text += "ITEM: TIMESTEP\n%d\nITEM: NUMBER OF ATOMS\n3\nITEM: BOX BOUNDS pp pp pp\n0 4\n0 4\n0 4\nITEM: ATOMS id type x y z\n" % t
+        text += "1 1 1 1 1\n2 1 3 3 3\n3 2 2 2 2.5\n"
+    (tmp_path / "d.lammpstrj").write_text(text)
+    settings = config.Flow(str(tmp_path / "d.lammpstrj"), atom_type_map={1: "Si", 2: "Na"}, backbone_atoms=("Si",), flow_atoms=("Na",), grid_spacing=1.0, reeb_stride=1, fat=1.5,
+                           output_csv=str(tmp_path / "o"), print_mean_stucture=True, save_reeb_backbone=True, radii_figures=True)
+    assert pipelines.flow_of_file(spark, settings).count() == 1
+    assert spark.read.parquet(str(tmp_path / "o-reeb_graphs" / "dir_2" / "edges")).count() > 0
+    assert spark.read.csv(str(tmp_path / "o-radii"), header=True).count() > 0
+    assert spark.read.text(str(tmp_path / "o-mean_structure")).count() == 5
+
+
+def test_wider_reach_joins_what_is_apart(spark):
+    from voidloom.operators import grid as G
+
+    g = G.Grid((8, 8, 8), (8.0, 8.0, 8.0))
+    kept = G.nodes(spark, g).where("ix = 2 and iy = 2 and iz in (2, 4)")
+    assert G.neighbours(g, kept).count() == 0 and G.neighbours(g, kept, 1.0).count() == 0 and G.neighbours(g, kept, 1.5).count() == 2
+    flat = G.Grid((8, 8, 8), (8.0, 8.0, 4.0))  # two cells of 0.5 are nearer than a diagonal of 1.5
+    assert G.neighbours(flat, kept, 1.0).count() == 2
+    whole = G.nodes(spark, g)
+    assert G.neighbours(g, whole, 1.0).exceptAll(G.neighbours(g, whole)).isEmpty()

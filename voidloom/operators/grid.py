@@ -77,11 +77,19 @@ def void(grid: Grid, balls: DataFrame, any_ball: bool = False, open_ends: bool =
     return nodes(balls.sparkSession, grid).join(hit.select("gid"), "gid", "left_anti")
 
 
-def neighbours(grid: Grid, kept: DataFrame, reach: str = "corner") -> DataFrame:
-    """gid and nid of neighbouring kept nodes (corner: 26, edge: 18, face: 6), through periodic boundaries of x and y."""
-    most = {"face": 1, "edge": 2, "corner": 3}[reach]
-    steps = offsets(kept.sparkSession).where((F.abs("dx") + F.abs("dy") + F.abs("dz")).between(1, most))
-    at = kept.select("gid", "ix", "iy", "iz").crossJoin(F.broadcast(steps))  # 26 rows
+def neighbours(grid: Grid, kept: DataFrame, reach: str | float = "corner") -> DataFrame:
+    """gid and nid of neighbouring kept nodes (corner: 26, edge: 18, face: 6), through periodic boundaries of x and y.
+
+    A number for ``reach`` joins all nodes nearer than 1.001 times so many cell diagonals; in a cube 1.0 gives the 26.
+    """
+    if isinstance(reach, str):
+        most = {"face": 1, "edge": 2, "corner": 3}[reach]
+        steps = offsets(kept.sparkSession).where((F.abs("dx") + F.abs("dy") + F.abs("dz")).between(1, most))
+    else:
+        far = 1.001 * reach * sum(s * s for s in grid.spacing) ** 0.5
+        square = sum((F.col(f"d{a}") * F.col(f"d{a}") * (s * s) for a, s in zip("xyz", grid.spacing, strict=True)), F.lit(0.0))
+        steps = offsets(kept.sparkSession, [int(far / s) for s in grid.spacing]).where((square > 0) & (square < far * far))
+    at = kept.select("gid", "ix", "iy", "iz").crossJoin(F.broadcast(steps))  # 26 rows, more for a wider reach
     for a, n, p in zip("xyz", (grid.shape[0], grid.shape[1], grid.nz), grid.periodic, strict=True):
         i = F.col(f"i{a}") + F.col(f"d{a}")
         at = at.withColumn(f"j{a}", F.pmod(i, F.lit(n)) if p else i).where((F.col(f"j{a}") >= 0) & (F.col(f"j{a}") < n))
@@ -113,11 +121,11 @@ def level_sets(kept: DataFrame, stride: int, cover: int = 1) -> DataFrame:
     return kept.join(F.broadcast(centre), "iz").select("gid", "ix", "iy", "iz", "level")  # at most nz * (2 cover + 1) rows
 
 
-def labelled(grid: Grid, levels: DataFrame, rounds: int = 200) -> DataFrame:
-    """``node``: smallest gid of the connected component (26 neighbours) of each (level, gid)."""
+def labelled(grid: Grid, levels: DataFrame, rounds: int = 200, reach: str | float = "corner") -> DataFrame:
+    """``node``: smallest gid of the connected component (neighbours within ``reach``) of each (level, gid)."""
     from .graph import components
 
-    pairs = neighbours(grid, levels.select("gid", "ix", "iy", "iz").distinct())
+    pairs = neighbours(grid, levels.select("gid", "ix", "iy", "iz").distinct(), reach)
     a = levels.select("level", "gid")
     b = levels.select(F.col("level").alias("l2"), F.col("gid").alias("nid"))
     edges = a.join(pairs, "gid").join(b, ["nid"]).where("level = l2").select("level", F.col("gid").alias("a"), F.col("nid").alias("b"))

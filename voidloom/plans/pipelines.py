@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES
+from ..functions.geometry import AXES, wrap
 from ..operators import diagrams as D
 from ..operators import graph as R
 from ..operators import grid as G
@@ -14,7 +16,7 @@ from ..operators import topology as T
 from ..operators import trajectory as J
 from ..operators.scan import numbered
 from ..session import checkpoint
-from ..sources import config, structures
+from ..sources import config, sinks, structures
 
 
 def sample_points(spark: SparkSession, path: str, fmt: str, settings: config.Structure, ext: str | None = None) -> DataFrame:
@@ -88,42 +90,63 @@ def nearest_distances(atoms: DataFrame, mobile: DataFrame, box: tuple[float, flo
         reach = min(2 * reach, farthest)
 
 
-def flow_backbone(frames: DataFrame, settings: config.Flow, box: tuple[float, float, float]) -> DataFrame:
-    """bid, species, x, y, z, radius of the mean backbone: unwrapped means and, for each species, the onset of the radial
-    distribution of its distances to the mobile atoms, or without ``common_backbone`` each atom's own least distance. Every
-    backbone atom is kept; a species without a mobile atom within 6, or a trajectory without mobile atoms, raises. frames: frame, atom, species, x, y, z."""
+@dataclass(frozen=True)
+class Backbone:
+    """What a flow starts from: balls (bid, species, x, y, z, radius), the mobile atoms moved back by the backbone's
+    displacement (atom, frame, x, y, z), and the radial distributions that gave the radii (None without ``common_backbone``)."""
+
+    balls: DataFrame
+    ions: DataFrame
+    rdf: DataFrame | None
+
+
+def backbone_of(frames: DataFrame, settings: config.Flow, box: tuple[float, float, float]) -> Backbone:
+    """The mean backbone: unwrapped means over all frames (circular means of every ``reeb_stride``-th) and, for each species, the
+    onset of the radial distribution of its distances to the mobile atoms of every ``reeb_stride``-th frame, or without
+    ``common_backbone`` each atom's own least distance. Every backbone atom is kept; a species without a mobile atom within 6,
+    or a trajectory without mobile atoms, raises. frames: frame, atom, species, x, y, z."""
+    whole = frames.where(F.col("species").isin(list(settings.backbone_atoms)))
     kept = J.every_nth(frames, settings.reeb_stride)
     backbone = kept.where(F.col("species").isin(list(settings.backbone_atoms)))
     if settings.apply_frechet_mean:
         means = J.frechet_means(backbone, box).drop("cost")
     else:
-        means = J.mean_positions(J.unwrap(backbone, box), box)
+        means = J.mean_positions(J.unwrap(whole, box), box)
     means = checkpoint(means)
-    ions = J.ion_shift(kept.where(F.col("species").isin(list(settings.flow_atoms))), backbone.select("atom", "frame", *AXES), means, box)
-    named = means.join(frames.select("atom", "species").distinct(), "atom")
+    ions = checkpoint(J.ion_shift(kept.where(F.col("species").isin(list(settings.flow_atoms))), backbone.select("atom", "frame", *AXES), means, box))
+    named = means.join(whole.select("atom", "species").distinct(), "atom")
+    rdf = None
     if settings.common_backbone:
         near = P.pairs_within(ions.select("frame", *AXES), named.select("atom", "species", *AXES), 6.0, box)
         volume = box[0] * box[1] * box[2]
-        rdf = P.radial_distribution(near.select(F.col("b_species").alias("species"), "d"), volume, keys=["species"])
+        rdf = checkpoint(P.radial_distribution(near.select(F.col("b_species").alias("species"), "d"), volume, keys=["species"]))
         radii = P.rdf_onset(rdf, keys=["species"]).select("species", F.col("r_onset").alias("radius"))
         met = named.join(F.broadcast(radii), "species", "left")  # a row a species
     else:
         met = named.join(nearest_distances(named, ions, box), "atom", "left")
     lost = F.raise_error(F.concat(F.lit("no mobile atom near backbone atom "), F.col("atom").cast("string"), F.lit(" of "), "species"))
-    return met.select(F.col("atom").alias("bid"), "species", *AXES, F.coalesce("radius", lost.cast("double")).alias("radius"))
+    balls = met.select(F.col("atom").alias("bid"), "species", *AXES, F.coalesce("radius", lost.cast("double")).alias("radius"))
+    return Backbone(balls, ions, rdf)
 
 
-def circular_flow(balls: DataFrame, box: tuple[float, float, float], settings: config.Flow, volume: float | None = None) -> DataFrame:
+def flow_backbone(frames: DataFrame, settings: config.Flow, box: tuple[float, float, float]) -> DataFrame:
+    """The balls of ``backbone_of``."""
+    return backbone_of(frames, settings, box).balls
+
+
+def circular_flow(balls: DataFrame, box: tuple[float, float, float], settings: config.Flow, volume: float | None = None, graphs: str | None = None) -> DataFrame:
     """flow (mean over three axes, as an area), slice_area and norm_flow of a backbone of balls. ``volume`` (of the box, if
-    none is given) tells how many nodes of the given spacing an axis has."""
+    none is given) tells how many nodes of the given spacing an axis has; ``graphs`` is a folder for the directions' Reeb graphs."""
     n = int((volume or box[0] * box[1] * box[2]) ** (1 / 3) / settings.grid_spacing)
     n += 1 - n % 2
     out = None
     for direction in range(3):
         relax = 2 if settings.periodic else 0
         g = G.Grid((n, n, n), box, (True, True, False), relax)
-        members = checkpoint(G.labelled(g, G.level_sets(checkpoint(G.void(g, balls, open_ends=not settings.periodic)), settings.reeb_stride)))
+        members = checkpoint(G.labelled(g, G.level_sets(checkpoint(G.void(g, balls, open_ends=not settings.periodic)), settings.reeb_stride), reach=settings.fat))
         edges = checkpoint(G.reeb_edges(members, G.norm_of(settings.reeb_stride)))
+        if graphs:
+            sinks.write_graph(G.reeb_nodes(members, G.norm_of(settings.reeb_stride), g), edges, members, f"{graphs}/dir_{direction}")
         span = g.shape[0] * g.shape[1] * g.nz
         e = edges.select("level", (F.col("level") * span + F.col("src")).alias("src"), ((F.col("level") + 1) * span + F.col("dst")).alias("dst"), "capacity")
         low, high = e.agg(F.min("level"), F.max("level")).first()
@@ -155,16 +178,30 @@ def flow_of_file(spark: SparkSession, settings: config.Flow) -> DataFrame:
     frames = checkpoint(frames.select(number.alias("frame"), F.col("atom_id").alias("atom"), "species", *AXES))
     box = (float(lattice[0]), float(lattice[4]), float(lattice[8]))
     frames, box = repeated(frames, box, settings.repeat)
-    return circular_flow(flow_backbone(frames, settings, box), box, settings, volume)
+    found = backbone_of(frames, settings, box)
+    beside = (settings.output_csv or "flow").rstrip("/") + "-"
+    if settings.print_mean_stucture:
+        first = found.ions.where(F.col("frame") == 0)
+        after = found.balls.agg(F.max("bid")).first()[0] + 1
+        mobile = first.join(frames.select("atom", "species").distinct(), "atom").select((F.col("atom") + after).alias("bid"), "species", *AXES)
+        sinks.write_structure(found.balls.select(F.col("bid").cast("long").alias("bid"), "species", *AXES).unionByName(mobile), box, f"{beside}mean_structure")
+    if settings.radii_figures and found.rdf is not None:
+        sinks.write_table(found.rdf, f"{beside}radii")
+    return circular_flow(found.balls, box, settings, volume, f"{beside}reeb_graphs" if settings.save_reeb_backbone else None)
 
 
 def repeated(frames: DataFrame, box: tuple[float, float, float], times: tuple[int, int, int]) -> tuple[DataFrame, tuple[float, float, float]]:
-    """Frames (frame, atom, species, x, y, z) and box repeated along each axis; an image's atoms have numbers of their own."""
+    """Frames (frame, atom, species, x, y, z) and box repeated along each axis; an image's atoms have numbers of their own.
+
+    Ways are unwrapped in the cell first, since a larger box does not see where they cross the cell's boundary, and the
+    images are wrapped into the larger box.
+    """
     if tuple(times) == (1, 1, 1):
         return frames, box
+    large = tuple(n * k for n, k in zip(box, times, strict=True))
+    frames = J.unwrap(frames, box)
     for name, n in zip(("ia", "ib", "ic"), times, strict=True):
         frames = frames.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     image = (F.col("ia") * times[1] + F.col("ib")) * times[2] + F.col("ic")
-    moved = [(F.col(a) + F.col(i) * n).alias(a) for a, i, n in zip(AXES, ("ia", "ib", "ic"), box, strict=True)]
-    out = frames.select("frame", (F.col("atom") * (times[0] * times[1] * times[2]) + image).alias("atom"), "species", *moved)
-    return out, tuple(n * k for n, k in zip(box, times, strict=True))
+    moved = [wrap(F.col(a) + F.col(i) * n, m).alias(a) for a, i, n, m in zip(AXES, ("ia", "ib", "ic"), box, large, strict=True)]
+    return frames.select("frame", (F.col("atom") * (times[0] * times[1] * times[2]) + image).alias("atom"), "species", *moved), large

@@ -94,6 +94,10 @@ def computation(path: str, name: str) -> Computation:
 
 @dataclass(frozen=True)
 class Flow:
+    """``fat``: how many cell diagonals apart void nodes of a slab still touch. ``stride``, ``verbose``: read for files' sake; they
+    bound memory and print elsewhere and change no result. ``print_mean_stucture``, ``save_reeb_backbone`` and ``radii_figures``
+    write the mean structure, the Reeb graphs and the radial distributions beside ``output_csv``."""
+
     trajectory_path: str = ""
     file_format: str = "lammps-dump-text"
     atom_type_map: dict[int, str] = field(default_factory=dict)
@@ -111,6 +115,10 @@ class Flow:
     apply_frechet_mean: bool = False
     repeat: tuple[int, int, int] = (1, 1, 1)
     output_csv: str | None = None
+    verbose: bool = False
+    print_mean_stucture: bool = False
+    save_reeb_backbone: bool = False
+    radii_figures: bool = False
 
 
 def flow(path: str, **overrides: object) -> Flow:

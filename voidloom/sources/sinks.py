@@ -35,3 +35,8 @@ def write_graph(nodes: DataFrame, edges: DataFrame, members: DataFrame, path: st
     """Nodes, edges and members of a Reeb graph as Parquet."""
     for name, df in (("nodes", nodes), ("edges", edges), ("members", members)):
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_table(rows: DataFrame, path: str) -> None:
+    """Any table as CSV with names."""
+    rows.write.mode("overwrite").csv(path, header=True)
