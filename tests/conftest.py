@@ -15,7 +15,7 @@ def spark():
     os.environ["PYTHONPATH"] = f"{Path(__file__).resolve().parents[1]}:{os.environ.get('PYTHONPATH', '')}"
     from voidloom.session import session
 
-    s = session("tests", cores=4)
+    s = session("tests", cores=int(os.environ.get("TEST_CORES", 4)))
     yield s
     s.stop()
 

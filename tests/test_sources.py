@@ -174,3 +174,59 @@ def test_wider_reach_joins_what_is_apart(spark):
     assert G.neighbours(flat, kept, 1.0).count() == 2
     whole = G.nodes(spark, g)
     assert G.neighbours(g, whole, 1.0).exceptAll(G.neighbours(g, whole)).isEmpty()
+
+
+def dump(frames, n=4):
+    out = ""
+    for t in range(frames):
+        out += f"ITEM: TIMESTEP\n{10 * t}\nITEM: NUMBER OF ATOMS\n{n}\nITEM: BOX BOUNDS pp pp pp\n1 5\n0 4\n0 4\nITEM: ATOMS id type x y z\n"
+        out += "".join(f"{n - i} {i % 2 + 1} {1 + 0.1 * i + 0.01 * t:.4f} {0.2 * i:.4f} {0.3 * t:.4f}\n" for i in range(n))
+    return out
+
+
+def same_rows(a, b, drop="file"):
+    return a.drop(drop).exceptAll(b.drop(drop)).isEmpty() and b.drop(drop).exceptAll(a.drop(drop)).isEmpty()
+
+
+def test_frames_cut_by_byte_ranges_are_read_once(spark, tmp_path):
+    """Ranges of every small size, so that each line of a frame begins one somewhere, against the reader of whole files."""
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    (tmp_path / "in" / "a.xyz").write_text(xyz(5, 3))
+    (tmp_path / "in" / "deep" / "b.xyz").write_text("2\n7\nO 0 0 0\nSi 1 1 1\n1\n\nO 0 0 1\n\n")  # headers that look like a count, or are empty
+    (tmp_path / "in" / "d.lammpstrj").write_text(dump(4).rstrip("\n"))
+    structures.register(spark)
+    whole = {f: spark.read.format(fmt).option("ext", f).load(str(tmp_path / "in")) for f, fmt in ((".xyz", "extxyz"), (".lammpstrj", "lammps-dump-text"))}
+    assert {f: d.count() for f, d in whole.items()} == {".xyz": 18, ".lammpstrj": 16}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for size in (17, 40, 61, 1 << 20):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            for ext, fmt in ((".xyz", "extxyz"), (".lammpstrj", "lammps-dump-text")):
+                got = structures.frames_of(spark, f"file://{tmp_path}/in", fmt, ext)
+                assert same_rows(got, whole[ext]), (size, ext)
+        heads = structures.frames_of(spark, f"{tmp_path}/in/d.lammpstrj", "lammps-dump-text", headers=True).orderBy("frame_id").collect()
+        assert [h["info"]["timestep"] for h in heads] == ["0", "10", "20", "30"] and heads[0]["lattice"][0] == 4.0 and heads[0]["pbc"] == [True] * 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_a_stream_of_frames_goes_on_where_it_stopped(spark, tmp_path):
+    from voidloom.operators import trajectory as J
+    from voidloom.streaming.unwrap import unwrap_frames
+
+    structures.register(spark)
+    source = tmp_path / "run.lammpstrj"
+    whole = dump(7)
+    cuts = [len(dump(2)), len(dump(5)) - 9, len(whole)]  # the second write ends within a frame
+    for i, cut in enumerate(cuts):
+        source.write_text(whole[:cut])
+        stream = spark.readStream.format("lammps-dump-text").load(str(source))
+        q = unwrap_frames(stream, (4.0, 4.0, 4.0)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = spark.read.parquet(str(tmp_path / "out"))
+        assert got.count() == [8, 16, 28][i]
+    frames = spark.read.format("lammps-dump-text").load(str(source)).select(F.col("atom_id").cast("long").alias("atom"), F.col("frame_id").alias("frame"), "x", "y", "z")
+    plain = {(r["atom"], r["frame"]): (r["x"], r["y"], r["z"]) for r in J.unwrap(frames, (4.0, 4.0, 4.0)).collect()}
+    assert {(r["atom"], r["frame"]): (r["x"], r["y"], r["z"]) for r in got.collect()} == plain

@@ -25,9 +25,7 @@ def sample_points(spark: SparkSession, path: str, fmt: str, settings: config.Str
     The sample is the frame's number; with ``ext`` all files of a folder are read in one plan, and samples are numbered by
     file and frame (``sample_names`` tells which is which).
     """
-    structures.register(spark)
-    reader = spark.read.format(fmt)
-    atoms = (reader.option("ext", ext) if ext else reader).load(path)
+    atoms = structures.frames_of(spark, path, fmt, ext)
     atoms = atoms.where((F.col("frame_id") >= settings.start) & (F.col("frame_id") < settings.stop))
     atoms = P.keep_species(J.every_nth(atoms, settings.step, settings.start, frame="frame_id"), settings.species)
     if settings.repeat != (1, 1, 1):
@@ -50,9 +48,7 @@ def sample_points(spark: SparkSession, path: str, fmt: str, settings: config.Str
 
 
 def _heads(spark: SparkSession, path: str, fmt: str, ext: str | None) -> DataFrame:
-    structures.register(spark)
-    reader = spark.read.format(fmt).option("frames", "true")
-    return (reader.option("ext", ext) if ext else reader).load(path)
+    return structures.frames_of(spark, path, fmt, ext, headers=True)
 
 
 def sample_names(spark: SparkSession, path: str, fmt: str, settings: config.Structure, ext: str) -> DataFrame:
@@ -163,8 +159,6 @@ def circular_flow(balls: DataFrame, box: tuple[float, float, float], settings: c
 
 def flow_of_file(spark: SparkSession, settings: config.Flow) -> DataFrame:
     """``circular_flow`` of the mean backbone of an orthorhombic trajectory file."""
-    structures.register(spark)
-    reader = spark.read.format(settings.file_format)
     def chosen(df: DataFrame) -> DataFrame:
         return J.every_nth(df, settings.frame_step, settings.frame_start, settings.frame_end, frame="frame_id")
 
@@ -172,7 +166,7 @@ def flow_of_file(spark: SparkSession, settings: config.Flow) -> DataFrame:
     lattice = heads.orderBy("frame_id").select("lattice").first()["lattice"]
     sides = heads.select(*[F.col("lattice")[4 * i].alias(name) for i, name in enumerate(("lx", "ly", "lz"))])
     volume = J.mean_volume(sides).first()["volume"]
-    frames = chosen(reader.load(settings.trajectory_path))
+    frames = chosen(structures.frames_of(spark, settings.trajectory_path, settings.file_format))
     frames = P.remap_types(frames, settings.atom_type_map) if settings.atom_type_map else frames
     number = ((F.col("frame_id") - settings.frame_start) / settings.frame_step).cast("int")
     frames = checkpoint(frames.select(number.alias("frame"), F.col("atom_id").alias("atom"), "species", *AXES))

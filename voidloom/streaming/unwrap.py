@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -34,3 +35,8 @@ def unwrap_stream(frames: DataFrame, box: Sequence[float], axes: Sequence[str] =
     kinds = ", ".join(f"{a} double" for a in names)
     kept = ", ".join([*[f"p_{a} double" for a in names], *[f"c_{a} double" for a in names]])
     return frames.select("atom", "frame", *names).groupBy("atom").applyInPandasWithState(step, f"atom long, frame int, {kinds}", kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def unwrap_frames(atoms: DataFrame, box: Sequence[float]) -> DataFrame:
+    """``unwrap_stream`` of what the structure formats stream: file, frame_id, atom_id, x, y, z of one file."""
+    return unwrap_stream(atoms.select(F.col("atom_id").cast("long").alias("atom"), F.col("frame_id").alias("frame"), "x", "y", "z"), box)
