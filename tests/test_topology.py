@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voidloom.operators import diagrams as D
 from voidloom.operators import points as P
+from voidloom.operators import merge_tree as M
 from voidloom.operators import topology as T
 
 
@@ -56,7 +57,7 @@ def test_diagrams_of_samples(spark):
     assert h0.where("death = double('inf')").count() == 2
     pairs = P.pairs_within(points, points, 3.0, keys=["sample"]).where("a_pid < b_pid")
     value = P.touching_value(F.col("d"), F.col("a_w"), F.col("b_w"))
-    merged = T.h0_by_merging(points.select("sample", F.col("pid").cast("long"), "w"), pairs.select(F.col("a_sample").alias("sample"), F.col("a_pid").cast("long"), F.col("b_pid").cast("long"), value.alias("value")))
+    merged = M.h0_by_merging(points.select("sample", F.col("pid").cast("long"), "w"), pairs.select(F.col("a_sample").alias("sample"), F.col("a_pid").cast("long"), F.col("b_pid").cast("long"), value.alias("value")))
     mine = sorted((r["sample"], round(r["birth"], 9), round(r["death"], 9)) for r in h0.collect())
     assert sorted((r["sample"], round(r["birth"], 9), round(r["death"], 9)) for r in merged.collect()) == mine
     cycles = T.representative_cycles(found, simplices)
@@ -131,3 +132,43 @@ def test_renamed_simplices_and_shared_ids(spark):
     names = spark.createDataFrame([(1, 7), (2, 0), (3, 4)], "pid long, name long")
     assert {(r["sid"], tuple(r["verts"])) for r in T.renamed(s, names).collect()} == {(0, (4, 7)), (1, (0,))}
     assert [r["sid"] for r in T.shared_ids(s.where("sid < 2"), s.where("sid > 0"), "sid").collect()] == [1]
+
+
+def test_merges_do_not_depend_on_the_size_of_a_range(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, int(a), int(b), float(v)) for s in (0, 3) for a, b, v in zip(rng.integers(0, 60, 400), rng.integers(0, 60, 400), rng.integers(0, 50, 400), strict=True)]
+    edges = spark.createDataFrame(rows, "sample int, a long, b long, value double")
+    plain = {}
+    for s in (0, 3):
+        root = {}
+
+        def find(x, root=root):
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        for _, a, b, v in sorted((r for r in rows if r[0] == s), key=lambda r: (r[3], r[1], r[2])):
+            old, young = sorted((find(a), find(b)))
+            if old != young:
+                root[young] = old
+                plain[s, young] = v
+    for chunk in (7, 60, 1 << 15):
+        assert {(r["sample"], r["age"]): r["value"] for r in M.merges(edges, chunk).collect()} == plain
+
+
+def test_h0_of_a_long_chain(spark):
+    """Gaps that shrink along a chain of 100,000 points: each link ends the point on its far side, in many tasks."""
+    n = 100_000
+    points = spark.range(n).select(F.lit(0).alias("sample"), F.col("id").alias("pid"), F.lit(0.0).alias("w"))
+    pairs = spark.range(n - 1).select(F.lit(0).alias("sample"), F.col("id").alias("a_pid"), (F.col("id") + 1).alias("b_pid"), (F.lit(float(n)) - F.col("id")).alias("value"))
+    found = M.h0_by_merging(points, pairs, chunk=1 << 14)
+    assert found.where("death = double('inf')").select("pid").collect()[0][0] == 0
+    assert found.where(F.col("death") == F.lit(float(n)) - (F.col("pid") - 1)).count() == n - 1
+
+
+def test_h0_widens_its_reach_until_one_class_is_left(spark):
+    rng = np.random.default_rng(1)
+    rows = [(s, i, *map(float, rng.normal(0, 1, 3) + (40.0 * s if i == 0 else 0)), 0.1 * (i % 3)) for s in range(3) for i in range(20)]
+    points = spark.createDataFrame(rows, "sample int, pid long, x double, y double, z double, w double")
+    near, far = (sorted(map(str, M.h0_of_points(points, r).collect())) for r in (0.3, 1000.0))
+    assert near == far and sum("inf" in x for x in near) == 3

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import diagrams as D
 from ..operators import points as P
 from ..operators import topology as T
+from ..operators.merge_tree import h0_of_points
 from ..operators.scan import numbered
 from ..session import checkpoint
 from ..sources.tables import DIAGRAM_SQL, RADII, embedding_points, lineitem_diagram, table
@@ -111,17 +112,30 @@ def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.weigh(embedding_points(spark, sf_dir), RADII).withColumn("sample", F.col("label")).withColumn("pid", F.col("pid").cast("int"))
 
 
-@query()
+#: Value at which the balls of a and b touch.
+TOUCH_SQL = "CASE WHEN d > 0 AND (d * d + wa - wb) / (2 * d) BETWEEN 0 AND d THEN power((d * d + wa - wb) / (2 * d), 2) - wa ELSE greatest(-wa, -wb) END"
+#: Ends by widest ways: in each step ways of twice as many edges, from the least of their largest values. 512 points a label at most.
+_WAYS = ", ".join(f"m{i + 1} AS MATERIALIZED (SELECT p.s, p.a, q.b, min(greatest(p.v, q.v)) AS v FROM m{i} p JOIN m{i} q ON q.s = p.s AND q.a = p.b GROUP BY ALL)" for i in range(9))
+
+
+@query(f"""WITH {POINTS_SQL}, both AS (SELECT a.label AS s, a.pid AS a, b.pid AS b, a.w AS wa, b.w AS wb, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS d
+  FROM pts a JOIN pts b ON a.label = b.label AND a.pid < b.pid),
+e AS (SELECT s, a, b, {TOUCH_SQL} AS v FROM both),
+m0 AS MATERIALIZED (SELECT * FROM e UNION ALL SELECT s, b, a, v FROM e UNION ALL SELECT label, pid, pid, -w FROM pts), {_WAYS},
+ends AS (SELECT p.label AS s, p.pid, min(v) AS death FROM pts p JOIN m9 ON s = p.label AND a = p.pid JOIN pts o ON o.label = s AND o.pid = b AND (o.w > p.w OR o.w = p.w AND o.pid < p.pid) GROUP BY ALL)
+SELECT CAST(p.label AS INTEGER) AS sample, p.pid, round(-w, 6) AS birth, round(coalesce(death, 'inf'::DOUBLE), 6) AS death
+FROM pts p LEFT JOIN ends e ON e.s = p.label AND e.pid = p.pid WHERE coalesce(death, 'inf'::DOUBLE) > -w""")
 def h0_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pts = _samples(spark, sf_dir).withColumn("pid", F.col("pid").cast("long"))
-    pairs = P.pairs_within(pts, pts, 0.5, keys=["sample"]).where("a_pid < b_pid")
-    value = P.touching_value(F.col("d"), F.col("a_w"), F.col("b_w"))
-    return T.h0_by_merging(pts.select("sample", "pid", "w"), pairs.select(F.col("a_sample").alias("sample"), "a_pid", "b_pid", value.alias("value")))
+    return _h0(spark, sf_dir).select("sample", "pid", *_r("birth", "death"))
+
+
+def _h0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return h0_of_points(_samples(spark, sf_dir), 0.25)
 
 
 @query()
 def apf_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.apf(h0_diagram(spark, sf_dir), ["sample"], ["birth", "pid"])
+    return D.apf(_h0(spark, sf_dir), ["sample"], ["birth", "pid"])
 
 
 @query()
