@@ -6,10 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from voidloom.operators import cobordism as C
 from voidloom.operators import diagrams as D
 from voidloom.operators import points as P
 from voidloom.operators import merge_tree as M
 from voidloom.operators import topology as T
+from voidloom.operators import z2
 
 
 def cloud(n, seed, weights=True):
@@ -120,10 +122,10 @@ def test_cobordism_of_samples_side_by_side(spark):
         low = pts.select("sample", "pid", (F.col("z") < 0.4).alias("sub"))
         return T.in_subcomplex(T.in_subcomplex(s, top).withColumnRenamed("in_sub", "in_a"), low).withColumnRenamed("in_sub", "in_b")
 
-    both = sorted((r["sample"], r["birth_id"], r["death_id"], r["birth"], r["death"]) for r in T.cobordism(flagged(points)).collect())
+    both = sorted((r["sample"], r["birth_id"], r["death_id"], r["birth"], r["death"]) for r in C.cobordism(flagged(points)).collect())
     alone = []
     for k in (0, 1):
-        alone += [(r["sample"], r["birth_id"], r["death_id"], r["birth"], r["death"]) for r in T.cobordism(flagged(points.where(F.col("sample") == k))).collect()]
+        alone += [(r["sample"], r["birth_id"], r["death_id"], r["birth"], r["death"]) for r in C.cobordism(flagged(points.where(F.col("sample") == k))).collect()]
     assert both == sorted(alone) and both
 
 
@@ -172,3 +174,85 @@ def test_h0_widens_its_reach_until_one_class_is_left(spark):
     points = spark.createDataFrame(rows, "sample int, pid long, x double, y double, z double, w double")
     near, far = (sorted(map(str, M.h0_of_points(points, r).collect())) for r in (0.3, 1000.0))
     assert near == far and sum("inf" in x for x in near) == 3
+
+
+def test_chunked_persistence_is_the_kernels(spark):
+    points = frame(spark, *cloud(40, 21), 0).union(frame(spark, *cloud(25, 22), 2))
+    simplices = T.alpha_complex(points).cache()
+
+    def rows(df):
+        return sorted((r["sample"], r["dim"], r["birth_simplex"], r["death_simplex"], r["birth"], r["death"]) for r in df.collect())
+
+    plain = rows(T.persistence(simplices))
+    assert len({r[1] for r in plain}) == 3
+    for chunk in (50, 1 << 13):
+        found = z2.persistence(simplices, chunk=chunk).cache()
+        assert rows(found) == plain
+        for r in T.representative_cycles(found, simplices).collect():
+            assert (np.bincount([v for e in r["edges"] for v in e]) % 2 == 0).all()
+
+
+def test_products_and_dense_columns(spark):
+    rng = np.random.default_rng(0)
+    left, right = rng.integers(0, 2, (6, 5)), rng.integers(0, 2, (5, 7))
+
+    def rows(m):
+        return spark.createDataFrame([(int(c), int(r)) for r, c in zip(*np.nonzero(m), strict=True)], "col long, row long")
+
+    found = z2.product(rows(left), rows(right))
+    want = left @ right % 2
+    assert {(r["row"], r["col"]) for r in found.collect()} == {(int(r), int(c)) for r, c in zip(*np.nonzero(want), strict=True)}
+    assert {r["col"]: r["cells"] for r in z2.dense(found, 6).collect()} == {c: want[:, c].tolist() for c in range(7) if want[:, c].any()}
+
+
+def plain_phi(rows, a, b):
+    """Columns [(simplex, rows)] of phi from plain reductions; rows: (sid, dim, verts, value); a and b: vertices."""
+    rows = sorted(rows, key=lambda r: (r[3], r[1], r[0]))
+    verts = [tuple(sorted(r[2])) for r in rows]
+    kept = []
+    for part in (a, b):
+        inside = [set(v) <= part for v in verts]
+        order = sorted(range(len(verts)), key=lambda j: (not inside[j], j))
+        rank = [order.index(j) for j in range(len(verts))]
+        r, v, _ = T.reduce_columns(T.boundaries(verts), rank, with_v=True)
+        state = [None if not c else inside[max(c, key=rank.__getitem__)] for c in r]
+        kept.append((state, [sorted(rows[i][0] for i in c) for c in v]))
+    out = []
+    for sid, j in sorted((r[0], j) for j, r in enumerate(rows)):
+        (sa, va), (sb, vb) = kept
+        if sa[j] is False or sb[j] is False:
+            continue
+        columns = [va[j]] if sb[j] is None else [va[j], vb[j]] if verts[j][0] in a else [vb[j], va[j]]
+        out += [(sid, c) for c in columns]
+    return out
+
+
+def test_phi_and_cobordism_against_plain_reductions(spark):
+    p, w = cloud(26, 31)
+    points = frame(spark, p, w)
+    simplices = T.alpha_complex(points).cache()
+    a, b = {int(i) for i in np.flatnonzero(p[:, 2] > 0.6)}, {int(i) for i in np.flatnonzero(p[:, 2] < 0.4)}
+    for name, part in (("in_a", a), ("in_b", b)):
+        sub = points.select("sample", "pid", F.col("pid").isin(list(part)).alias("sub"))
+        flagged = T.in_subcomplex(simplices if name == "in_a" else flagged, sub).withColumnRenamed("in_sub", name)
+    flagged = flagged.cache()
+    plain = plain_phi([(r["sid"], r["dim"], r["verts"], r["value"]) for r in simplices.collect()], a, b)
+    of = lambda flag: C.image_decomposition(flagged.withColumn("in_sub", F.col(flag)))
+    got = {}
+    for r in C.phi_columns(flagged, of("in_a"), of("in_b")).collect():
+        got.setdefault((r["simplex"], r["ord"]), []).append(r["row"])
+    twice, want = {}, {}
+    for sid, rows in plain:
+        want[sid, twice.get(sid, 0)] = rows
+        twice[sid] = twice.get(sid, 0) + 1
+    assert {k: sorted(v) for k, v in got.items()} == want and 2 in twice.values()
+    reduced, _, _ = T.reduce_columns([set(c) for _, c in plain])
+    lows = {}
+    for (sid, _), col in zip(plain, reduced, strict=True):
+        lows.setdefault(sid, []).append(max(col) if col else None)
+    kernel = {f: {r["birth_simplex"] for r in T.kernel_image_cokernel(flagged.withColumn("in_sub", F.expr(f))).where("kind = 'kernel' and dim <= 1").collect()} for f in ("in_a", "in_b", "in_a or in_b")}
+    new = kernel["in_a or in_b"] - kernel["in_a"] - kernel["in_b"]
+    ends = {x[1]: sid for sid, x in lows.items() if len(x) == 2 and x[1] in new}
+    want = {(i, ends.get(i, D.ESSENTIAL)) for i in new}
+    for chunk in (16, 1 << 13):
+        assert {(r["birth_id"], r["death_id"]) for r in C.cobordism(flagged, chunk=chunk).collect()} == want and want

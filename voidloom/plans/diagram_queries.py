@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cobordism as C
 from ..operators import diagrams as D
 from ..operators import points as P
 from ..operators import topology as T
+from ..operators import z2
 from ..operators.merge_tree import h0_of_points
 from ..operators.scan import numbered
 from ..session import checkpoint
-from ..sources.tables import DIAGRAM_SQL, RADII, embedding_points, lineitem_diagram, table
+from ..sources.tables import DIAGRAM_SQL, POINTS_SQL, RADII, embedding_points, lineitem_diagram, table
 from .registry import query
 
 KEYS = ["l_returnflag", "l_linestatus"]
@@ -118,9 +120,9 @@ TOUCH_SQL = "CASE WHEN d > 0 AND (d * d + wa - wb) / (2 * d) BETWEEN 0 AND d THE
 _WAYS = ", ".join(f"m{i + 1} AS MATERIALIZED (SELECT p.s, p.a, q.b, min(greatest(p.v, q.v)) AS v FROM m{i} p JOIN m{i} q ON q.s = p.s AND q.a = p.b GROUP BY ALL)" for i in range(9))
 
 
-@query(f"""WITH {POINTS_SQL}, both AS (SELECT a.label AS s, a.pid AS a, b.pid AS b, a.w AS wa, b.w AS wb, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS d
+@query(f"""WITH {POINTS_SQL}, touch AS (SELECT a.label AS s, a.pid AS a, b.pid AS b, a.w AS wa, b.w AS wb, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS d
   FROM pts a JOIN pts b ON a.label = b.label AND a.pid < b.pid),
-e AS (SELECT s, a, b, {TOUCH_SQL} AS v FROM both),
+e AS (SELECT s, a, b, {TOUCH_SQL} AS v FROM touch),
 m0 AS MATERIALIZED (SELECT * FROM e UNION ALL SELECT s, b, a, v FROM e UNION ALL SELECT label, pid, pid, -w FROM pts), {_WAYS},
 ends AS (SELECT p.label AS s, p.pid, min(v) AS death FROM pts p JOIN m9 ON s = p.label AND a = p.pid JOIN pts o ON o.label = s AND o.pid = b AND (o.w > p.w OR o.w = p.w AND o.pid < p.pid) GROUP BY ALL)
 SELECT CAST(p.label AS INTEGER) AS sample, p.pid, round(-w, 6) AS birth, round(coalesce(death, 'inf'::DOUBLE), 6) AS death
@@ -180,4 +182,26 @@ def cobordism_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = pts.select("sample", "pid", (F.col("z") >= F.col("upper")).alias("sub"))
     bottom = pts.select("sample", "pid", ((F.col("z") < F.col("upper")) & (F.col("z") <= F.col("lower"))).alias("sub"))
     flagged = T.in_subcomplex(simplices, top).withColumnRenamed("in_sub", "in_a")
-    return T.cobordism(T.in_subcomplex(flagged, bottom).withColumnRenamed("in_sub", "in_b"))
+    return C.cobordism(T.in_subcomplex(flagged, bottom).withColumnRenamed("in_sub", "in_b"))
+
+
+@query("""SELECT l_orderkey AS col, s_nationkey AS "row" FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL HAVING count(*) % 2 = 1""")
+def z2_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by suppliers times suppliers by nations, over Z/2."""
+    orders = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("col"), F.col("l_suppkey").alias("row")).distinct()
+    return z2.product(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("col"), F.col("s_nationkey").alias("row")), orders)
+
+
+@query("""WITH m AS (SELECT l_orderkey AS col, s_nationkey AS r FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem) JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT col, array_to_string(list_transform(range(25), lambda i: CASE WHEN list_contains(list(r), i) THEN 1 ELSE 0 END), '') AS cells FROM m GROUP BY col""")
+def z2_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same columns as zeros and ones."""
+    rows = z2_product(spark, sf_dir).withColumn("row", F.col("row").cast("long"))
+    return z2.dense(rows, 25).select("col", F.array_join(F.transform("cells", lambda c: c.cast("string")), "").alias("cells"))
+
+
+@query()
+def reduced_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as columns of their suppliers, reduced: each order's low. A supplier is the low of one order at most."""
+    orders = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("col"), F.col("l_suppkey").alias("row")).distinct()
+    return z2.lows(z2.reduce(orders, chunk=1 << 13))
