@@ -107,10 +107,11 @@ def geodesics(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> Dat
     front = best
     for _ in range(rounds):
         step = front.join(e, front["node"] == e["u"]).select("source", F.col("v").alias("node"), (F.col("d") + F.col("length")).alias("d"), F.col("u").alias("pred"))
-        both = best.withColumn("new", F.lit(0)).union(step.withColumn("new", F.lit(1)))
-        merged = checkpoint(both.groupBy("source", "node").agg(F.min(F.struct("d", "new", "pred")).alias("m")).select("source", "node", "m.d", "m.pred", "m.new"))
+        both = best.withColumn("was", F.col("d")).union(step.withColumn("was", F.lit(None).cast("double")))
+        least = both.groupBy("source", "node").agg(F.min(F.struct("d", "pred")).alias("m"), F.min("was").alias("was"))
+        merged = checkpoint(least.select("source", "node", "m.d", "m.pred", (F.col("was").isNull() | (F.col("m.d") < F.col("was"))).alias("new")))
         best = merged.select("source", "node", "d", "pred")
-        front = merged.where("new = 1").select("source", "node", "d", "pred")
+        front = merged.where("new").select("source", "node", "d", "pred")
         if not front.limit(1).count():
             return best
     raise RuntimeError(f"distances did not settle in {rounds} rounds")
@@ -288,13 +289,14 @@ def tunnel_sections(found: DataFrame, unit_area: float, radius: float) -> DataFr
     return found.withColumn("sections", F.ceil(F.col("narrowest") * unit_area / (3.141592653589793 * radius**2)))
 
 
-def random_walks(rows: DataFrame, starts: DataFrame, walks: int, seed: int, stop: DataFrame, most: int = 100_000) -> DataFrame:
+def random_walks(rows: DataFrame, starts: DataFrame, walks: int, seed: int, stop: DataFrame, most: int = 100_000, send_rows: int = 1 << 20) -> DataFrame:
     """walk, path, ended: Markov walks from a uniform start until a node of ``stop``; each walk has a seed of its own.
 
     Walks that reach a node without transitions, or ``most`` nodes, are kept with ``ended`` false.
 
-    ``rows``: src, dst, p. All walks take a step at a time in a join with the transition rows, so neither walks nor
-    transitions have to fit into one task.
+    ``rows``: src, dst, p. Up to ``send_rows`` transitions go to every task, which takes its walks 1,024 steps at a time; beyond
+    that all walks take a step at a time in a join with the transition rows, so neither walks nor transitions have to fit
+    into one task. Draws are hashes of seed, walk and step, so both give the same walks.
     """
     w = Window.partitionBy("src").orderBy("dst")
     spans = checkpoint(rows.withColumn("hi", F.sum("p").over(w)).withColumn("lo", F.col("hi") - F.col("p")).select("src", "dst", "lo", "hi"))
@@ -308,12 +310,41 @@ def random_walks(rows: DataFrame, starts: DataFrame, walks: int, seed: int, stop
     ends = stop.select("node", F.lit(True).alias("end")).distinct()
     at = spark.range(walks).select(F.col("id").cast("int").alias("walk")).withColumn("i", F.floor(draw(F.lit(0)) * n).cast("int"))
     at = at.join(first, "i").join(ends, "node", "left").select("walk", "node", F.array("node").alias("path"), F.coalesce("end", F.lit(False)).alias("ended"), F.lit(False).alias("stuck"))
-    for begin in range(1, most, 8):
-        for step in range(begin, min(begin + 8, most)):  # eight steps between checkpoints
-            moved = at.withColumn("u", draw(F.lit(step))).join(spans, ~F.col("ended") & ~F.col("stuck") & (F.col("node") == F.col("src")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")), "left")
-            path = F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst")))
-            moved = moved.select("walk", F.coalesce("dst", "node").alias("node"), path.alias("path"), (~F.col("ended") & F.col("dst").isNull()).alias("stuck"))
-            at = moved.join(ends, "node", "left").select("walk", "node", "path", F.coalesce("end", F.lit(False)).alias("ended"), "stuck")
+    sent = None
+    if spans.count() <= send_rows:
+        table, last = spans.orderBy("src", "dst").toPandas(), set(stop.join(spans.select(F.col("dst").alias("node")), "node", "left_semi").distinct().toPandas()["node"])
+        sent = spark.sparkContext.broadcast(({k: (g["dst"].to_numpy(), g["lo"].to_numpy(), g["hi"].to_numpy()) for k, g in table.groupby("src")}, last))
+
+    def walk_on(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hops, last = sent.value
+        for f in frames:
+            out = []
+            for walk, node, path, ended, stuck, draws in zip(*(f[c] for c in ("walk", "node", "path", "ended", "stuck", "draws")), strict=True):
+                path = list(path)
+                for u in draws:
+                    if ended or stuck:
+                        break
+                    dst, lo, hi = hops.get(node, (np.zeros(0, np.int64), np.zeros(0), np.zeros(0)))
+                    hit = np.flatnonzero((u >= lo) & (u < hi))
+                    stuck = not len(hit)
+                    if not stuck:
+                        node = int(dst[hit[0]])
+                        path.append(node)
+                        ended = node in last
+                out.append((walk, node, path, ended, stuck))
+            yield pd.DataFrame(out, columns=["walk", "node", "path", "ended", "stuck"])
+
+    block = 1024 if sent else 8  # steps between checkpoints
+    for begin in range(1, most, block):
+        if sent:
+            draws = F.transform(F.sequence(F.lit(begin), F.lit(min(begin + block, most) - 1)), lambda step: draw(step.cast("int")))
+            at = at.withColumn("draws", draws).mapInPandas(walk_on, at.schema)
+        else:
+            for step in range(begin, min(begin + block, most)):
+                moved = at.withColumn("u", draw(F.lit(step))).join(spans, ~F.col("ended") & ~F.col("stuck") & (F.col("node") == F.col("src")) & (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")), "left")
+                path = F.when(F.col("dst").isNull(), F.col("path")).otherwise(F.concat("path", F.array("dst")))
+                moved = moved.select("walk", F.coalesce("dst", "node").alias("node"), path.alias("path"), (~F.col("ended") & F.col("dst").isNull()).alias("stuck"))
+                at = moved.join(ends, "node", "left").select("walk", "node", "path", F.coalesce("end", F.lit(False)).alias("ended"), "stuck")
         at = checkpoint(at)
         if not at.where("not ended and not stuck").limit(1).count():
             break

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import drop_repeats, steps
+from ..session import checkpoint
 
 Edge = tuple[int, int]
 
@@ -159,6 +160,69 @@ def shorten(paths: DataFrame, ways: DataFrame, triangles: DataFrame) -> DataFram
     return met.join(bound, "path_id", "left").select("path_id", F.when(F.coalesce(shorter, F.lit(False)), F.col("way")).otherwise(F.col("path")).alias("path"))
 
 
+def edge_marks(edges: DataFrame, triangles: DataFrame) -> DataFrame:
+    """a, b, mark: numbers of edges whose sum (bitwise, odd times) over a loop is zero where the loop bounds triangles.
+
+    The mark hashes the edge's normal form, which is linear, so equal sums mean equal forms but for one chance in 2^64.
+    """
+    single = edges.select(F.struct("a", "b").alias("path_id"), F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v"))).alias("edges"))
+    forms = normal_forms(single, triangles).select("path_id", F.explode_outer("form").alias("e"))
+    hashed = forms.groupBy("path_id").agg(F.bit_xor(F.when(F.col("e").isNotNull(), F.xxhash64("e"))).alias("mark"))
+    return hashed.select("path_id.a", "path_id.b", F.coalesce("mark", F.lit(0)).cast("long").alias("mark"))
+
+
+def shorten_parts(paths: DataFrame, ways: DataFrame, edges: DataFrame, triangles: DataFrame, rounds: int = 100) -> DataFrame:
+    """path_id, path: parts of a path give way to the geodesic between their ends where both are homologous and it is shorter.
+
+    ``edges`` (a < b, length) hold every step of the paths and of the ways (source, node, d, path); ``triangles`` (a, b, c) fill loops. Windows
+    from every place over 2, 4, 8, ... steps and to the end are rows; prefix sums of lengths and marks tell what a window gains and
+    whether its loop bounds. Of windows that overlap the one with the largest gain wins (ties: the first, the longest), and rounds go on
+    until no window gains, so a path never grows and keeps its ends and its class.
+    """
+    kind = paths.schema["path_id"].dataType.simpleString()
+    marks = checkpoint(edges.join(edge_marks(edges, triangles), ["a", "b"]))
+    both = marks.select(F.col("a").alias("u"), F.col("b").alias("v"), "length", "mark")
+    both = checkpoint(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"), "length", "mark")))
+
+    def measured(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """keys, pos, node, length and mark of the path up to each place."""
+        flat = rows.select(*keys, F.posexplode("path").alias("pos", "node"))
+        w = Window.partitionBy(*keys).orderBy("pos")
+        steps_ = flat.withColumn("u", F.lag("node").over(w)).join(both.withColumnRenamed("v", "node"), ["u", "node"], "left")
+        upto = w.rowsBetween(Window.unboundedPreceding, 0)
+        return steps_.select(*keys, "pos", "node", F.coalesce(F.sum("length").over(upto), F.lit(0.0)).alias("length"), F.coalesce(F.bit_xor("mark").over(upto), F.lit(0)).alias("mark"))
+
+    ends = measured(ways.select("source", F.col("node").alias("to"), "path"), ["source", "to"])
+    known = ends.groupBy("source", "to").agg(F.max_by("mark", "pos").alias("way_mark"))
+    known = checkpoint(ways.select("source", F.col("node").alias("to"), "d", F.col("path").alias("way")).join(known, ["source", "to"]))
+
+    def replace(f: pd.DataFrame) -> pd.DataFrame:
+        path, taken = list(f["path"].iloc[0]), []
+        for r in f.sort_values(["gain", "i", "j"], ascending=[False, True, False]).itertuples():
+            if all(r.j <= i or r.i >= j for i, j, _ in taken):
+                taken.append((r.i, r.j, list(r.way)))
+        for i, j, way in sorted(taken, reverse=True):
+            path[i : j + 1] = way
+        return pd.DataFrame({"path_id": [f["path_id"].iloc[0]], "path": [path]})
+
+    left, done = checkpoint(paths.select("path_id", F.col("path").cast("array<long>").alias("path"))), None
+    for _ in range(rounds):
+        at = checkpoint(measured(left, ["path_id"]))
+        last = at.groupBy("path_id").agg(F.max("pos").alias("end"))
+        spans = F.array(*[F.least(F.col("pos") + 2**k, F.col("end")) for k in range(1, 31)])
+        begin = at.join(last, "path_id").select("path_id", F.col("pos").alias("i"), F.col("node").alias("source"), F.col("length").alias("l0"), F.col("mark").alias("m0"), F.explode(F.array_distinct(spans)).alias("j")).where("j > i + 1")
+        windows = begin.join(at.select("path_id", F.col("pos").alias("j"), F.col("node").alias("to"), F.col("length").alias("l1"), F.col("mark").alias("m1")), ["path_id", "j"])
+        met = windows.join(known, ["source", "to"]).withColumn("gain", F.col("l1") - F.col("l0") - F.col("d"))
+        good = checkpoint(met.where((F.col("gain") > 1e-9) & (F.col("m0").bitwiseXOR(F.col("m1")) == F.col("way_mark"))).select("path_id", "i", "j", "gain", "way"))
+        moved = checkpoint(good.join(left, "path_id").groupBy("path_id").applyInPandas(replace, f"path_id {kind}, path array<long>"))
+        still = left.join(moved.select("path_id"), "path_id", "left_anti")
+        done = still if done is None else done.unionByName(still)
+        if moved.isEmpty():
+            return done.select("path_id", drop_repeats(F.col("path")).alias("path"))
+        left = moved
+    raise RuntimeError(f"paths still grow shorter after {rounds} rounds")
+
+
 def smooth(paths: DataFrame, ways: DataFrame) -> DataFrame:
     """path_id, path: each hop replaced by its way (source, node, path) where there is one."""
     hops = paths.select("path_id", F.posexplode(steps_of(F.col("path"))).alias("pos", "h")).select("path_id", "pos", "h.a", "h.b")

@@ -72,7 +72,7 @@ def auto_slab(points: DataFrame, thickness: float = 0.1, keys: Sequence[str] = (
     return joined.withColumn("sub", in_slab(F.col("z"), F.col("lower"), F.col("upper")))
 
 
-def pairs_within(a: DataFrame, b: DataFrame, cutoff: float, box: Sequence[float | None] = (None, None, None), keys: Sequence[str] = ()) -> DataFrame:
+def pairs_within(a: DataFrame, b: DataFrame, cutoff: float, box: Sequence[float | None] = (None, None, None), keys: Sequence[str] = (), axes: Sequence[str] = AXES) -> DataFrame:
     """Rows of ``a`` (columns ``a_*``) with rows of ``b`` (``b_*``) at distance <= cutoff, as ``d``.
 
     Space is cut into cells of at least the cutoff; each point of ``b`` goes to the 27 cells around its own (through
@@ -87,19 +87,19 @@ def pairs_within(a: DataFrame, b: DataFrame, cutoff: float, box: Sequence[float
             i = F.floor(F.col(axis) / w).cast("int")
             return F.least(i, F.lit(c - 1)) if c else i
 
-        return df.withColumns({f"c{axis}": one(axis, w, c) for axis, w, c in zip(AXES, width, cells, strict=True)})
+        return df.withColumns({f"c{axis}": one(axis, w, c) for axis, w, c in zip(axes, width, cells, strict=True)})
 
-    left = index(a).select(*[F.col(c).alias(f"a_{c}") for c in [*a.columns, "cx", "cy", "cz"]])
+    left = index(a).select(*[F.col(c).alias(f"a_{c}") for c in [*a.columns, *[f"c{x}" for x in axes]]])
     right = index(b)
-    for axis, c in zip(AXES, cells, strict=True):
+    for axis, c in zip(axes, cells, strict=True):
         around = F.array(*[F.col(f"c{axis}") + i for i in (-1, 0, 1)])
         if c:
             around = F.array_distinct(F.array(*[F.pmod(F.col(f"c{axis}") + i, F.lit(c)) for i in (-1, 0, 1)]))
         right = right.withColumn(f"c{axis}", F.explode(around))
     right = right.select(*[F.col(c).alias(f"b_{c}") for c in right.columns])
-    on = [F.col(f"a_c{x}") == F.col(f"b_c{x}") for x in AXES] + [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
-    d = distance([F.col(f"a_{x}") for x in AXES], [F.col(f"b_{x}") for x in AXES], box)
-    cut = [f"{s}_c{x}" for s in "ab" for x in AXES]
+    on = [F.col(f"a_c{x}") == F.col(f"b_c{x}") for x in axes] + [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
+    d = distance([F.col(f"a_{x}") for x in axes], [F.col(f"b_{x}") for x in axes], box)
+    cut = [f"{s}_c{x}" for s in "ab" for x in axes]
     return left.join(right, on).withColumn("d", d).where(F.col("d") <= cutoff).drop(*cut)
 
 

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, axis_gap, distance, wrap
+from ..session import checkpoint
+from .points import pairs_within
 
 
 def every_nth(frames: DataFrame, step: int, start: int = 0, stop: int | None = None, frame: str = "frame") -> DataFrame:
@@ -67,14 +69,51 @@ def always_inside(frames: DataFrame, box: Sequence[float], axes: Sequence[str] =
     return frames.join(good, atom, "left_semi")
 
 
-def range_travelled(frames: DataFrame, box: Sequence[float], stride: int, axes: Sequence[str] = AXES, atom: str = "atom", frame: str = "frame") -> DataFrame:
-    """Largest minimum-image distance between two of an atom's positions (every ``stride``-th frame) over the box diagonal."""
-    kept = every_nth(frames, stride, frame=frame).select(atom, frame, *axes)
-    a = kept.select(F.col(atom), F.col(frame).alias("f"), *[F.col(x).alias(f"a_{x}") for x in axes])
-    b = kept.select(F.col(atom), F.col(frame).alias("g"), *[F.col(x).alias(f"b_{x}") for x in axes])
-    d = distance([F.col(f"a_{x}") for x in axes], [F.col(f"b_{x}") for x in axes], box)
+def range_travelled(frames: DataFrame, box: Sequence[float], stride: int, axes: Sequence[str] = AXES, atom: str = "atom", frame: str = "frame", depth: int = 6, bits: int = 2) -> DataFrame:
+    """Largest minimum-image distance between two of an atom's positions (every ``stride``-th frame) over the box diagonal.
+
+    Branch and bound over cells: each cell keeps one of its points, whose distances bound the atom's result from below; a pair
+    of cells goes on to cells of a quarter (2^-``bits``) only while its points could be farther apart than that. Positions have to be wrapped.
+    """
+    kept = every_nth(frames, stride, frame=frame).select(atom, *axes).distinct()
     diagonal = float(np.sqrt((np.array(box, float) ** 2).sum()))
-    return a.join(b, atom).where("f <= g").groupBy(atom).agg((F.max(d) / diagonal).alias("travelled"))
+
+    def cells(level: int, side: str) -> DataFrame:
+        """A row a cell: its indices on this level and the next coarser one, and one of its points."""
+        at = kept.withColumns({f"c_{x}": F.floor(F.col(x) * 2**level / n).cast("int") for x, n in zip(axes, box, strict=True)})
+        one = at.groupBy(atom, *[f"c_{x}" for x in axes]).agg(F.min(F.struct(*axes)).alias("p"))
+        up = [F.shiftright(f"c_{x}", bits).alias(f"{side}u_{x}") for x in axes]
+        return one.select(atom, *[F.col(f"c_{x}").alias(f"{side}c_{x}") for x in axes], *up, F.col("p").alias(f"{side}p"))
+
+    def farthest(i: Column, j: Column, level: int, n: float) -> Column:
+        """Largest gap along an axis of points in two cells; of a whole circle at most its half."""
+        apart = F.abs(i - j)
+        steps = F.least(apart, F.lit(2**level) - apart)
+        return F.least((steps + 1) * (n / 2**level), F.lit(n / 2))
+
+    pairs = kept.select(atom).distinct().select(atom, *[F.lit(0).alias(f"{s}u_{x}") for s in "ab" for x in axes])
+    for level in range(bits, depth + 1, bits):
+        a, b = cells(level, "a"), cells(level, "b")
+        met = pairs.join(a, [atom, *[f"au_{x}" for x in axes]]).join(b, [atom, *[f"bu_{x}" for x in axes]])
+        same = F.array(*[f"au_{x}" for x in axes]) == F.array(*[f"bu_{x}" for x in axes])  # each pair once
+        met = met.where(~same | (F.struct(*[F.col(f"ac_{x}").alias(x) for x in axes]) <= F.struct(*[F.col(f"bc_{x}").alias(x) for x in axes])))
+        low = distance([F.col(f"ap.{x}") for x in axes], [F.col(f"bp.{x}") for x in axes], box)
+        high = F.sqrt(sum((farthest(F.col(f"ac_{x}"), F.col(f"bc_{x}"), level, n) ** 2 for x, n in zip(axes, box, strict=True)), F.lit(0.0)))
+        found = checkpoint(met.select(atom, *[f"{s}c_{x}" for s in "ab" for x in axes], low.alias("low"), high.alias("high")))
+        best = found.groupBy(atom).agg(F.max("low").alias("best"))
+        left = found.join(best, atom).where(F.col("high") > F.col("best"))  # only these can hold a farther pair
+        ends = best if level == bits else ends.unionByName(best).groupBy(atom).agg(F.max("best").alias("best"))
+        pairs = left.select(atom, *[F.col(f"{s}c_{x}").alias(f"{s}u_{x}") for s in "ab" for x in axes])
+        if level + bits > depth or pairs.isEmpty():
+            break
+    pairs = checkpoint(pairs)
+    if not pairs.isEmpty():  # what the finest cells leave open is compared point by point
+        at = kept.withColumns({f"u_{x}": F.floor(F.col(x) * 2**level / n).cast("int") for x, n in zip(axes, box, strict=True)})
+        sides = [at.select(atom, *[F.col(f"u_{x}").alias(f"{s}u_{x}") for x in axes], *[F.col(x).alias(f"{s}_{x}") for x in axes]) for s in "ab"]
+        met = pairs.join(sides[0], [atom, *[f"au_{x}" for x in axes]]).join(sides[1], [atom, *[f"bu_{x}" for x in axes]])
+        d = distance([F.col(f"a_{x}") for x in axes], [F.col(f"b_{x}") for x in axes], box)
+        ends = ends.unionByName(met.groupBy(atom).agg(F.max(d).alias("best"))).groupBy(atom).agg(F.max("best").alias("best"))
+    return ends.select(atom, (F.col("best") / diagonal).alias("travelled"))
 
 
 def spread(frames: DataFrame, means: DataFrame, box: Sequence[float], axes: Sequence[str] = AXES, atom: str = "atom") -> DataFrame:
@@ -89,25 +128,37 @@ def spread(frames: DataFrame, means: DataFrame, box: Sequence[float], axes: Sequ
     return frames.join(m, atom).groupBy(atom).agg(F.avg(F.when(near, square)).alias("spread"))
 
 
-def ion_shift(ions: DataFrame, backbone: DataFrame, mean_backbone: DataFrame, box: Sequence[float], axes: Sequence[str] = AXES) -> DataFrame:
+def ion_shift(ions: DataFrame, backbone: DataFrame, mean_backbone: DataFrame, box: Sequence[float], axes: Sequence[str] = AXES, reach: float = 8.0) -> DataFrame:
     """Ions moved back by the backbone's displacement around them: weights ``exp(-d^2)`` of the distance to each atom.
 
-    ions and backbone: atom, frame, axes; mean_backbone: atom, axes. All backbone atoms of the frame count: weights are
-    normalised, so the nearest atom leads at any distance, and they are taken relative to its weight, which cannot
-    vanish. Each frame is a join key.
+    ions and backbone: atom, frame, axes (wrapped); mean_backbone: atom, axes. Weights are taken relative to the nearest atom's,
+    which leads at any distance; an atom whose square is greater by 40 adds less than a double holds. So ions meet what is
+    within ``reach`` of them by cells, those whose nearest atom is too far for that go on with twice the reach.
     """
-    here = [F.col(f"i_{a}") for a in axes]
-    i = ions.select(F.col("atom").alias("ion"), "frame", *[F.col(a).alias(f"i_{a}") for a in axes])
-    b = backbone.select("atom", "frame", *[F.col(a).alias(f"b_{a}") for a in axes]).join(mean_backbone.select("atom", *[F.col(a).alias(f"m_{a}") for a in axes]), "atom")
-    pairs = i.join(b, "frame").withColumn("d", distance(here, [F.col(f"b_{a}") for a in axes], box))
-    square = F.col("d") * F.col("d")
-    pairs = pairs.withColumn("weight", F.exp(F.min(square).over(Window.partitionBy("ion", "frame", *here)) - square))
-    weight = F.col("weight")
-    # displacement of the backbone atom, through the boundary
-    moved = [(F.pmod(F.col(f"b_{a}") - F.col(f"m_{a}") + n / 2, F.lit(float(n))) - n / 2) for a, n in zip(axes, box, strict=True)]
-    summed = pairs.groupBy("ion", "frame", *[f"i_{a}" for a in axes]).agg(F.sum(weight).alias("w"), *[F.sum(weight * m).alias(f"s_{a}") for a, m in zip(axes, moved, strict=True)])
+    farthest = float(np.sqrt((np.array(box, float) ** 2).sum())) / 2 * (1 + 1e-9)
+    names = ["ion", "frame", *[f"i_{a}" for a in axes]]
+    left = ions.select(F.col("atom").alias("ion"), "frame", *axes)
+    moves = mean_backbone.select("atom", *[F.col(a).alias(f"m_{a}") for a in axes])
+    b = backbone.select("atom", "frame", *axes).join(moves, "atom")
+    found = None
+    while True:
+        near = pairs_within(left, b, reach, box, ["frame"], axes)
+        near = near.select(F.col("a_ion").alias("ion"), F.col("a_frame").alias("frame"), *[F.col(f"a_{a}").alias(f"i_{a}") for a in axes], *[F.col(f"b_{p}{a}").alias(f"{q}_{a}") for p, q in (("", "b"), ("m_", "m")) for a in axes], (F.col("d") * F.col("d")).alias("square"))
+        nearest = near.groupBy(*names).agg(F.min("square").alias("least"))
+        settled = nearest if reach >= farthest else nearest.where(F.col("least") + 40 <= reach * reach)
+        pairs = near.join(settled, names)
+        weight = F.exp(F.col("least") - F.col("square"))
+        # displacement of the backbone atom, through the boundary
+        moved = [(F.pmod(F.col(f"b_{a}") - F.col(f"m_{a}") + n / 2, F.lit(float(n))) - n / 2) for a, n in zip(axes, box, strict=True)]
+        summed = checkpoint(pairs.groupBy(*names).agg(F.sum(weight).alias("w"), *[F.sum(weight * m).alias(f"s_{a}") for a, m in zip(axes, moved, strict=True)]))
+        found = summed if found is None else found.unionByName(summed)
+        done = summed.select("ion", "frame", *[F.col(f"i_{a}").alias(a) for a in axes])
+        left = checkpoint(left.join(done, ["ion", "frame", *axes], "left_anti"))
+        if reach >= farthest or left.isEmpty():
+            break
+        reach = min(2 * reach, farthest)
     back = [wrap(F.col(f"i_{a}") - F.col(f"s_{a}") / F.col("w"), n).alias(a) for a, n in zip(axes, box, strict=True)]
-    return summed.select(F.col("ion").alias("atom"), "frame", *back)
+    return found.select(F.col("ion").alias("atom"), "frame", *back)
 
 
 def mean_volume(boxes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

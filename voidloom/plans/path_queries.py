@@ -109,24 +109,37 @@ def line_integrals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.line_integrals(ways, field, (1.0, 0.5, 0.25)).select("path_id", F.round("along", 6).alias("along"), F.round("push", 3).alias("push"))
 
 
-@query(f"""WITH RECURSIVE {STEPS_SQL}, g AS (SELECT DISTINCT src AS u, dst AS v FROM hops WHERE dst IS NOT NULL AND abs(src - dst) BETWEEN 1 AND 3), e AS (SELECT u, v FROM g UNION SELECT v, u FROM g),
-r(node, d) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT e.v, r.d + abs(e.u - e.v) FROM r JOIN e ON e.u = r.node WHERE r.d < 60)
-SELECT CAST(0 AS BIGINT) AS source, node, CAST(min(d) AS DOUBLE) AS d FROM r GROUP BY node""")
+#: Ways over all hops from the cells below 5, by rounds of relaxation: a way has at most as many hops as there are cells.
+WAYS_SQL = f"""{STEPS_SQL}, g AS (SELECT DISTINCT src AS u, dst AS v FROM hops WHERE dst IS NOT NULL AND src <> dst), e AS (SELECT u, v FROM g UNION SELECT v, u FROM g),
+r(source, node, d, n) AS (SELECT DISTINCT c, c, CAST(0 AS BIGINT), 0 FROM cells WHERE c < 5
+  UNION ALL (SELECT source, node, min(d) AS d, max(n) + 1 AS n FROM (SELECT source, node, d, n FROM r UNION ALL SELECT r.source, e.v, r.d + abs(e.u - e.v), r.n FROM r JOIN e ON e.u = r.node) WHERE n < 50 GROUP BY source, node)),
+ways AS (SELECT source, node, CAST(min(d) AS DOUBLE) AS d FROM r GROUP BY source, node)"""
+
+
+@query(f"WITH RECURSIVE {WAYS_SQL} SELECT * FROM ways")
 def geodesic_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ways(spark, sf_dir).select("source", "node", "d")
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b, length: the hops between different cells that some user makes."""
+    h = _hops(spark, sf_dir).where("src <> dst")
+    return checkpoint(h.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().withColumn("length", (F.col("b") - F.col("a")).cast("double")))
+
+
 def _ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = _hops(spark, sf_dir).where("abs(src - dst) between 1 and 3")
-    e = h.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    e = e.withColumn("length", (F.col("b") - F.col("a")).cast("double"))
-    return R.geodesics(e, spark.range(1).select(F.col("id").alias("node")))
+    """Ways from all cells below 5."""
+    sources = table(spark, sf_dir, "events").select(F.floor(F.col("value") / 10).cast("long").alias("node")).where("node < 5").distinct()
+    return R.geodesics(_cells(spark, sf_dir), sources)
 
 
-@query()
+@query(f"""WITH RECURSIVE {WAYS_SQL}, pred AS (SELECT w.source, w.node, min(e.u) AS p FROM ways w JOIN e ON e.v = w.node JOIN ways x ON x.source = w.source AND x.node = e.u
+  WHERE w.node <> w.source AND x.d + abs(e.u - e.v) = w.d AND x.d < w.d GROUP BY ALL),
+back(source, node, head, path) AS (SELECT source, node, node, CAST(node AS VARCHAR) FROM ways UNION ALL SELECT b.source, b.node, p.p, p.p || ',' || b.path FROM back b JOIN pred p ON p.source = b.source AND p.node = b.head)
+SELECT source, node, path FROM back WHERE head = source""")
 def geodesic_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     ways = _ways(spark, sf_dir)
-    return R.paths_to(ways, ways.select("source", "node"))
+    return R.paths_to(ways, ways.select("source", "node")).select("source", "node", F.array_join("path", ",").alias("path"))
 
 
 @query()
@@ -134,7 +147,20 @@ def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = checkpoint(_markov(spark, sf_dir))
     starts = rows.select(F.col("src").alias("node")).distinct().where("node < 5")
     stop = rows.select(F.col("dst").alias("node")).distinct().where("node > 10")
-    return R.random_walks(rows, starts, 50, 7, stop, 33)
+    return R.random_walks(rows, starts, 50, 7, stop)
+
+
+@query()
+def shortened_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' paths over cells, each part replaced by its geodesic where triangles of hops of up to six cells fill the loop."""
+    edges = _cells(spark, sf_dir)
+    near = edges.where("length <= 6").select("a", "b")
+    ab, bc, ac = (near.select(F.col("a").alias(p), F.col("b").alias(q)) for p, q in (("a", "b"), ("b", "c"), ("a", "c")))
+    triangles = checkpoint(ab.join(bc, "b").join(ac, ["a", "c"]).select("a", "b", "c"))
+    ways = checkpoint(R.geodesics(edges, edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()))
+    ways = R.paths_to(ways, ways.select("source", "node")).join(ways.select("source", "node", "d"), ["source", "node"])
+    paths = _paths(spark, sf_dir).select("path_id", P.drop_repeats(F.col("path")).alias("path"))
+    return H.shorten_parts(paths, ways, edges, triangles)
 
 
 def _grid_paths(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import linear as L
 from ..functions.geometry import AXES, distance, grid_index, in_slab, offsets, wrap
 from ..operators import points as P
 from ..sources.tables import BOX, POINTS_SQL, RADII, embedding_points, table
@@ -177,3 +178,40 @@ def affine_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {POINTS_SQL} SELECT pid, round(z, 6) AS x, round(x, 6) AS y, round(y, 6) AS z FROM pts")
 def axis_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.rotate_axes(embedding_points(spark, sf_dir)).select("pid", *[F.round(a, 6).alias(a) for a in AXES])
+
+
+#: Gram-Schmidt of three vectors a, b, c of each row of v: q, r and c3 / k are orthonormal.
+SCHMIDT_SQL = """one AS (SELECT *, sqrt(list_dot_product(a, a)) AS l FROM v), two AS (SELECT *, list_transform(a, lambda x: x / l) AS q FROM one),
+three AS (SELECT *, list_dot_product(q, b) AS qb, list_dot_product(q, c) AS qc FROM two),
+four AS (SELECT *, list_transform(range(1, 4), lambda i: b[i] - qb * q[i]) AS b2, list_transform(range(1, 4), lambda i: c[i] - qc * q[i]) AS c2 FROM three),
+five AS (SELECT *, sqrt(list_dot_product(b2, b2)) AS m FROM four), six AS (SELECT *, list_transform(b2, lambda x: x / m) AS r FROM five),
+seven AS (SELECT *, list_dot_product(r, c2) AS rc FROM six), eight AS (SELECT *, list_transform(range(1, 4), lambda i: c2[i] - rc * r[i]) AS c3 FROM seven),
+nine AS (SELECT *, sqrt(list_dot_product(c3, c3)) AS k FROM eight), ten AS (SELECT *, list_transform(c3, lambda x: x / k) AS p FROM nine)"""
+
+
+@query(f"""WITH v AS (SELECT vec_id AS pid, CAST(embedding[1:3] AS DOUBLE[]) AS a, CAST(embedding[4:6] AS DOUBLE[]) AS b, CAST(embedding[7:9] AS DOUBLE[]) AS c FROM embeddings), {SCHMIDT_SQL}
+SELECT pid, round(l, 6) AS l, round(qb, 6) AS ab, round(m, 6) AS m, round(qc, 6) AS ac, round(rc, 6) AS bc, round(k, 6) AS k, round(q[1], 6) AS q1, round(r[2], 6) AS q2, round(p[3], 6) AS q3 FROM ten""")
+def gram_schmidt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three vectors of each embedding, made orthonormal: the triangle R and the diagonal of Q."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), *[F.slice("embedding", 3 * i + 1, 3).cast("array<double>").alias(c) for i, c in enumerate("abc")])
+    made = L.gram_schmidt(e, ["a", "b", "c"])
+    cells = {"l": ("r_a", 0), "ab": ("r_b", 0), "m": ("r_b", 1), "ac": ("r_c", 0), "bc": ("r_c", 1), "k": ("r_c", 2), "q1": ("q_a", 0), "q2": ("q_b", 1), "q3": ("q_c", 2)}
+    return made.select("pid", *[F.round(F.col(c)[i], 6).alias(n) for n, (c, i) in cells.items()])
+
+
+@query("""WITH v AS (SELECT vec_id AS pid, CAST(embedding[1:3] AS DOUBLE[]) AS a FROM embeddings), d AS (SELECT pid, list_transform(a, lambda x: x / sqrt(list_dot_product(a, a))) AS u FROM v)
+SELECT pid, round(u[1], 6) AS x, round(u[2], 6) AS y, round(u[3], 6) AS z FROM d""")
+def sphere_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each point's direction, as a point on the unit sphere."""
+    u = L.unit(F.slice("embedding", 1, 3).cast("array<double>"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), u.alias("u")).select("pid", *[F.round(F.col("u")[i], 6).alias(a) for i, a in enumerate("xyz")])
+
+
+@query(f"""WITH v AS (SELECT vec_id AS pid, CAST(embedding[1:3] AS DOUBLE[]) AS a, [0.0, 1.0, 0.0]::DOUBLE[] AS b, [0.0, 0.0, 1.0]::DOUBLE[] AS c FROM embeddings), {SCHMIDT_SQL},
+signed AS (SELECT *, p[1] * (r[2] * q[3] - r[3] * q[2]) + p[2] * (r[3] * q[1] - r[1] * q[3]) + p[3] * (r[1] * q[2] - r[2] * q[1]) AS det FROM ten),
+turned AS (SELECT pid, CASE WHEN det < 0 THEN [p, q, r] ELSE [p, r, q] END AS t FROM signed)
+SELECT pid, {", ".join(f"round(t[{c + 1}][{r + 1}], 6) + 0.0 AS t{r}{c}" for r in range(3) for c in range(3))} FROM turned""")
+def matrix_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rotation that belongs to each point's direction."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pid"), L.unit(F.slice("embedding", 1, 3).cast("array<double>")).alias("u"))
+    return L.rotations(e, "u").select("pid", *[(F.round(F.col("rotation")[c][r], 6) + 0.0).alias(f"t{r}{c}") for r in range(3) for c in range(3)])
