@@ -230,3 +230,43 @@ def test_a_stream_of_frames_goes_on_where_it_stopped(spark, tmp_path):
     frames = spark.read.format("lammps-dump-text").load(str(source)).select(F.col("atom_id").cast("long").alias("atom"), F.col("frame_id").alias("frame"), "x", "y", "z")
     plain = {(r["atom"], r["frame"]): (r["x"], r["y"], r["z"]) for r in J.unwrap(frames, (4.0, 4.0, 4.0)).collect()}
     assert {(r["atom"], r["frame"]): (r["x"], r["y"], r["z"]) for r in got.collect()} == plain
+
+
+def test_diagram_files_have_names_numbers_and_a_zero_point(spark, tmp_path):
+    rows = [(0, "full", 0, -1.0, float("inf"), 3, 2**63 - 1), (0, "full", 0, -0.5, 0.25, 1, 9), (0, "kernel", 1, 0.5, 0.75, 7, 8), (4, "full", 2, 1.0, 2.0, 5, 6)]
+    diagrams = spark.createDataFrame(rows, "sample int, kind string, dim int, birth double, death double, birth_simplex long, death_simplex long")
+    names = sinks.write_diagram_files(diagrams, str(tmp_path), "run")
+    assert (tmp_path / "run_sample_0_PD_0.csv").read_text() == ",birth,death,birth simplex,death simplex\n0,-0.5,0.25,1,9\n1,-1.0,inf,3,9223372036854775807\n"
+    assert (tmp_path / "run_sample_0_kernel_PD_1.csv").read_text().count("\n") == 2
+    assert (tmp_path / "run_sample_4_PD_0.csv").read_text().count("\n") == 1 and (tmp_path / "run_sample_4_APF_0.csv").read_text() == ",mean age,lifetime\n0,0,0\n"
+    assert len(names) == 9 + 6 and not [p for p in tmp_path.iterdir() if p.is_dir()]
+
+
+def test_diagrams_of_a_published_sample(spark):
+    """Set STRUCTURE_SAMPLES to a folder with ``<name>.xyz``, ``<name>_sample_<s>_PD_<d>.csv`` and RADII ("H=0.1,C=0.2"): diagrams agree to 1e-9."""
+    import csv
+    import os
+    import re
+    from pathlib import Path
+
+    import numpy as np
+    import pytest
+
+    from voidloom.operators import topology as T
+
+    folder, radii = os.environ.get("STRUCTURE_SAMPLES"), os.environ.get("RADII", "")
+    if not folder:
+        pytest.skip("no folder with published diagrams is named")
+    weights = [(a, float(r)) for a, r in (x.split("=") for x in radii.split(","))]
+    settings = config.Structure(tuple(a for a, _ in weights), tuple(r for _, r in weights), (1, 1, 1), 0, 3, 1)
+    seen = 0
+    for file in sorted(Path(folder).glob("*_sample_*_PD_*.csv")):
+        stem, sample, dim = re.fullmatch(r"(.*)_sample_(\d+)_PD_(\d)\.csv", file.name).groups()
+        points = pipelines.sample_points(spark, f"{folder}/{stem}.xyz", "extxyz", settings).where(F.col("sample") == int(sample))
+        found = T.persistence(T.alpha_complex(points)).where(F.col("dim") == int(dim)).select("birth", "death").collect()
+        with file.open() as f:
+            told = np.array(sorted((float(r["birth"]), float(r["death"])) for r in csv.DictReader(f)))
+        mine = np.array(sorted((r["birth"], r["death"]) for r in found))
+        assert mine.shape == told.shape and np.allclose(mine[np.isfinite(mine)], told[np.isfinite(told)], atol=1e-9, rtol=0)
+        seen += 1
+    assert seen

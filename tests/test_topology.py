@@ -67,6 +67,10 @@ def test_diagrams_of_samples(spark):
         degree = np.bincount([v for e in r["edges"] for v in e])
         assert (degree % 2 == 0).all() and r["lifetime"] > 0
     assert T.neighbour_edges(cycles, simplices).count() >= cycles.count()
+    on = {(r["sample"], r["cycle_id"]): set(r["verts"]) for r in cycles.collect()}
+    for r in T.neighbour_cells(cycles, simplices).collect():
+        near = on[r["sample"], r["cycle_id"]]
+        assert near <= set(r["points"]) and all(near & set(e) for e in r["edges"]) and {v for e in r["edges"] for v in e} == set(r["points"])
 
 
 def rank_z2(columns):

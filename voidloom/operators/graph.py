@@ -96,25 +96,37 @@ def through(edges: DataFrame, first: DataFrame, last: DataFrame) -> DataFrame:
     return restricted(edges, on)
 
 
-def geodesics(edges: DataFrame, sources: DataFrame, rounds: int = 10_000) -> DataFrame:
+def geodesics(edges: DataFrame, sources: DataFrame, width: float | None = None, rounds: int = 10_000) -> DataFrame:
     """source, node, d, pred: shortest ways over undirected edges (a, b, length); equal ones by the smaller predecessor.
 
-    Bellman-Ford from all sources at once: only improved rows travel on.
+    All sources at once, by buckets of distances (``width``, or eight mean lengths): what is nearer than the bucket's end is relaxed until
+    nothing in it improves, is settled then, and is not written again, so rows are rewritten only while they are open.
     """
-    e = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "length")
+    e = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("length").cast("double").alias("length"))
     e = checkpoint(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "length")))
-    best = checkpoint(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("pred")).distinct())
-    front = best
+    width = width or 8 * (e.agg(F.avg("length")).first()[0] or 1.0) or 1.0
+    start = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("d"), F.lit(None).cast("long").alias("pred"), F.lit(True).alias("fresh"))
+    left, settled, parts = checkpoint(start.distinct()), None, 0
     for _ in range(rounds):
-        step = front.join(e, front["node"] == e["u"]).select("source", F.col("v").alias("node"), (F.col("d") + F.col("length")).alias("d"), F.col("u").alias("pred"))
-        both = best.withColumn("was", F.col("d")).union(step.withColumn("was", F.lit(None).cast("double")))
-        least = both.groupBy("source", "node").agg(F.min(F.struct("d", "pred")).alias("m"), F.min("was").alias("was"))
-        merged = checkpoint(least.select("source", "node", "m.d", "m.pred", (F.col("was").isNull() | (F.col("m.d") < F.col("was"))).alias("new")))
-        best = merged.select("source", "node", "d", "pred")
-        front = merged.where("new").select("source", "node", "d", "pred")
-        if not front.limit(1).count():
-            return best
-    raise RuntimeError(f"distances did not settle in {rounds} rounds")
+        low = left.agg(F.min("d")).first()[0]
+        if low is None:
+            return settled if settled is not None else left.drop("fresh")
+        limit = (low // width + 1) * width
+        while True:
+            front = left.where(F.col("fresh") & (F.col("d") < limit)).select("source", F.col("node").alias("u"), F.col("d").alias("du"))
+            if front.isEmpty():
+                break
+            step = front.join(e, "u").select("source", F.col("v").alias("node"), (F.col("du") + F.col("length")).alias("d"), F.col("u").alias("pred"))
+            step = step if settled is None else step.join(settled.select("source", "node"), ["source", "node"], "left_anti")
+            was = left.select("source", "node", "d", "pred", F.col("d").alias("was"), (F.col("fresh") & (F.col("d") >= limit)).alias("fresh"))
+            both = was.union(step.select("*", F.lit(None).cast("double").alias("was"), F.lit(False).alias("fresh")))
+            least = both.groupBy("source", "node").agg(F.min(F.struct("d", "pred")).alias("m"), F.min("was").alias("was"), F.max("fresh").alias("fresh"))
+            left = checkpoint(least.select("source", "node", "m.d", "m.pred", (F.col("fresh") | F.col("was").isNull() | (F.col("m.d") < F.col("was"))).alias("fresh")))
+        done = left.where(F.col("d") < limit).drop("fresh")
+        settled, parts = done if settled is None else settled.unionByName(done), parts + 1
+        settled = checkpoint(settled) if parts % 32 == 0 else settled  # keeps plans short
+        left = left.where(F.col("d") >= limit)
+    raise RuntimeError(f"distances did not settle in {rounds} buckets")
 
 
 def paths_to(found: DataFrame, ends: DataFrame, rounds: int = 10_000) -> DataFrame:

@@ -128,6 +128,27 @@ def spread(frames: DataFrame, means: DataFrame, box: Sequence[float], axes: Sequ
     return frames.join(m, atom).groupBy(atom).agg(F.avg(F.when(near, square)).alias("spread"))
 
 
+def forbidden_balls(frames: DataFrame, half: float, sizes: dict[str, float], sign: float = -1.0, mobile: float = 0.0, axes: Sequence[str] = AXES, atom: str = "atom") -> DataFrame:
+    """atom, species, axes, radius: balls around the mean positions of each species' atoms (atom, species, axes, one row a frame).
+
+    A species' radius is its size plus ``sign`` times the variance of its atoms' distances from their means, plus the ``mobile`` atoms'
+    radius. Atoms that are ever ``half`` (of the box) or more from their mean have no part in the variance but have a ball.
+    """
+    kept = frames.where(F.col("species").isin(list(sizes)))
+    means = kept.groupBy(atom, "species").agg(*[F.avg(a).alias(f"m_{a}") for a in axes])
+    gaps = kept.join(means.drop("species"), atom)
+    gaps = gaps.select(atom, "species", distance([F.col(a) for a in axes], [F.col(f"m_{a}") for a in axes], (None,) * len(axes)).alias("d"))
+    # sums of an atom's distances, so that leaving an atom out needs no second pass over frames
+    own = gaps.groupBy(atom, "species").agg(F.max("d").alias("most"), F.count("*").alias("n"), F.avg("d").alias("mean"), F.var_pop("d").alias("var"))
+    near = own.where(F.col("most") < half)
+    total = near.groupBy("species").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("all"))  # a row a species
+    apart = near.join(F.broadcast(total), "species").withColumn("v", F.col("n") * (F.col("var") + F.pow(F.col("mean") - F.col("all"), 2)))
+    spread_ = apart.groupBy("species").agg((F.sum("v") / F.sum("n")).alias("spread"))
+    size = F.coalesce(*[F.when(F.col("species") == s, F.lit(float(d))) for s, d in sizes.items()])
+    met = means.join(F.broadcast(spread_), "species", "left")
+    return met.select(atom, "species", *[F.col(f"m_{a}").alias(a) for a in axes], (size + sign * F.col("spread") + mobile).alias("radius"))
+
+
 def ion_shift(ions: DataFrame, backbone: DataFrame, mean_backbone: DataFrame, box: Sequence[float], axes: Sequence[str] = AXES, reach: float = 8.0) -> DataFrame:
     """Ions moved back by the backbone's displacement around them: weights ``exp(-d^2)`` of the distance to each atom.
 

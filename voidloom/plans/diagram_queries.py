@@ -169,6 +169,19 @@ def cycle_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.neighbour_edges(T.representative_cycles(T.persistence(simplices), simplices), simplices)
 
 
+@query()
+def cycle_neighbour_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that touch a cycle, with their ends."""
+    simplices = checkpoint(T.alpha_complex(_samples(spark, sf_dir)))
+    return T.neighbour_cells(T.representative_cycles(T.persistence(simplices), simplices), simplices)
+
+
+@query()
+def persistence_in_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persistence with columns dealt over tasks."""
+    return z2.persistence(T.alpha_complex(_samples(spark, sf_dir)))
+
+
 @query()
 def kernel_image_cokernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = P.auto_slab(_samples(spark, sf_dir), 0.25, ["sample"])

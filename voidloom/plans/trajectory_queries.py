@@ -52,6 +52,16 @@ def position_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.spread(event_frames(spark, sf_dir), means, BOX1, AXIS).select("atom", F.round("spread", 6).alias("spread"))
 
 
+@query(f"""WITH {FRAMES_SQL}, m AS (SELECT atom, avg(x) AS m FROM frames GROUP BY atom), g AS (SELECT atom, 's' || atom % 3 AS species, abs(x - m) AS d, max(abs(x - m)) OVER (PARTITION BY atom) AS most FROM frames JOIN m USING (atom)),
+v AS (SELECT species, var_pop(d) AS v FROM g WHERE most < 55 GROUP BY species)
+SELECT atom, 's' || atom % 3 AS species, round(m, 6) AS x, round(10.0 * (1 + atom % 3) - v + 0.5, 6) AS radius FROM m LEFT JOIN v ON species = 's' || atom % 3""")
+def forbidden_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as atoms of three species: mean positions, and radii less the variance around them."""
+    frames = event_frames(spark, sf_dir).withColumn("species", F.concat(F.lit("s"), (F.col("atom") % 3).cast("string")))
+    found = T.forbidden_balls(frames, 55.0, {"s0": 10.0, "s1": 20.0, "s2": 30.0}, -1.0, 0.5, AXIS)
+    return found.select("atom", "species", F.round("x", 6).alias("x"), F.round("radius", 6).alias("radius"))
+
+
 @query(f"""WITH {FRAMES_SQL}, ions AS (SELECT * FROM frames WHERE atom % 10 = 0), bb AS (SELECT * FROM frames WHERE atom % 10 <> 0),
 m AS (SELECT atom, avg(x) AS m FROM bb GROUP BY atom),
 p AS (SELECT i.atom, i.frame, i.x, least(abs(i.x - b.x), 100.0 - abs(i.x - b.x)) AS d, (b.x - m + 50.0) - 100.0 * floor((b.x - m + 50.0) / 100.0) - 50.0 AS u
