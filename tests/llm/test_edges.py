@@ -177,3 +177,38 @@ def test_op1_columns(spark, sf_dir):
 @pytest.mark.parametrize(("text", "copyleft"), [("MIT -->", False), ("MIT. See the file", False), ("LicenseRef-Own", None), ("GPL-2.0+ OR LicenseRef-Own", None), ("CC-BY-NC-4.0", None)])
 def test_expressions_end_and_unlisted_identifiers_stay_open(text, copyleft):
     assert licenses.evaluate(text)[1] is copyleft
+
+
+def test_op10_tags_stand_where_the_automaton_saw_them():
+    machine = licenses._automaton()
+
+    def labels(text):
+        return licenses.scan(text, machine)[5]
+
+    for text in ("SPDX-License-Identifier: MIT", "spdx-license-identifier : MIT", "SPDX License Identifier MIT", "é — SPDX\nLicense\n Identifier: MIT */", "// spdx_license_identifier:MIT\r\nno"):
+        assert labels(text) == "permissive,spdx:mit", text
+    assert labels("the SPDX license identifier is a word; SPDX-License-Identifier:") == "spdx-malformed"
+    assert labels("SPDX-License-Identifier: GPL-2.0 or any later version") == "copyleft,spdx:gpl-2.0-or-later"
+    assert labels("SPDX-License-Identifier: MIT or later\nSPDX-License-Identifier: Apache-2.0 OR GPL-3.0-only") == "permissive,spdx:apache-2.0,spdx:gpl-3.0-only,spdx:mit-or-later"
+    assert labels("spdx license identifier " * 3 + "mit") == "permissive,spdx:mit"
+
+
+def test_op10_labels_and_scores_against_plain_words(spark, sf_dir):
+    """Notices by windows of words, tags by lines that hold one, on whole texts."""
+    import re
+
+    docs = {r["doc_id"]: r["text"] for r in table(spark, sf_dir, "documents").collect()}
+    for r in queries.op10_licenses(spark, sf_dir).collect():
+        text = docs[r["doc_id"]] or ""
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
+        line = f" {' '.join(words)} "
+        base = {v for p, v in licenses.BASE.items() if f" {p} " in line}
+        found = {v: w for p, (v, w) in sorted(licenses.NOTICES.items()) if f" {p} " in line}
+        doubt, names = 1.0, set()
+        for w in [*(licenses.BASE_WEIGHT[b] for b in base), *found.values()]:
+            doubt *= 1 - w
+        for tag in re.findall(r"SPDX-License-Identifier:[ \t]*([^\r\n]*)", text):
+            ids, copyleft = licenses.evaluate(tag)
+            names |= {f"spdx:{i}" for i in ids} | {"spdx-unlisted" if copyleft is None else "copyleft" if copyleft else "permissive"}
+            doubt *= 0.5 if copyleft is None else 0.0
+        assert r["labels"] == ",".join(sorted(base | set(found) | names)) and abs(r["score"] - (1 - doubt)) < 1e-9

@@ -1,7 +1,8 @@
 """License scan: one Aho-Corasick pass finds notice phrases and identifier tags, a shunting-yard parser reads expressions.
 
 Words are lower-cased A-Z runs of the word rule in ``common``. Phrases match whole consecutive words, so line breaks and
-punctuation between them do not matter; overlapping places all count. An expression begins after its tag and ends with its
+punctuation between them do not matter; overlapping places all count. An expression begins where the automaton saw its
+tag end, behind a colon, or without one if it names a known family, and ends with its
 line, at a mark that no identifier has (as those that close comments), at the end of a sentence or before prose.
 
 Null and empty texts have no words, no labels and score 0. Texts are scanned whole, however long. Repeated rows are scanned
@@ -47,16 +48,23 @@ TAG = "spdx license identifier"
 #: Families of identifiers by how they begin, copyleft and permissive ones.
 COPYLEFT = frozenset("agpl cc-by-sa cddl cecill epl eupl gpl lgpl mpl osl".split())
 PERMISSIVE = frozenset("0bsd apache bsd bsl cc-by cc0 isc mit ncsa postgresql psf python unlicense wtfpl x11 zlib".split())
-TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
+AFTER_TAG = re.compile(r"[ \t]*(:?)[ \t]*([^\r\n]*)")
+WORD = re.compile(rb"[^ ]+")
 TOKEN = re.compile(r"[ \t]*([()]|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+LATER = re.compile(r"[ \t]+or[ \t]+(?:any[ \t]+)?later(?:[ \t]+version)?\b", re.I)
 PRECEDENCE = {"OR": 1, "AND": 2, "WITH": 3}
 
 
 def tokens_of(text: str) -> Iterator[str]:
-    """Brackets, operators (all capitals or all small) and identifiers up to the first mark or end of sentence."""
+    """Brackets, operators (all capitals or all small) and identifiers up to the first mark or end of sentence; an identifier
+    and "or later" are one."""
     at = 0
     while m := TOKEN.match(text, at):
         token, at = m[1].rstrip(".:-"), m.end()
+        if token == m[1] and token not in "()" and (later := LATER.match(text, at)):
+            yield f"{token}-or-later"
+            at = later.end()
+            continue
         yield token.upper() if token in ("or", "and", "with") else token
         if token != m[1]:
             return
@@ -132,25 +140,38 @@ def _automaton() -> ahocorasick.Automaton:
     return machine
 
 
+def expressions(raw: bytes, spread: bytes, places: list[int]) -> Iterator[tuple[str, bool]]:
+    """What follows each tag up to its line's end, and whether a colon stands between. ``spread`` is the text with spaces between its words,
+    byte for byte, so the word that ends a tag (its place among the words) has the same offset in both."""
+    wanted = set(places)
+    for place, word in enumerate(WORD.finditer(spread)):
+        if place in wanted:
+            m = AFTER_TAG.match(raw[word.end() :].split(b"\n", 1)[0].decode("utf-8", "replace"))
+            yield m[2], bool(m[1])
+
+
 def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
     raw = (text or "").encode("utf-8", "replace")
-    words = raw.translate(BYTE_WORDS).split()
+    spread = raw.translate(BYTE_WORDS)
+    words = spread.split()
     line = " " + b" ".join(words).decode("latin-1") + " "  # one character a byte: phrases are ASCII
     base: set[str] = set()
     labels: set[str] = set()
     starts: list[int] = []
-    doubt, tagged, at, n_before = 1.0, False, 0, 0
+    tags: list[int] = []
+    doubt, at, n_before = 1.0, 0, 0
     for end, phrase in machine.iter(line):
-        if phrase in BASE:
+        if phrase in BASE or phrase == TAG:
             begin = end - len(phrase) - 1
             if begin < at:
                 n_before, at = 0, 0
             n_before, at = n_before + line.count(" ", at, begin), begin
+        if phrase in BASE:
             starts.append(n_before)
             base.add(BASE[phrase])
         elif phrase == TAG:
-            tagged = True
+            tags.append(n_before + 2)  # the place of its last word
         else:
             label, weight = NOTICES[phrase]
             if label not in labels:
@@ -158,13 +179,16 @@ def scan(text: str | None, machine: ahocorasick.Automaton) -> tuple:
             labels.add(label)
     for label in base:
         doubt *= 1 - BASE_WEIGHT[label]
-    for found in TAG_LINE.findall(text) if tagged else ():
+    for found, colon in expressions(raw, spread, tags) if tags else ():
         try:
             names, copyleft = evaluate(found)
         except ValueError:
-            labels.add("spdx-malformed")
-            doubt *= 0.5
+            if colon:
+                labels.add("spdx-malformed")
+                doubt *= 0.5
             continue
+        if not colon and all(is_copyleft(n) is None for n in names):
+            continue  # prose about identifiers
         labels.update(f"spdx:{n}" for n in names)
         labels.add("spdx-unlisted" if copyleft is None else "copyleft" if copyleft else "permissive")
         doubt *= 0.5 if copyleft is None else 0.0
