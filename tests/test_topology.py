@@ -260,3 +260,21 @@ def test_phi_and_cobordism_against_plain_reductions(spark):
     want = {(i, ends.get(i, D.ESSENTIAL)) for i in new}
     for chunk in (16, 1 << 13):
         assert {(r["birth_id"], r["death_id"]) for r in C.cobordism(flagged, chunk=chunk).collect()} == want and want
+
+
+@pytest.mark.parametrize("cap", [-0.01, 0.002, 0.02])
+def test_tiles_give_the_complex_up_to_a_value(spark, cap):
+    from voidloom.operators.tiles import alpha_complex_up_to
+
+    rng = np.random.default_rng(8)
+    sparse = np.vstack([rng.random((3, 3)) + 5, [[9.0, 9, 9]], rng.random((2, 3)) * 0.02 - 3])  # tiles with few points
+    points = frame(spark, *cloud(300, 41), 0).union(frame(spark, np.vstack([cloud(60, 42)[0], sparse]), np.full(66, 0.01), 1))
+
+    def rows(df):
+        return sorted((r["sample"], r["sid"], r["dim"], tuple(r["verts"]), round(r["value"], 9)) for r in df.collect())
+
+    whole = rows(T.alpha_complex(points).where(F.col("value") <= cap))
+    found = rows(alpha_complex_up_to(points, cap))
+    assert {(r[0], *r[2:]) for r in found} == {(r[0], *r[2:]) for r in whole}
+    assert len(found) == len(whole) and {r[1] for r in found if r[0] == 0} == set(range(sum(r[0] == 0 for r in found)))
+    assert found and (cap < 0.01 or {r[2] for r in found} == {0, 1, 2, 3})

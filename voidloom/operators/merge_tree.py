@@ -45,7 +45,7 @@ def merges(edges: DataFrame, chunk: int = 1 << 15) -> DataFrame:
     sample), value. Ranges of up to ``chunk`` edges go into one task."""
     kind = edges.schema["sample"].dataType.simpleString()
     ranked = numbered(edges.where("a <> b"), ["value", "a", "b"], "rank", ["sample"]).withColumn("from", F.lit(0).cast("long"))
-    left = checkpoint(ranked.select("sample", "from", F.col("rank").cast("long").alias("rank"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "value"))
+    left = ranked.select("sample", "from", F.col("rank").cast("long").alias("rank"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), "value")
     width = 1
     while width < (left.agg(F.max("rank")).first()[0] or 0) + 1:
         width *= 2
@@ -66,7 +66,7 @@ def h0_by_merging(points: DataFrame, pairs: DataFrame, chunk: int = 1 << 15) ->
     """sample, pid, birth, death: the 0-dimensional diagram from touching pairs alone (sample, a_pid, b_pid, value), without
     points of zero persistence. Points (sample, pid, w) of a sample start at -w and end when their component meets an
     older one, by weight, then pid; no triangulation is needed."""
-    aged = checkpoint(numbered(points.select("sample", "pid", "w", (-F.col("w")).alias("birth")), ["birth", "pid"], "age", ["sample"]))
+    aged = numbered(points.select("sample", "pid", "w", (-F.col("w")).alias("birth")), ["birth", "pid"], "age", ["sample"])
     edges = pairs.select("sample", "a_pid", "b_pid", "value")
     for side in ("a", "b"):
         edges = edges.join(aged.select("sample", F.col("pid").alias(f"{side}_pid"), F.col("age").alias(side)), ["sample", f"{side}_pid"])

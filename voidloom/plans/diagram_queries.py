@@ -12,6 +12,7 @@ from ..operators import topology as T
 from ..operators import z2
 from ..operators.merge_tree import h0_of_points
 from ..operators.scan import numbered
+from ..operators.tiles import alpha_complex_up_to
 from ..session import checkpoint
 from ..sources.tables import DIAGRAM_SQL, POINTS_SQL, RADII, embedding_points, lineitem_diagram, table
 from .registry import query
@@ -145,6 +146,12 @@ def alpha_complex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.alpha_complex(_samples(spark, sf_dir))
 
 
+@query()
+def alpha_complex_in_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simplices up to a value, by tiles of each sample."""
+    return alpha_complex_up_to(_samples(spark, sf_dir), 0.01)
+
+
 @query()
 def persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.persistence(T.alpha_complex(_samples(spark, sf_dir)))
