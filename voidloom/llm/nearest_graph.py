@@ -14,7 +14,7 @@ Links and beams use codes of 8 bits a component, over vectors that are lengthene
 99th percentile of lengths; longer ones stay as they are), so a graph of near directions serves inner products. Scores in
 the result are sums of products of doubles.
 
-Null vectors and vectors that are zero or hold null or non-finite components take no part. Vectors meet only those of their
+Null vectors, vectors that are zero or hold null or non-finite components and rows without an id take no part. Vectors meet only those of their
 own size. Rows with equal vectors share a node that holds the ``k + 1`` smallest ids, which is all that a result can
 need. Repeated ids are rows of their own: a query meets every row but itself. Ties go to the smaller id. A query has fewer
 than ``k`` results only where there are fewer candidates. Vectors of any size are compared whole, an empty table gives an
