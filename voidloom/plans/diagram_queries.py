@@ -121,13 +121,16 @@ TOUCH_SQL = "CASE WHEN d > 0 AND (d * d + wa - wb) / (2 * d) BETWEEN 0 AND d THE
 _WAYS = ", ".join(f"m{i + 1} AS MATERIALIZED (SELECT p.s, p.a, q.b, min(greatest(p.v, q.v)) AS v FROM m{i} p JOIN m{i} q ON q.s = p.s AND q.a = p.b GROUP BY ALL)" for i in range(9))
 
 
-@query(f"""WITH {POINTS_SQL}, touch AS (SELECT a.label AS s, a.pid AS a, b.pid AS b, a.w AS wa, b.w AS wb, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS d
+H0_SQL = f"""{POINTS_SQL}, touch AS (SELECT a.label AS s, a.pid AS a, b.pid AS b, a.w AS wa, b.w AS wb, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2) + power(a.z - b.z, 2)) AS d
   FROM pts a JOIN pts b ON a.label = b.label AND a.pid < b.pid),
 e AS (SELECT s, a, b, {TOUCH_SQL} AS v FROM touch),
 m0 AS MATERIALIZED (SELECT * FROM e UNION ALL SELECT s, b, a, v FROM e UNION ALL SELECT label, pid, pid, -w FROM pts), {_WAYS},
-ends AS (SELECT p.label AS s, p.pid, min(v) AS death FROM pts p JOIN m9 ON s = p.label AND a = p.pid JOIN pts o ON o.label = s AND o.pid = b AND (o.w > p.w OR o.w = p.w AND o.pid < p.pid) GROUP BY ALL)
-SELECT CAST(p.label AS INTEGER) AS sample, p.pid, round(-w, 6) AS birth, round(coalesce(death, 'inf'::DOUBLE), 6) AS death
-FROM pts p LEFT JOIN ends e ON e.s = p.label AND e.pid = p.pid WHERE coalesce(death, 'inf'::DOUBLE) > -w""")
+ends AS (SELECT p.label AS s, p.pid, min(v) AS death FROM pts p JOIN m9 ON s = p.label AND a = p.pid JOIN pts o ON o.label = s AND o.pid = b AND (o.w > p.w OR o.w = p.w AND o.pid < p.pid) GROUP BY ALL),
+h0 AS (SELECT CAST(p.label AS INTEGER) AS sample, p.pid, -w AS birth, coalesce(death, 'inf'::DOUBLE) AS death
+  FROM pts p LEFT JOIN ends e ON e.s = p.label AND e.pid = p.pid WHERE coalesce(death, 'inf'::DOUBLE) > -w)"""
+
+
+@query(f"WITH {H0_SQL} SELECT sample, pid, round(birth, 6) AS birth, round(death, 6) AS death FROM h0")
 def h0_diagram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _h0(spark, sf_dir).select("sample", "pid", *_r("birth", "death"))
 
@@ -136,9 +139,10 @@ def _h0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h0_of_points(_samples(spark, sf_dir), 0.25)
 
 
-@query()
+@query(f"""WITH {H0_SQL} SELECT sample, pid, round((birth + death) / 2, 6) AS mean_age, round(birth, 6) AS birth,
+round(sum(death - birth) OVER (PARTITION BY sample ORDER BY (birth + death) / 2, birth, pid ROWS UNBOUNDED PRECEDING), 6) AS lifetime FROM h0""")
 def apf_of_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.apf(_h0(spark, sf_dir), ["sample"], ["birth", "pid"])
+    return D.apf(_h0(spark, sf_dir), ["sample"], ["birth", "pid"]).select("sample", "pid", *_r("mean_age", "birth", "lifetime"))
 
 
 @query()

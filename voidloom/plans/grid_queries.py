@@ -249,6 +249,10 @@ def pair_bottom_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank_pairs(bottom, top, "node")
 
 
-@query()
+@query(f"""WITH {VOID_SQL}, way AS (SELECT * FROM (VALUES (1, 0, 0, 0, 1, 0), (1, 0, 0, 0, 0, 1), (0, 1, 0, 0, 0, 1)) t(d0, d1, d2, e0, e1, e2)),
+corners AS (SELECT n.gid * 3 + row_number() OVER (PARTITION BY n.gid ORDER BY w.d0, w.d1, w.e0, w.e1) AS sq, n.ix, n.iy, n.iz, w.* FROM nodes n, way w),
+met AS (SELECT sq, (ix + i * d0 + j * e0) % {N} AS x, (iy + i * d1 + j * e1) % {N} AS y, iz + i * d2 + j * e2 AS z FROM corners, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)),
+there AS (SELECT sq, v.gid FROM met e JOIN void v ON v.ix = e.x AND v.iy = e.y AND v.iz = e.z)
+SELECT DISTINCT p.gid AS a, q.gid AS b, r.gid AS c FROM there p JOIN there q ON q.sq = p.sq AND p.gid < q.gid JOIN there r ON r.sq = q.sq AND q.gid < r.gid""")
 def grid_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.triangles(GRID, _void(spark, sf_dir))
