@@ -44,8 +44,8 @@ def components(edges: DataFrame, keys: Sequence[str] = (), a: str = "a", b: str
 
     Edges are first joined within chunks of each partition, so only what crosses chunks is left to the rounds. In a round
     each node hooks onto its smallest root, other roots seen at it become edges to that one, and roots are replaced by
-    their own roots, so chains shorten geometrically. No join makes more rows than there are nodes in chunks, and no
-    node's edges have to meet in one task.
+    their own roots, so chains shorten geometrically. No join makes more rows than there are nodes in chunks. All nodes of
+    a large root stand on one side of the join with roots, which has one row a root on the other, so Spark can split them.
     """
     k = list(keys)
     pairs = edges.select(*k, F.col(a).alias("x"), F.col(b).alias("y")).where("x is not null and y is not null")

@@ -20,9 +20,9 @@ def cubic_box(spark: SparkSession, path: str, column: int = 1) -> float:
 
 def project(paths: DataFrame, void: DataFrame, grid: Grid, reach: float) -> DataFrame:
     """path_id, pos, gid and error: the nearest void node within ``reach`` of each point (path_id, pos, x, y, z)."""
-    at = paths.withColumns({a: wrap(F.col(a), n) for a, n in zip(AXES, grid.box, strict=True)})
+    at = paths.withColumns({a: wrap(F.col(a), n) for a, n, p in zip(AXES, grid.box, grid.periodic, strict=True) if p})
     at = at.withColumn("pt", F.struct("path_id", "pos"))
-    found = nearest_within(at.select("pt", *AXES), void.select("gid", *AXES), reach, "pt", "gid", (grid.box[0], grid.box[1], None))
+    found = nearest_within(at.select("pt", *AXES), void.select("gid", *AXES), reach, "pt", "gid", tuple(n if p else None for n, p in zip(grid.box, grid.periodic, strict=True)))
     return found.select("pt.path_id", "pt.pos", "gid", F.col("d").alias("error"))
 
 

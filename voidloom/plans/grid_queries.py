@@ -151,7 +151,7 @@ def plane_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 own AS (SELECT path_id, bid, arg_min(gid, (d, gid)) AS gid FROM hop WHERE d <= 0.2 GROUP BY path_id, bid) SELECT DISTINCT path_id, gid FROM own""")
 def visited_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The void nodes that each label's points are projected onto."""
-    pts = embedding_points(spark, sf_dir).select(F.col("label").alias("path_id"), F.col("pid").alias("pos"), *AXES)
+    pts = embedding_points(spark, sf_dir).select(F.col("label").alias("path_id"), F.col("pid").alias("pos"), "x", "y", wrap(F.col("z"), 1.0).alias("z"))
     v = _void(spark, sf_dir).withColumns({a: F.col(f"i{a}") * STEP for a in AXES})
     return M.visited(M.project(pts, v, GRID, 0.2))
 
