@@ -278,3 +278,15 @@ def test_tiles_give_the_complex_up_to_a_value(spark, cap):
     assert {(r[0], *r[2:]) for r in found} == {(r[0], *r[2:]) for r in whole}
     assert len(found) == len(whole) and {r[1] for r in found if r[0] == 0} == set(range(sum(r[0] == 0 for r in found)))
     assert found and (cap < 0.01 or {r[2] for r in found} == {0, 1, 2, 3})
+
+
+def test_chunked_reduction_has_the_plain_lows(spark):
+    rng = np.random.default_rng(12)
+    rows = [(k, c, int(r)) for k in (0, 1) for c in range(60) for r in rng.choice(12 if k else 40, 3, replace=False)]
+    df = spark.createDataFrame(rows, "k int, col long, row long")
+    for k in (0, 1):
+        plain, _, _ = T.reduce_columns([{r for q, c, r in rows if q == k and c == col} for col in range(60)])
+        want = {col: max(held) for col, held in enumerate(plain) if held}
+        for chunk in (7, 1000):
+            found = z2.lows(z2.reduce(df, ["k"], chunk), ["k"]).where(F.col("k") == k)
+            assert {r["col"]: r["low"] for r in found.collect()} == want
