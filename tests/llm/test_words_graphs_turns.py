@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voidloom.llm import conversations, nearest_graph, spelling
-from voidloom.llm.common import table
+from voidloom.llm.common import checkpoint, table
 
 VECTORS = "vec_id long, embedding array<double>, node long, q int"
 
@@ -125,6 +125,21 @@ def test_op12_very_long_words_and_empty_tables(spark):
     assert spelling.spelling_variants(df.limit(0)).collect() == []
 
 
+def test_op12_sends_no_words_whole_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpoint(df)
+
+    monkeypatch.setattr(spelling, "checkpoint", kept)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") not in ("-1", "256k")  # these words are far below the limit
+    found = spelling.variants(spark.createDataFrame([("chains",)] * 9 + [("chainsx",)] * 3, "word string"))
+    kept(found)
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 6 and not any("Broadcast" in p for p in plans)
+    assert {(r["word"], r["root"]) for r in found.collect()} == {("chains", "chains"), ("chainsx", "chains")}
+
+
 def cheapest(rows, states="suao"):
     """Least (cost, audit) by search over all edits; rows: (initial, must go, truncated)."""
     best, queue = {}, [(0, "", 0, 0)]

@@ -128,6 +128,12 @@ def deletion_keys(vocab: DataFrame, settings: Settings = Settings()) -> DataFram
     return vocab.select("id", "word").mapInArrow(run, "id long, key long, size int, first int, last int")
 
 
+def _merging(right: DataFrame) -> DataFrame:
+    """A side that grows with the words, so that it is sorted and never sent whole to the driver and all tasks. Spark takes deletions
+    for no larger than the file of their words, which is under its limit for broadcasts also where they are millions of rows."""
+    return right.hint("merge")
+
+
 def near_pairs(vocab: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """a, word_a, n_a, b, word_b, n_b: pairs at distance one, each in both directions."""
     keys = deletion_keys(vocab, settings)
@@ -135,9 +141,9 @@ def near_pairs(vocab: DataFrame, settings: Settings = Settings()) -> DataFrame:
     right = keys.select(F.col("id").alias("b"), "key", "size", F.col("first").alias("first_b"), F.col("last").alias("last_b"))
     itself = (F.col("first_a") < 0) != (F.col("first_b") < 0)
     replaced = (F.col("first_a") >= 0) & (F.col("first_b") >= 0) & (F.col("first_a") <= F.col("last_b")) & (F.col("first_b") <= F.col("last_a"))
-    met = left.join(right, ["key", "size"]).where((F.col("a") != F.col("b")) & (itself | replaced)).select("a", "b")
-    named = met.join(vocab.select(F.col("id").alias("a"), F.col("word").alias("word_a"), F.col("n").alias("n_a")), "a")
-    named = named.join(vocab.select(F.col("id").alias("b"), F.col("word").alias("word_b"), F.col("n").alias("n_b")), "b")
+    met = left.join(_merging(right), ["key", "size"]).where((F.col("a") != F.col("b")) & (itself | replaced)).select("a", "b")
+    named = met.join(_merging(vocab.select(F.col("id").alias("a"), F.col("word").alias("word_a"), F.col("n").alias("n_a"))), "a")
+    named = named.join(_merging(vocab.select(F.col("id").alias("b"), F.col("word").alias("word_b"), F.col("n").alias("n_b"))), "b")
     return named.where(F.levenshtein("word_a", "word_b", 1) == 1)
 
 
@@ -146,7 +152,7 @@ def roots(forms: DataFrame, rounds: int = 64) -> DataFrame:
     found = checkpoint(forms.select("id", "to"))
     for _ in range(rounds):
         ahead = found.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        moved = checkpoint(found.join(ahead, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        moved = checkpoint(found.join(_merging(ahead), "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
         found = moved.select("id", "to")
         if moved.where("moved").isEmpty():
             return found
@@ -159,12 +165,12 @@ def variants(words: DataFrame, settings: Settings = Settings()) -> DataFrame:
     best = F.min(F.struct((-F.col("n_b")).alias("m"), F.col("word_b").alias("form"), F.col("b").alias("to")))
     near = near_pairs(vocab, settings).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_near"), best.alias("best"))
     near = checkpoint(near.select("id", "n_near", "best.form", "best.to", (-F.col("best.m")).alias("form_n")))
-    joined = vocab.join(near, "id", "left")
+    joined = vocab.join(_merging(near), "id", "left")
     leads = F.col("form_n") >= settings.ratio * F.col("n")
     joined = checkpoint(joined.select("id", "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), *[F.when(leads, F.col(c)).alias(c) for c in ("form", "form_n", "to")]))
     ends = roots(joined.where("to is not null")).withColumnRenamed("to", "end")
-    named = ends.join(vocab.select(F.col("id").alias("end"), F.col("word").alias("root")), "end").select("id", "root")
-    return joined.join(named, "id", "left").select("word", "n", "form", "form_n", F.coalesce("root", "word").alias("root"), "n_near")
+    named = ends.join(_merging(vocab.select(F.col("id").alias("end"), F.col("word").alias("root"))), "end").select("id", "root")
+    return joined.join(_merging(named), "id", "left").select("word", "n", "form", "form_n", F.coalesce("root", "word").alias("root"), "n_near")
 
 
 def spelling_variants(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text", every: int = 97) -> DataFrame:
