@@ -273,6 +273,30 @@ def test_long_words_are_encoded_in_parts(vocabulary, monkeypatch):
     assert vocabulary.viterbi([word])[0].tolist() == whole
 
 
+def test_pieces_learn_and_try_what_is_new_only(vocabulary, monkeypatch):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    known, library = pieces.Vocabulary(path, known=20), sentencepiece.SentencePieceProcessor(model_file=path)
+    learned, tried = [], []
+    monkeypatch.setattr(known, "_learn", lambda words, f=known._learn: (learned.extend(words), f(words))[1])
+    monkeypatch.setattr(known, "merged", lambda text, f=known.merged: (tried.append(text), f(text))[1])
+    usual = "the words that each text has and some that are their own"
+    for i in range(30):
+        text = f"{usual} nr{i}"
+        assert known.encode([text])[0].tolist() == library.encode(text)
+    # a full memory forgets what did not come again, not the words that every text has
+    assert len(learned) == len(set(learned)) and len(known.words) + len(known.older) <= 60
+    tried.clear()
+    for i in range(30):
+        known.encode([f"{usual} nr{i}"])
+    assert not tried
+    ids = known.encode([usual, "", "\u2581 other", usual])
+    assert known.same(ids, [usual, "", "\u2581 other", usual]) == [True] * 4
+    assert known.same([ids[0], ids[1], ids[2], ids[3][:-1]], [usual + " ", "x", "\u2581 other", usual]) == [False, False, True, False]
+
+
 def test_pieces_over_tables(spark, vocabulary):
     import public_tokenizers
 

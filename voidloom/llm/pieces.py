@@ -31,6 +31,8 @@ from .token_files import runs
 SPACE, STAND_IN = "▁", "\udfff"
 #: Characters of a word that are looked up at once.
 PART = 1 << 16
+#: Bits of a hash that find a place: among the marks of piece keys, among pairs of pieces met lately.
+MARKS, LATELY = 18, 20
 WORDS = re.compile("▁*[^▁\n]+|▁+|\n")
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
@@ -74,16 +76,22 @@ class Vocabulary:
         #: rank of each piece where the vocabulary was made by merges, else None
         self.rank = dict(zip(self.text.values(), (-raw).tolist(), strict=True)) if len(raw) and np.all(raw == np.round(raw)) else None
         self.stable: dict[int, bool] = {}
+        #: at the place that its hash names: the pair met last, doubled, and whether it is stable
+        self.lately = np.full(1 << LATELY, -1, np.int64)
         scores = raw
         self.byte_id = {b: model.piece_to_id(f"<0x{b:02X}>") for b in range(256)}
         self.longest = max(map(len, self.text.values()))
         #: by piece length: sorted keys, and ids and scores in their order
         self.probes: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        #: by piece length: whether a key begins with these bits; most substrings are no piece and need no search
+        self.marks: dict[int, np.ndarray] = {}
         for length in {len(t) for t in self.text.values()}:
             at = np.array([j for j, i in enumerate(plain) if len(self.text[i]) == length])
             *_, (_, h) = _substring_hashes(_codes([self.text[plain[j]] for j in at], length), length)
             order = np.argsort(h[:, 0])
             self.probes[length] = h[order, 0], np.array(plain, np.int32)[at[order]], scores[at[order]]
+            self.marks[length] = np.zeros(1 << MARKS, bool)
+            self.marks[length][h[:, 0] >> U(64 - MARKS)] = True
             if len(np.unique(h)) != len(h):
                 raise ValueError("two pieces share a key")
         self.unknown = float(scores.min()) - 10.0
@@ -93,23 +101,41 @@ class Vocabulary:
             self.bytes[i] = t.replace(SPACE, " ").encode()
         for b, i in self.byte_id.items():
             self.bytes[i] = bytes([b])
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.known = known
+        #: words met lately, and those before them; each half of what is known
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """What merging makes of a text: the pair whose piece has the lowest rank first, of equal ones the leftmost."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best, at = min((rank.get(parts[i] + parts[i + 1], np.inf), i) for i in range(len(parts) - 1))
-            if best == np.inf:
-                break
+        parts, rank = list(text), self.rank.get
+        ranks = [rank(x + y, np.inf) for x, y in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < np.inf:
+            at = ranks.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            for i in range(max(0, at - 1), min(at + 1, len(ranks))):
+                ranks[i] = rank(parts[i] + parts[i + 1], np.inf)
         return parts
 
     def _apart(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether merging leaves the pieces (-1: a character without one, -2: the word's begin) apart and whole."""
+        keys = (before.astype(np.int64) + 2) * (len(self.bytes) + 2) + piece + 2
+        place = (keys.astype(U) * BASE >> U(64 - LATELY)).astype(np.int64)
+        met = self.lately[place]
+        found = (met & 1).astype(bool)
+        new = np.flatnonzero(met >> 1 != keys)
+        if new.size:
+            found[new] = self._stable(keys[new])
+            self.lately[place[new]] = 2 * keys[new] + found[new]
+        return found
+
+    def _stable(self, pairs: np.ndarray) -> np.ndarray:
         size = len(self.bytes) + 2
-        keys, where = np.unique((before.astype(np.int64) + 2) * size + piece + 2, return_inverse=True)
+        keys, where = np.unique(pairs, return_inverse=True)
         known, found = self.stable, np.empty(len(keys), bool)
         for i, key in enumerate(keys.tolist()):
             if (ok := known.get(key)) is None:
@@ -134,14 +160,22 @@ class Vocabulary:
             if k not in self.probes:
                 continue
             keys, ids, scores = self.probes[k]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            row, start = np.nonzero(keys[at] == h)
-            score[top - k, row, start] = scores[at[row, start]]
-            piece[top - k, row, start] = ids[at[row, start]]
+            row, start = np.nonzero(self.marks[k][h >> U(64 - MARKS)])
+            probe = h[row, start]
+            at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+            same = keys[at] == probe
+            at, row, start = at[same], row[same], start[same]
+            score[top - k, row, start] = scores[at]
+            piece[top - k, row, start] = ids[at]
         return score, piece
 
     def viterbi(self, words: list[str]) -> list[np.ndarray]:
         """Best piece ids of words that all have the same length."""
+        flat, ends = self._paths(words)
+        return np.split(flat, ends[:-1])
+
+    def _paths(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words one after another, and where each word's end."""
         length = len(words[0])
         codes = _codes(words, length)
         n, top = len(words), min(self.longest, length)
@@ -186,8 +220,9 @@ class Vocabulary:
         used = taken != -2
         flat, ends = taken[used], np.cumsum(used.sum(axis=1))
         if (flat == -1).any():
-            return [self._with_bytes(w, ids) for w, ids in zip(words, np.split(flat, ends[:-1]), strict=True)]
-        return np.split(flat, ends[:-1])
+            found = [self._with_bytes(w, ids) for w, ids in zip(words, np.split(flat, ends[:-1]), strict=True)]
+            flat, ends = np.concatenate(found), np.cumsum([len(ids) for ids in found])
+        return flat, ends
 
     def _with_bytes(self, word: str, ids: np.ndarray) -> np.ndarray:
         """Write the characters that no piece holds (-1) as bytes."""
@@ -209,20 +244,41 @@ class Vocabulary:
             step = max(1, (1 << 18) // (length * min(length, self.longest)))
             for at in range(0, len(group), step):
                 part = group[at : at + step]
-                found = self.viterbi(part)
+                flat, ends = self._paths(part)
                 plain = "".join(part).replace(SPACE, " ").replace(STAND_IN, SPACE).encode()
-                if b"".join(map(self.bytes.__getitem__, np.concatenate(found).tolist())) != plain:
+                if self._plain(flat) != plain:
                     raise RuntimeError(f"a substring hash collided in words of {length} characters")
-                self.words.update(zip(part, (ids.tobytes() for ids in found), strict=True))
+                ids, cuts = flat.tobytes(), [0, *(flat.itemsize * ends).tolist()]
+                self.words.update(zip(part, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         split = [WORDS.findall(SPACE + t.replace(SPACE, STAND_IN).replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.words) > self.known:
-            self.words.clear()
+        if 2 * len(self.words) > self.known:
+            self.older, self.words = self.words, {}
         missing = {w for words in split for w in words} - self.words.keys()
-        self._learn(list(missing))
+        again = missing & self.older.keys()
+        self.words.update((w, self.older[w]) for w in again)
+        self._learn(list(missing - again))
         return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32) for words in split]
 
+    def _plain(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids one after another."""
+        out = []
+        for a in range(0, len(ids), 1 << 20):
+            part = ids[a : a + (1 << 20)]
+            sizes = self.sizes[part]
+            ends = np.cumsum(sizes)
+            out.append(self.flat[np.repeat(self.begins[part] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+    def same(self, coded: list[np.ndarray], texts: list[str]) -> list[bool]:
+        """Whether each text's ids decode to it."""
+        ids = np.concatenate([*coded, np.zeros(0, np.int32)])
+        plain = self._plain(ids)
+        sizes = np.concatenate([[0], np.cumsum(self.sizes[ids])])
+        ends = sizes[np.cumsum([0, *map(len, coded)])].tolist()
+        return [plain[a:b] == (b" " + t.encode() if t else b"") for a, b, t in zip(ends, ends[1:], texts, strict=False)]
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
@@ -259,8 +315,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "ids", ch
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(coded) if coded else np.zeros(0, np.int32)))
                 columns, names = [*part.columns, lists], [*keep, out]
                 if check:
-                    same = [known.decode(c.tolist()) == t for c, t in zip(coded, texts, strict=True)]
-                    columns, names = [*columns, pa.array(same, pa.bool_())], [*names, check]
+                    columns, names = [*columns, pa.array(known.same(coded, texts), pa.bool_())], [*names, check]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return source.mapInArrow(run, schema)
