@@ -290,3 +290,32 @@ def test_chunked_reduction_has_the_plain_lows(spark):
         for chunk in (7, 1000):
             found = z2.lows(z2.reduce(df, ["k"], chunk), ["k"]).where(F.col("k") == k)
             assert {r["col"]: r["low"] for r in found.collect()} == want
+
+
+@pytest.mark.parametrize("cap", [None, 0.004])
+def test_tiles_settle_points_in_rounds(spark, cap):
+    """Clusters of unlike density, copies, a lattice and hidden points: tiles of few points give what one group gives."""
+    from voidloom.operators.tiles import alpha_complex_by_tiles
+
+    rng = np.random.default_rng(5)
+    lattice = np.array([[x, y, z] for x in range(6) for y in range(6) for z in range(6)], float)
+    many = np.vstack([rng.normal(0, 0.05, (300, 3)), rng.normal(0, 0.3, (200, 3)), rng.random((40, 3)) * 3])
+    points = frame(spark, many, rng.random(540) * 0.002, 0).union(frame(spark, lattice, np.zeros(216), 3)).union(frame(spark, np.repeat(many[:60], 3, axis=0), np.zeros(180), 4))
+    points = points.union(frame(spark, np.c_[rng.random((90, 2)), np.zeros(90)], np.zeros(90), 5)).union(frame(spark, rng.random((200, 3)), rng.random(200) * 0.1, 6))
+
+    def rows(df):
+        return {(r["sample"], r["dim"], tuple(r["verts"])): r["value"] for r in df.collect()}
+
+    whole, found = rows(alpha_complex_by_tiles(points, cap)), rows(alpha_complex_by_tiles(points, cap, most=60, own=40))
+    assert found.keys() == whole.keys() and {k[0] for k in whole} == ({0, 3, 4, 5, 6} if cap is None else {k[0] for k in whole})
+    assert all(abs(found[k] - whole[k]) < 1e-9 for k in whole)
+
+
+def test_cells_of_points_that_go_in_together():
+    """6,000 points: every cell's sphere is empty, and the cells fill the hull."""
+    p, w = cloud(6000, 3)
+    w = w * 0.002
+    cells, balls, hull = T.cells_and_spheres(p, w)
+    assert len(cells) > 30_000 and len(hull) > 50
+    for at in np.random.default_rng(0).choice(len(cells), 300, replace=False):
+        assert (((p - balls[at, :3]) ** 2).sum(axis=1) - w >= balls[at, 3] - 1e-6).all()
