@@ -319,3 +319,18 @@ def test_cells_of_points_that_go_in_together():
     assert len(cells) > 30_000 and len(hull) > 50
     for at in np.random.default_rng(0).choice(len(cells), 300, replace=False):
         assert (((p - balls[at, :3]) ** 2).sum(axis=1) - w >= balls[at, 3] - 1e-6).all()
+
+
+def test_reduction_takes_few_rounds(spark):
+    """Columns whose lows fall through all rows, and many more columns than rows."""
+    n = 300
+    chain = [(0, c, r) for c in range(n) for r in ({0, n - 1 - c // 2} if c % 2 else {n - 1 - c // 2, max(0, n - 2 - c // 2)})]
+    rng = np.random.default_rng(4)
+    wide = [(1, c, int(r) + 20 * (c // 400)) for c in range(1200) for r in rng.choice(20, 4, replace=False)]
+    df = spark.createDataFrame(sorted(set(chain + wide)), "k int, col long, row long")
+    for k, m in ((0, n), (1, 1200)):
+        plain, _, _ = T.reduce_columns([{r for q, c, r in chain + wide if q == k and c == col} for col in range(m)])
+        found = z2.lows(z2.reduce(df, ["k"], 8, rounds=8), ["k"]).where(F.col("k") == k)
+        assert {r["col"]: r["low"] for r in found.collect()} == {col: max(held) for col, held in enumerate(plain) if held}
+    held = spark.createDataFrame([r[1:] for r in wide], "col long, row long").groupBy("col").agg(F.collect_list("row").alias("rows"))
+    assert z2._independent(held, [], 100).count() <= 300  # the first range of each 400 columns tells that later ones are empty
