@@ -334,3 +334,20 @@ def test_reduction_takes_few_rounds(spark):
         assert {r["col"]: r["low"] for r in found.collect()} == {col: max(held) for col, held in enumerate(plain) if held}
     held = spark.createDataFrame([r[1:] for r in wide], "col long, row long").groupBy("col").agg(F.collect_list("row").alias("rows"))
     assert z2._independent(held, [], 100).count() <= 300  # the first range of each 400 columns tells that later ones are empty
+
+
+def test_boundaries_reduced_from_above_are_the_plain_ones():
+    """Reduced columns, ends and cycles of births, without a look at the columns of births."""
+    p, w = cloud(60, 9)
+    rows = sorted((x, dim, tuple(v.tolist())) for dim, verts, values in T.alpha_simplices(p, w) for v, x in zip(verts, values.tolist(), strict=True))
+    columns, dim = T.boundaries([r[2] for r in rows]), np.array([r[1] for r in rows])
+    plain, _, owner = T.reduce_columns(columns)
+    births = set(owner)
+    reduced, found, cycles = T.reduce_boundaries([None if j in births and dim[j] else c for j, c in enumerate(columns)], dim)
+    assert found == owner and reduced == {j: c for j, c in enumerate(plain) if c}
+    for j, cycle in cycles.items():
+        total = set()
+        for i in cycle:
+            total ^= set(columns[i])
+        assert not total and max(cycle) == j
+    assert set(cycles) == {j for j, c in enumerate(plain) if not c}
