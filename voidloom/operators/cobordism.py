@@ -81,7 +81,8 @@ def cobordism(simplices: DataFrame, max_dim: int = 1, chunk: int = 1 << 13) -> D
     def named(sid: str) -> Column:  # one number for a sample's simplex; samples are not negative
         return F.when(F.col(sid) == ESSENTIAL, F.lit(ESSENTIAL)).otherwise(F.shiftleft(F.col("sample").cast("long"), SID_BITS) + F.col(sid))
 
-    both = checkpoint(simplices.withColumn("in_ab", F.col("in_a") | F.col("in_b")))
+    # classes up to max_dim are born and closed by simplices of one dimension more at most
+    both = checkpoint(simplices.where(F.col("dim") <= max_dim + 1).withColumn("in_ab", F.col("in_a") | F.col("in_b")))
 
     def within(flag: str) -> DataFrame:
         return both.withColumn("in_sub", F.col(flag)).select("sample", "sid", "dim", "verts", "value", "in_sub")
