@@ -290,3 +290,22 @@ def test_pairs_and_nearest_centres_keep_no_pairs(spark):
     assert not P.nearest_within(points, centres.limit(0), 1.0, "pid", "cid").collect()
     pairs = P.image_pairs(points.withColumns({a: F.pmod(a, F.lit(1.0)) for a in "xyz"}), (1.0, 1.0, 1.0), 0.1)
     assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ion_shift_meets_places_once(spark, monkeypatch):
+    """Copies of atoms and ions at the same places go as one; frames without a backbone have no ions, far ions still move."""
+    rng = np.random.default_rng(6)
+    spots, ions = rng.random(12).round(1) * 10, [1.0, 5.0, 60.0]
+    bb = [(100 + i, 0, float(spots[i % 12])) for i in range(600)]
+    mean = [(a, float((x + rng.normal(0, 1)) % 100)) for a, _, x in bb]
+    i = spark.createDataFrame([(a, f, ions[a % 3]) for a in range(90) for f in (0, 1)], "atom int, frame int, x double")
+    met, plain = [], J.pairs_within
+    monkeypatch.setattr(J, "pairs_within", lambda *a: met.append(plain(*a)) or met[-1])
+    got = J.ion_shift(i, spark.createDataFrame(bb, "atom int, frame int, x double"), spark.createDataFrame(mean, "atom int, x double"), (100.0,), ("x",)).collect()
+    assert sum(m.count() for m in met) <= 2 * len(met) * 3 * 12 and {(r["atom"], r["frame"]) for r in got} == {(a, 0) for a in range(90)}
+    for r in got:
+        x = ions[r["atom"] % 3]
+        d = [min(abs(x - p), 100 - abs(x - p)) for _, _, p in bb]
+        w = np.exp(min(d) ** 2 - np.square(d))
+        u = [(p - m + 50) % 100 - 50 for (_, _, p), (_, m) in zip(bb, mean, strict=True)]
+        assert abs(r["x"] - (x - (w * u).sum() / w.sum()) % 100) < 1e-9

@@ -153,33 +153,47 @@ def ion_shift(ions: DataFrame, backbone: DataFrame, mean_backbone: DataFrame, bo
     """Ions moved back by the backbone's displacement around them: weights ``exp(-d^2)`` of the distance to each atom.
 
     ions and backbone: atom, frame, axes (wrapped); mean_backbone: atom, axes. Weights are taken relative to the nearest atom's,
-    which leads at any distance; an atom whose square is greater by 40 adds less than a double holds. So ions meet what is
-    within ``reach`` of them by cells, those whose nearest atom is too far for that go on with twice the reach.
+    which leads at any distance; an atom whose square is greater by 40 adds less than a double holds. So the nearest is found first, by
+    a reach that grows, then ions meet what is within ``reach`` of them by cells, or twice that as long as their nearest atom is too
+    far for it. What stands at the same place of a frame goes as one; sums are all that is kept of pairs.
     """
     farthest = float(np.sqrt((np.array(box, float) ** 2).sum())) / 2 * (1 + 1e-9)
-    names = ["ion", "frame", *[f"i_{a}" for a in axes]]
-    left = ions.select(F.col("atom").alias("ion"), "frame", *axes)
+    place = ["frame", *axes]
+    own = ions.select(F.col("atom").alias("ion"), *place).distinct()
     moves = mean_backbone.select("atom", *[F.col(a).alias(f"m_{a}") for a in axes])
-    b = backbone.select("atom", "frame", *axes).join(moves, "atom")
-    found = None
+    # displacement of the backbone atom, through the boundary
+    moved = [F.sum(F.pmod(F.col(a) - F.col(f"m_{a}") + n / 2, F.lit(float(n))) - n / 2).alias(f"u_{a}") for a, n in zip(axes, box, strict=True)]
+    b = checkpoint(backbone.select("atom", *place).join(moves, "atom").groupBy(*place).agg(F.count("*").alias("n"), *moved))
+    left = checkpoint(own.select(*place).distinct().join(b.select("frame").distinct(), "frame", "left_semi"))
+    sums = [F.sum(F.col("weight") * F.col(f"b_{c}")).alias(c) for c in ("n", *[f"u_{a}" for a in axes])]
+
+    at = [F.col(f"a_{c}").alias(c) for c in place]
+
+    def met(of: DataFrame, within: float) -> DataFrame:
+        return pairs_within(of, b, within, box, ["frame"], axes).withColumn("square", F.col("d") * F.col("d"))
+
+    nearest, near = None, reach / 8
+    while True:
+        near = min(near, farthest)
+        got = checkpoint(met(left, near).groupBy(*at).agg(F.min("square").alias("least")))
+        nearest = got if nearest is None else nearest.unionByName(got)
+        left = checkpoint(left.join(got.select(*place), place, "left_anti"))
+        if near >= farthest or left.isEmpty():
+            break
+        near *= 8 if near < reach else 2
+    left, found = checkpoint(nearest), None
     while True:
-        near = pairs_within(left, b, reach, box, ["frame"], axes)
-        near = near.select(F.col("a_ion").alias("ion"), F.col("a_frame").alias("frame"), *[F.col(f"a_{a}").alias(f"i_{a}") for a in axes], *[F.col(f"b_{p}{a}").alias(f"{q}_{a}") for p, q in (("", "b"), ("m_", "m")) for a in axes], (F.col("d") * F.col("d")).alias("square"))
-        nearest = near.groupBy(*names).agg(F.min("square").alias("least"))
-        settled = nearest if reach >= farthest else nearest.where(F.col("least") + 40 <= reach * reach)
-        pairs = near.join(settled, names)
-        weight = F.exp(F.col("least") - F.col("square"))
-        # displacement of the backbone atom, through the boundary
-        moved = [(F.pmod(F.col(f"b_{a}") - F.col(f"m_{a}") + n / 2, F.lit(float(n))) - n / 2) for a, n in zip(axes, box, strict=True)]
-        summed = checkpoint(pairs.groupBy(*names).agg(F.sum(weight).alias("w"), *[F.sum(weight * m).alias(f"s_{a}") for a, m in zip(axes, moved, strict=True)]))
+        settled = left if reach >= farthest else left.where(F.col("least") + 40 <= reach * reach)
+        pairs = met(settled, reach).where(F.col("square") <= F.col("a_least") + 40)
+        weighed = pairs.withColumn("weight", F.exp(F.col("a_least") - F.col("square")))
+        summed = checkpoint(weighed.groupBy(*at).agg(*sums))
         found = summed if found is None else found.unionByName(summed)
-        done = summed.select("ion", "frame", *[F.col(f"i_{a}").alias(a) for a in axes])
-        left = checkpoint(left.join(done, ["ion", "frame", *axes], "left_anti"))
+        left = left.where(F.col("least") + 40 > reach * reach)
         if reach >= farthest or left.isEmpty():
             break
         reach = min(2 * reach, farthest)
-    back = [wrap(F.col(f"i_{a}") - F.col(f"s_{a}") / F.col("w"), n).alias(a) for a, n in zip(axes, box, strict=True)]
-    return found.select(F.col("ion").alias("atom"), "frame", *back)
+    back = [wrap(F.col(a) - F.col(f"u_{a}") / F.col("n"), n).alias(a) for a, n in zip(axes, box, strict=True)]
+    return own.join(found, place).select(F.col("ion").alias("atom"), "frame", *back)
 
 
 def mean_volume(boxes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
