@@ -351,3 +351,16 @@ def test_boundaries_reduced_from_above_are_the_plain_ones():
             total ^= set(columns[i])
         assert not total and max(cycle) == j
     assert set(cycles) == {j for j, c in enumerate(plain) if not c}
+
+
+def test_h0_of_large_samples_takes_few_pairs(spark, monkeypatch):
+    """Samples that count as large meet no pairs by cells, unless they lie in a plane, and have the same ends."""
+    rng = np.random.default_rng(11)
+    p = np.vstack([rng.normal(0, 0.1, (200, 3)), rng.random((30, 3)) * 2, rng.normal(0, 0.1, (10, 3)).repeat(2, axis=0)])
+    points = frame(spark, p, rng.random(250) * 0.02, 0).union(frame(spark, np.c_[rng.random((70, 2)), np.zeros(70)], np.zeros(70), 1))
+    rows = lambda df: sorted((r["sample"], r["pid"], round(r["birth"], 9), round(r["death"], 9)) for r in df.collect())
+    plain = rows(M.h0_of_points(points, 0.25))
+    met, within = [], M.pairs_within
+    monkeypatch.setattr(M, "pairs_within", lambda *a, **b: met.append(a[0]) or within(*a, **b))
+    assert rows(M.h0_of_points(points, 0.25, most=60)) == plain and len({r[0] for r in plain}) == 2
+    assert all({r["sample"] for r in df.select("sample").distinct().collect()} == {1} for df in met)

@@ -13,11 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import AXES, touching_value
+from ..functions.geometry import AXES, distance, touching_value
 from ..session import checkpoint
 from .graph import components
 from .points import pairs_within
 from .scan import numbered
+from .tiles import simplices_by_tiles
 
 
 def _ends(key: tuple, edges: pd.DataFrame) -> pd.DataFrame:
@@ -75,17 +76,37 @@ def h0_by_merging(points: DataFrame, pairs: DataFrame, chunk: int = 1 << 15) ->
     return met.select("sample", F.col("pid").cast("long").alias("pid"), "birth", F.coalesce("value", F.lit(float("inf"))).alias("death")).where("death > birth")
 
 
-def h0_of_points(points: DataFrame, reach: float, chunk: int = 1 << 15) -> DataFrame:
+def _h0_of_many(points: DataFrame, chunk: int) -> DataFrame:
+    """The same of large samples, from the edges of their triangulation: balls that grow together do so along these. A point that is
+    hidden lies in another's ball when its own begins. Samples in a plane have no edges and are absent."""
+    found = checkpoint(simplices_by_tiles(points).where("dim <= 1").select("sample", "dim", F.col("verts")[0].alias("a_pid"), F.get("verts", F.lit(1)).alias("b_pid")))
+    edges = found.where("dim = 1").select("sample", "a_pid", "b_pid")
+    for s in "ab":
+        edges = edges.join(points.select("sample", *[F.col(c).alias(f"{s}_{c}") for c in ("pid", *AXES, "w")]), ["sample", f"{s}_pid"])
+    d = distance([F.col(f"a_{x}") for x in AXES], [F.col(f"b_{x}") for x in AXES])
+    pairs = edges.withColumn("d", d).select("sample", "a_pid", "b_pid", touching_value(F.col("d"), F.col("a_w"), F.col("b_w")).alias("value"))
+    seen = found.where("dim = 0").select("sample", F.col("a_pid").alias("pid")).join(pairs.select("sample").distinct(), "sample", "left_semi")
+    return h0_by_merging(points.join(seen, ["sample", "pid"], "left_semi"), pairs, chunk)
+
+
+def h0_of_points(points: DataFrame, reach: float, chunk: int = 1 << 15, most: int = 4000) -> DataFrame:
     """``h0_by_merging`` of weighted points (sample, pid, x, y, z, w) over all pairs that can matter.
 
-    Pairs within ``reach`` come first. A sample is done when one class is left and its last end is below what any pair beyond the
+    Samples of more than ``most`` points take the edges of their triangulation, a few for each point. In others
+    pairs within ``reach`` come first. A sample is done when one class is left and its last end is below what any pair beyond the
     reach can have; the others go on with twice the reach.
     """
     weights = [F.min("w").alias("w0"), F.max("w").alias("w1")]
     spans = [e(a).alias(f"{a}{i}") for a in AXES for i, e in enumerate((F.min, F.max))]
     # a row a sample; ``far``: the diagonal of its points
-    size = points.groupBy("sample").agg(*weights, *spans).select("sample", "w0", "w1", F.sqrt(sum(((F.col(f"{a}1") - F.col(f"{a}0")) ** 2 for a in AXES), F.lit(0.0))).alias("far"))
+    size = points.groupBy("sample").agg(F.count("*").alias("many"), *weights, *spans).select("sample", "many", "w0", "w1", F.sqrt(sum(((F.col(f"{a}1") - F.col(f"{a}0")) ** 2 for a in AXES), F.lit(0.0))).alias("far"))
+    large = checkpoint(size.where(F.col("many") > most).select("sample"))
     left, found = points.join(size, "sample"), None
+    if not large.isEmpty():
+        found = checkpoint(_h0_of_many(checkpoint(points.select("sample", F.col("pid").cast("long").alias("pid"), *AXES, "w").join(large, "sample", "left_semi")), chunk))
+        left = checkpoint(left.join(found.select("sample").distinct(), "sample", "left_anti"))
+        if left.isEmpty():
+            return found
     while True:
         at = left.select("sample", "pid", *AXES, "w")
         pairs = pairs_within(at, at, reach, keys=["sample"]).where("a_pid < b_pid")
